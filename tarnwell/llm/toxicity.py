@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tarnwell.llm.common import whole_text
 
@@ -181,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with one more column, the score of the whole text."""
-    names, schema = docs.columns, docs.schema.add(score_col, "double")
+    names = docs.columns
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
@@ -218,5 +220,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that score 0.5 or more, its columns unchanged."""
-    plain = docs.withColumn("_toxic_score", F.lit(None).cast("double")).drop("_toxic_score")
-    return scored(plain, fit(docs, labels, id_col, text_col), text_col, "_toxic_score").filter("_toxic_score < 0.5").drop("_toxic_score")
+    return scored(docs, fit(docs, labels, id_col, text_col), text_col, "_toxic_score").filter("_toxic_score < 0.5").drop("_toxic_score")
