@@ -1,19 +1,23 @@
-"""All registered queries of the library, by area, with their equivalent SQL."""
+"""All registered queries of the library; importing the areas registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwell import registry
+from tarnwell.operators import aggregates, entities, evaluation, events, filters, joins, matching, retrieval, trees, upkeep, windows  # noqa: F401
+from tarnwell.functions import classify, text  # noqa: F401
+from tarnwell.sources import readers  # noqa: F401
+from tarnwell.streaming import incremental  # noqa: F401
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return retrieval.rrf_fusion(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.ORACLES
