@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwell.functions import lexicon
 from tarnwell.registry import query, table
@@ -37,7 +38,7 @@ def dominant_line_ratio(text: Column) -> Column:
     return F.when(F.size(lines) > 0, F.round(best / F.size(lines), 6)).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def repeated_coverage(texts: pd.Series) -> pd.Series:
     """Share of characters within an n-gram (6 to 16) that occurs before, without overlap."""
 
@@ -91,7 +92,7 @@ def constraint_kind(clause: Column) -> Column:
     return F.when(has("不要(?!求)|排除|(?i)no |must not"), "EXCLUDE").when(has("优先|加分|(?i)prefer|plus|nice to have"), "PLUS").when(has("必须|要求|需要|(?i)must|require"), "MUST")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def sentence_chunks(texts: pd.Series) -> pd.Series:
     """Sentences put together greedily into chunks of up to 600 characters; a longer sentence is cut."""
 
@@ -110,7 +111,7 @@ def sentence_chunks(texts: pd.Series) -> pd.Series:
     return texts.map(of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def person_name(texts: pd.Series) -> pd.Series:
     """First hit of ordered evidence: a label, a short line among the first three, an e-mail of two parts."""
 
@@ -188,22 +189,22 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey, case when o_orderkey % 4 = 0 then year(o_orderdate) * 12 when o_orderkey % 4 = 3 then null else year(o_orderdate) * 12 + month(o_orderdate) - 1 end::int as ordinal from orders
+select o_orderkey, case when o_orderkey % 4 = 0 then year(o_orderdate) * 12 when o_orderkey % 4 = 3 then null else year(o_orderdate) * 12 + month(o_orderdate) - 1 end::double as ordinal from orders
 """)
 def month_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month strings of several spellings as one number."""
     d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
     spelt = F.when(k == 0, F.date_format(d, "yyyy")).when(k == 1, F.date_format(d, "yyyy.MM")).when(k == 2, F.concat(F.date_format(d, "yyyy"), F.lit("年"), F.month(d).cast("string"), F.lit("月"))).otherwise("present")
-    return table(spark, sf_dir, "orders").select("o_orderkey", month_ordinal(spelt).alias("ordinal"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", month_ordinal(spelt).cast("double").alias("ordinal"))
 
 
 @query("""
-select c_custkey, case when c_custkey % 3 = 0 then 20 + c_custkey % 40 when c_custkey % 3 = 1 then 2024 - (1960 + c_custkey % 40) else case when c_custkey % 2 = 0 then 2024 - (1990 + c_custkey % 30) + 22 end end::int as age from customer
+select c_custkey, case when c_custkey % 3 = 0 then 20 + c_custkey % 40 when c_custkey % 3 = 1 then 2024 - (1960 + c_custkey % 40) else case when c_custkey % 2 = 0 then 2024 - (1990 + c_custkey % 30) + 22 end end::double as age from customer
 """)
 def age_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey").cast("int")
     derived = age(F.when(k % 3 == 0, 20 + k % 40), F.when(k % 3 == 1, 1960 + k % 40), F.when((k % 3 == 2) & (k % 2 == 0), 1990 + k % 30), 2024)
-    return table(spark, sf_dir, "customer").select("c_custkey", derived.alias("age"))
+    return table(spark, sf_dir, "customer").select("c_custkey", derived.cast("double").alias("age"))
 
 
 @query("""

@@ -113,10 +113,11 @@ def tree_of_text(lines: DataFrame, by: str) -> DataFrame:
 @query("""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where lang = 'de'),
 d as (select doc_id, pos, least((length(line) % 5), 9) as depth from l)
-select doc_id, pos, depth::int as depth, (select max(p.pos) from d p where p.doc_id = d.doc_id and p.pos < d.pos and p.depth < d.depth) as parent_pos from d
+select doc_id, pos, depth::int as depth, (select max(p.pos) from d p where p.doc_id = d.doc_id and p.pos < d.pos and p.depth < d.depth)::double as parent_pos from d
 """)
 def tree_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the German documents as trees; line length stands for the indent."""
     lines = table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     indented = lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.concat(F.repeat(F.lit("  "), F.length("raw") % 5), F.lit("x")).alias("line"))
-    return tree_of_text(indented, "doc_id")
+    tree = tree_of_text(indented, "doc_id")
+    return tree.withColumn("parent_pos", F.col("parent_pos").cast("double"))

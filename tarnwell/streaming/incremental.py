@@ -150,12 +150,12 @@ def void_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select c_custkey, case when c_custkey % 5 = 0 then null else 20 + c_custkey % 30 + 3 end::int as age from customer
+select c_custkey, case when c_custkey % 5 = 0 then null else 20 + c_custkey % 30 + 3 end::double as age from customer
 """)
 def daily_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived ages moved on by the years since their baseline."""
     age = F.when(F.col("c_custkey") % 5 != 0, 20 + F.col("c_custkey") % 30)
-    return table(spark, sf_dir, "customer").select("c_custkey", (age + (F.lit(2024) - F.lit(2021))).cast("int").alias("age"))
+    return table(spark, sf_dir, "customer").select("c_custkey", (age + (F.lit(2024) - F.lit(2021))).cast("double").alias("age"))
 
 
 @query("select user_id, count(*) as n, max(running) as total from (select user_id, sum(floor(value)::bigint) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as running from events) group by user_id")
