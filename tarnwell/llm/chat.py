@@ -37,7 +37,7 @@ ROLES = ("", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 SYNONYMS = {"human": USER, "prompter": USER, "bot": ASSISTANT, "ai": ASSISTANT, "gpt": ASSISTANT, "model": ASSISTANT, "developer": SYSTEM}
-MERGE, RELABEL, INSERT = 1.0, 2.0, 1.5
+MERGE, RELABEL, INSERT = 1.0, 3.0, 1.5
 NEVER = float("inf")
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 

@@ -256,7 +256,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per clip: doc_id, clip, start_s, end_s."""
-    return mapped(docs, id_col, text_col, lambda text: [(k, a, b) for k, (a, b) in enumerate(stored(text)["clips"])], "clip int, start_s double, end_s double")
+    return mapped(docs, id_col, text_col, lambda text: [(k, a, b) for k, (a, b) in enumerate(stored(text)["clips"])], "clip bigint, start_s double, end_s double")
 
 
 def files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
