@@ -37,7 +37,7 @@ TOXIC_ROWS, CLEAN_ROWS, MOST_CHARS = 1500, 3000, 20_000
 FOLDS, HELD = 5, 0
 BUCKETS, DIM, GRAMS, WINDOW = 18, 8, (4, 5, 6), 2
 EPOCHS, START, RATE, BATCH = 10, 3, 0.3, 64
-CACHE, GROUP = 300_000, 1_000_000
+CACHE, GROUP, WORDS_AT_ONCE = 300_000, 1_000_000, 40_000
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -46,28 +46,39 @@ def held_out(id_column: Column) -> Column:
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, bucket) of all character n-grams of the words, in the order of the words."""
-    marked = " ".join(f"<{w.strip(EDGES) or w}>" for w in words) + " "
-    points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    space = points == 32
-    owner = np.cumsum(space) - space
-    at, found = [], []
-    for n in GRAMS:
-        if len(points) <= n:
-            continue
-        size = len(points) - n + 1
-        mixed = np.full(size, n, np.uint64)
-        for j in range(n):
-            mixed = (mixed ^ points[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        inside = (owner[:size] == owner[n - 1 :]) & ~space[n - 1 :]
-        at.append(owner[:size][inside])
-        found.append((mixed[inside] >> np.uint64(64 - BUCKETS)).astype(np.int32))
-    if not at:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
-    owners, grams = np.concatenate(at), np.concatenate(found)
-    order = np.argsort(owners, kind="stable")
-    return owners[order], grams[order]
+    """Number of character n-grams of each word, and their buckets in the order of the words."""
+    counts, buckets = [], []
+    for k in range(0, len(words), WORDS_AT_ONCE):
+        part = words[k : k + WORDS_AT_ONCE]
+        marked = " ".join(f"<{w.strip(EDGES) or w}>" for w in part) + " "
+        points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        space = points == 32
+        owner = np.cumsum(space, dtype=np.int32) - space
+        at, found = [], []
+        for n in GRAMS:
+            size = len(points) - n + 1
+            if size <= 0:
+                continue
+            mixed = np.full(size, n, np.uint64)
+            for j in range(n):
+                mixed = (mixed ^ points[j : j + size]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            inside = (owner[:size] == owner[n - 1 :]) & ~space[n - 1 :]
+            at.append(owner[:size][inside])
+            found.append((mixed[inside] >> np.uint64(64 - BUCKETS)).astype(np.int32))
+        owners = np.concatenate([np.empty(0, np.int32), *at])
+        counts.append(np.bincount(owners, minlength=len(part)))
+        buckets.append(np.concatenate([np.empty(0, np.int32), *found])[np.argsort(owners, kind="stable")])
+    return np.concatenate([np.empty(0, np.int64), *counts]), np.concatenate([np.empty(0, np.int32), *buckets])
+
+
+def word_means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean of each word's values, which stand one word after the other; 0 for words of none."""
+    out = np.zeros(len(counts))
+    some = counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], dtype=np.float64) / counts[some]
+    return out
 
 
 @dataclass
@@ -76,9 +87,8 @@ class Model:
     bias: float
 
     def word_shares(self, words: list[str]) -> np.ndarray:
-        owner, gram = gram_buckets(words)
-        total = np.bincount(owner, self.shares[gram], len(words))
-        return total / np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        counts, gram = gram_buckets(words)
+        return word_means(self.shares[gram], counts)
 
     def logit(self, shares: np.ndarray) -> float:
         return self.bias + best_window(shares)[1] if len(shares) else self.bias
@@ -98,11 +108,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     if len(set(toxic)) < 2:
         return Model(np.zeros(1 << BUCKETS, np.float32), -40.0)
     rng = np.random.default_rng(seed)
-    tokens = [t.lower().split() for t in texts]
     known: dict[str, int] = {}
-    docs = [np.array([known.setdefault(w, len(known)) for w in d], np.int64) for d in tokens]
-    owner, gram = gram_buckets(list(known))
-    counts = np.bincount(owner, minlength=len(known))
+    docs = [np.array([known.setdefault(w, len(known)) for w in t.lower().split()], np.int32) for t in texts]
+    counts, gram = gram_buckets(list(known))
+    del known
     starts = np.concatenate(([0], np.cumsum(counts)))
     vectors = rng.normal(0, 0.1, (1 << BUCKETS, DIM)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -140,7 +149,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     for epoch in range(EPOCHS):
         bags, goals = [], []
         direct = vectors @ (weights[:, 1] - weights[:, 0])
-        of_word = np.bincount(owner, direct[gram], len(known)) / np.maximum(counts, 1)
+        of_word = word_means(direct[gram], counts)
         for i in rng.permutation(filled):
             doc = docs[i]
             at = int(rng.integers(0, max(1, len(doc) - WINDOW)))
