@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.registry import query, table
+from tarnwell.session import written
 
 DEPTH = 20
 
@@ -24,14 +25,21 @@ nodes as (select 'r' || r_regionkey as id, null as parent, r_name as name from r
 
 
 def descended(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Rows (id, name, depth, path, root) from the roots down; the depth cap guards against cycles."""
-    tree.createOrReplaceTempView("_tree_nodes")
-    return tree.sparkSession.sql(f"""
-        with recursive walk (id, name, depth, path, root) max recursion level {depth} as (
-          select id, name, 0, name, id from _tree_nodes where parent is null
-          union all
-          select n.id, n.name, w.depth + 1, concat(w.path, '/', n.name), w.root from walk w join _tree_nodes n on n.parent = w.id)
-        select * from walk""")
+    """Rows (id, depth, path, root) from the roots down; the depth cap guards against cycles.
+
+    One join a level, each level written, rather than a recursive query, whose
+    number of rows is bounded.
+    """
+    children = tree.filter("parent is not null").select(F.col("id").alias("child"), F.col("name").alias("child_name"), "parent")
+    level = tree.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.col("id").alias("root"))
+    found = level
+    for _ in range(depth):
+        below = level.join(children, F.col("id") == F.col("parent"))
+        level = written(below.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "child_name").alias("path"), "root"), "tree-level")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
 
 
 def closure(tree: DataFrame, depth: int = 6) -> DataFrame:
