@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space and word of the result contracts.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from tarnwell.session import written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+__all__ = ["WORD", "running_sum", "whole_text", "written"]
 
-    Only where the session has none (tests, a laptop) is a temporary folder set.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnwell-checkpoint-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: White space and word of the result contracts.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def whole_text(column: str | Column) -> Column:
