@@ -61,12 +61,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         raise ValueError("every identifier function has clashes")
     table = written(recipes(docs, identifier, id_col, text_col), "recipes")
+    # Written, so that the join has exchanges of its own and the rows of a large group can be split.
     groups = table.groupBy("recipe").agg(
         F.max("doc_id").alias("keep_id"),
         F.count(F.lit(1)).alias("group_size"),
         F.coalesce(F.max_by("row", "doc_id"), F.max("row")).alias("keep_row"),
     )
-    return table.join(groups, "recipe").select(
+    return table.join(written(groups, "recipe-groups"), "recipe").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
     )
 
