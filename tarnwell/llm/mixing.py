@@ -10,9 +10,12 @@ separate by source, so each source's Newton iterations run as one expression on
 its own row, all sources at once.  Rates are at most 3 as targets are.
 
 Rounding into copies: floor(r) for all documents of a source and one more for
-those whose uniform hash of the id is under a threshold; the threshold comes
-from a histogram of the hash by source (at most BINS rows a source, combined on
-the map side), so a source with a third of all rows is never gathered.
+those whose uniform hash of the id is under a threshold.  Each class of sizes
+(by powers of two) has a threshold of its own, from the largest down, and what
+a class takes too much or too little is carried to the next; so a few large
+documents don't spoil the total.  Thresholds come from a histogram of the hash
+by source and class (at most BINS rows each, combined on the map side), so a
+source with a third of all rows is never gathered.
 
 Defined cases: null text has size 0; null source is a source of its own, last
 in order; sources of size 0 have target 0; repeated rows of one id get the same
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import WORD, whole_text, written
 
-CAP, BINS, STEPS = 3, 4096, 60
+CAP, BINS, STEPS = 3, 1024, 60
 
 
 def uniform(id_column: Column) -> Column:
@@ -75,27 +78,43 @@ def newton(size: Column, target: Column) -> Column:
     return F.when((size > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step))
 
 
+def size_class(size: Column) -> Column:
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
+def thresholds(classes: Column, part: Column) -> Column:
+    """Map of class to threshold; classes: array<struct<order, words, steps<upto, edge>>>, largest sizes first."""
+    start = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<class:int,edge:int>>").alias("edges"))
+
+    def step(acc: Column, c: Column) -> Column:
+        need = part * c["words"] + acc["carry"]
+        none = F.array(F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(0).alias("edge")))
+        best = F.array_min(F.transform(F.concat(none, c["steps"]), lambda e: F.struct(F.abs(need - e["upto"]).alias("off"), e["edge"].alias("edge"), e["upto"].alias("upto"))))
+        edge = F.struct((-c["order"]).alias("class"), best["edge"].alias("edge"))
+        return F.struct((need - best["upto"]).alias("carry"), F.concat(acc["edges"], F.array(edge)).alias("edges"))
+
+    return F.aggregate(classes, start, step, lambda acc: F.map_from_entries(acc["edges"]))
+
+
 def plan(sized: DataFrame) -> DataFrame:
-    """A row per source: source_size, target, rate, and whole and threshold of the rounding."""
+    """A row per source: source_size, target, rate, and whole and edges of the rounding."""
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = F.coalesce(F.least(F.lit(float(CAP)), F.exp(newton(F.col("source_size"), F.col("target")))), F.lit(0.0))
     nearest = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     rates = targets(by_source).withColumn("rate", nearest).withColumn("whole", F.floor("rate").cast("bigint"))
-    bins = sized.groupBy("source", uniform(F.col("doc_id")).alias("bin")).agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    edges = bins.select(F.col("source").alias("edge_source"), (F.col("bin") + 1).alias("edge"), upto.alias("upto"))
-    need = F.col("target") - F.col("whole") * F.col("source_size")
-    joined = rates.join(edges, F.col("source").eqNullSafe(F.col("edge_source")))
-    best = joined.groupBy("source", "source_size", "target", "rate", "whole").agg(
-        F.min(F.struct(F.abs(need - F.col("upto")).alias("off"), "edge")).alias("best"), F.first(need).alias("need")
+    bins = sized.groupBy("source", size_class(F.col("size")).alias("class"), uniform(F.col("doc_id")).alias("bin")).agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source", "class").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    steps = bins.select("source", "class", "words", upto.alias("upto"), (F.col("bin") + 1).alias("edge")).groupBy("source", "class")
+    steps = steps.agg(F.sum("words").alias("words"), F.collect_list(F.struct("upto", "edge")).alias("steps"))
+    classes = steps.groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("class")).alias("order"), "words", "steps"))).alias("classes"))
+    classes = classes.withColumnRenamed("source", "of")
+    return rates.join(classes, F.col("source").eqNullSafe(F.col("of"))).select(
+        "source", "source_size", "target", "rate", "whole", thresholds(F.col("classes"), F.col("rate") - F.col("whole")).alias("edges")
     )
-    # No extra copies at all is an edge too, and the only one where the rate is whole.
-    edge = F.when((F.col("rate") == F.col("whole")) | (F.col("need") <= F.col("best.off")), 0).otherwise(F.col("best.edge"))
-    return best.select("source", "source_size", "target", "rate", "whole", edge.alias("edge"))
 
 
-def copies(id_column: Column) -> Column:
-    return F.col("whole") + (uniform(id_column) < F.col("edge")).cast("bigint")
+def copies(id_column: Column, size: Column, whole: Column, edges: Column) -> Column:
+    return whole + (uniform(id_column) < F.coalesce(F.try_element_at(edges, size_class(size)), F.lit(0))).cast("bigint")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -104,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     by = plan(sized).withColumnRenamed("source", "plan_source")
     return (
         sized.join(by, F.col("source").eqNullSafe(F.col("plan_source")))
-        .withColumn("copies", copies(F.col("doc_id")))
+        .withColumn("copies", copies(F.col("doc_id"), F.col("size"), F.col("whole"), F.col("edges")))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
     )
 
@@ -115,9 +134,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     Only the plan's row per source is joined; copies follow from it and the row's id.
     """
     sized = written(sizes(docs, id_col, source_col, text_col), "sizes")
-    by = written(plan(sized), "mix-plan").select(F.col("source").alias("_plan_source"), F.col("whole"), F.col("edge"))
-    by = by.select("_plan_source", F.struct("whole", "edge").alias("_plan"))
+    by = written(plan(sized), "mix-plan").select(F.col("source").alias("_plan_source"), F.struct("whole", "edges").alias("_plan"))
     joined = docs.join(by, docs[source_col].eqNullSafe(F.col("_plan_source")))
-    times = F.col("_plan.whole") + (uniform(docs[id_col]) < F.col("_plan.edge")).cast("bigint")
+    size = F.regexp_count(whole_text(docs[text_col]), F.lit(WORD)).cast("bigint")
+    times = copies(docs[id_col], size, F.col("_plan.whole"), F.col("_plan.edges"))
     many = F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>"))
     return joined.withColumn("_copy", F.explode(many)).select(*[docs[c] for c in docs.columns])
