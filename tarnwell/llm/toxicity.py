@@ -179,8 +179,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     parts = [marked.filter(F.col("toxic") == t).orderBy(*order).limit(n * 5 // 4) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     chosen = parts[0].unionByName(parts[1])
     short = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(F.length("text") <= MOST_CHARS)
-    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "toxic", "text", order[0].alias("place")).toPandas()
-    rows = rows.sort_values(["place", "label_id", "text"]).drop_duplicates("label_id")
+    # The chosen ids are bounded; rows that repeat one of them count once, before anything is collected.
+    found = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "toxic").agg(F.min("text").alias("text"))
+    rows = found.select("label_id", "toxic", "text", order[0].alias("place")).toPandas().sort_values(["place", "label_id"])
     parts = [rows[rows.toxic == t].head(n) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     return [x for p in parts for x in p.text], [int(x) for p in parts for x in p.toxic]
 
@@ -224,7 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: doc_id, held_out, score, predicted."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rated = scored(narrow, fit(docs, labels, id_col, text_col))
-    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rated.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
