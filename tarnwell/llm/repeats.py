@@ -243,6 +243,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     every = written(suffixes(source), "suffixes")
     shared = every.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
+    # Written, so that the join has exchanges of its own and a passage's many rows can be split.
+    shared = written(shared.select("hash"), "shared-hashes")
     kept = every.join(shared.select(F.col("hash").alias("of")), F.col("hash") == F.col("of"), "left_semi")
     by_doc = kept.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("place", "hash"))).alias("kept"))
     by_doc = by_doc.select(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version"), "kept")
