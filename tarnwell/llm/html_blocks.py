@@ -9,7 +9,7 @@ the document around it.  Blocks of probability one half or more are main text.
 There are no labels, so the labeller learns from distant ones: on a bounded
 sample of pages (TRAIN_PAGES, a documented parameter) blocks under article or
 main are main text, and blocks under nav, footer, forms, adverts and the like
-are not, the nearest telling tag deciding.  Half of the training sequences are
+are not, the nearest telling tag deciding.  Three of four training sequences are
 rebuilt: path names are replaced by plain ones, and menus, notices, sidebars,
 forms and reader comments made from other blocks are put around the article.
 So the labeller must also use words, figures and neighbours.  Extraction itself
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import whole_text
 
 TRAIN_PAGES, TRAIN_CHARS, EPOCHS, BATCH, RATE = 300, 200_000, 6, 24, 0.01
-PATH_DIM, WORD_DIM, HIDDEN = 64, 32, 16
+PATH_DIM, WORD_DIM, HIDDEN, REBUILT = 128, 32, 16, 3
 TOGETHER = 60_000
 
 #: Fixed values of HTML: elements with no content, with text that is no markup, and inside a line of text.
@@ -168,7 +168,7 @@ def distant_label(path: tuple[str, ...]) -> int | None:
 def path_tokens(path: tuple[str, ...]) -> np.ndarray:
     vector = np.zeros(PATH_DIM, np.float32)
     for depth, name in enumerate(reversed(path[-8:])):
-        for token in name.split("."):
+        for token in re.split("[-._]", name):
             vector[zlib.crc32(token.encode()) % PATH_DIM] += 1 / (1 + 0.3 * depth)
     return vector
 
@@ -322,9 +322,11 @@ def rebuilt(page: list[Block], pool: list[Block], rng: np.random.Generator) -> t
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Labeller:
-    order = [F.xxhash64(F.col(id_col), F.length(html_col)), F.col(id_col), F.col(html_col)]
-    sample = pages.filter((F.length(html_col) <= TRAIN_CHARS)).orderBy(*order).select(html_col).limit(TRAIN_PAGES)
-    read = [blocks(r[0]) for r in sample.collect()]
+    # The sample's ids are chosen first, without the pages; only the sample's pages, one an id, are collected.
+    short = pages.filter(F.length(html_col) <= TRAIN_CHARS).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    ids = short.filter(F.col("id").isNotNull()).select("id").distinct().withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(TRAIN_PAGES)
+    sample = short.join(F.broadcast(ids), "id").groupBy("place", "id").agg(F.min("html").alias("html"))
+    read = [blocks(r["html"]) for r in sorted(sample.collect(), key=lambda r: (r["place"], r["id"]))]
     rng, labeller = np.random.default_rng(3), Labeller()
     vectors, labels = [], []
     pool = [b for page in read for b in page]
@@ -334,10 +336,11 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> La
             continue
         vectors.append(features(page))
         labels.append(np.array([-1 if x is None else x for x in own]))
-        made, marks = rebuilt(page, pool, rng)
-        if made:
-            vectors.append(features(made))
-            labels.append(np.array(marks))
+        for _ in range(REBUILT):
+            made, marks = rebuilt(page, pool, rng)
+            if made:
+                vectors.append(features(made))
+                labels.append(np.array(marks))
     if vectors:
         labeller.train(vectors, labels)
     else:  # nothing teaches: the figure of length alone
