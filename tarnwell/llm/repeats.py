@@ -6,8 +6,10 @@ words holds one, the same in every document.
 
 1. Each document gives its minimisers (document, place, hash), some 5 in 100
    words, by numpy.  Hashes that a single document holds are dropped.
-2. The kept suffixes fetch their context, REACH words to the right and to the
-   left, from the texts; only these move on.
+2. The kept suffixes fetch their context, AFTER words to the right and BEFORE
+   to the left, from the texts; only these move on.  LEAST and LEAST - KGRAM
+   would do: a passage's first minimiser is that near its start, its last one
+   that near its end, and those between are nearer to each other.
 3. The suffixes are sorted (by range, ties split by document and place, so a
    passage of a third of all rows fills many partitions evenly).  A suffix
    shares most with a neighbour in that order, so each is compared with the
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import whole_text, written
 
-LEAST, KGRAM, REACH, NEAR = 50, 16, 64, 4
+LEAST, KGRAM, AFTER, BEFORE, NEAR = 50, 16, 64, 40, 4
 WINDOW = LEAST - KGRAM + 1
 BLOCK = 1 << 22
 BLANK = np.zeros(256, bool)
@@ -112,7 +114,7 @@ def suffixes(source: DataFrame) -> DataFrame:
                 ["doc_id", "version", "place", "hash"],
             )
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, version bigint, place int, hash bigint")
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, version int, place int, hash bigint")
 
 
 def contexts(source: DataFrame) -> DataFrame:
@@ -123,13 +125,13 @@ def contexts(source: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 raw = batch.column("text")[row].as_py().encode()
-                kept = batch.column("kept")[row].as_py()
                 starts, ends = bounds(np.frombuffer(raw, np.uint8))
+                kept = [x for x in batch.column("kept")[row].as_py() if x["place"] < len(starts)]
                 after, before = [], []
                 for x in kept:
                     p = x["place"]
-                    after.append(b" ".join(raw[starts[p] : ends[min(len(ends), p + REACH) - 1]].split()).decode())
-                    before.append(b" ".join(raw[starts[max(0, p - REACH)] : starts[p]].split()).decode())
+                    after.append(b" ".join(raw[starts[p] : ends[min(len(ends), p + AFTER) - 1]].split()).decode())
+                    before.append(b" ".join(raw[starts[max(0, p - BEFORE)] : starts[p]].split()).decode())
                 ids = pa.repeat(batch.column("doc_id")[row], len(kept))
                 hashes, places = pa.array([x["hash"] for x in kept], pa.int64()), pa.array([x["place"] for x in kept], pa.int32())
                 yield pa.RecordBatch.from_arrays([hashes, pa.array(after), pa.array(before), ids, places], ["hash", "after", "before", "doc_id", "place"])
@@ -210,7 +212,7 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
                 for x in reversed(others):
                     if x.doc != row.doc and (found := matched(x, row)):
                         out += [span(row, x, found), span(x, row, found)]
-                        if found == (REACH, REACH):
+                        if found == (BEFORE, AFTER):
                             break
                 now = row
             if out:
@@ -240,7 +242,9 @@ def united(spans: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage: doc_id, start_word, end_word (exclusive), n_words, other_id, other_start."""
     text = whole_text(text_col)
-    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    # The version tells rows of one id apart by their text; where it fails to, a place gives a context of the
+    # other text, whose matches are as true as any.
+    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), (F.xxhash64(text) % 1024).cast("int").alias("version"), text.alias("text"))
     every = written(suffixes(source), "suffixes")
     shared = every.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
     # Written, so that the join has exchanges of its own and a passage's many rows can be split.
