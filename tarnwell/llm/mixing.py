@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import WORD, whole_text, written
 
-CAP, BINS, STEPS = 3, 1024, 60
+CAP, BINS, STEPS = 3, 128, 60
 
 
 def uniform(id_column: Column) -> Column:
