@@ -65,3 +65,32 @@ def test_every_passage_has_a_minimiser():
     text = words(3000)
     places = set(op.minimisers(" ".join(text))[0].tolist())
     assert all(any(i <= p <= i + op.LEAST - op.KGRAM for p in places) for i in range(3000 - op.LEAST + 1))
+
+
+def test_left_words_of_a_common_line(spark):
+    """Documents that share words only to the left of a line of 40 words which many hold."""
+    line, rows, at = words(40), [], 1000
+    for i in range(400):
+        rows.append((i, " ".join([*words(10), *line, *words(60)])))
+    for _ in range(12):
+        left = words(10)
+        for _ in range(2):
+            rows.append((at, " ".join([*words(20), *left, *line, *words(60)])))
+            at += 1
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check(df, 0)
+    assert {r.doc_id for r in op.repeated_passages(df).collect()} == set(range(1000, at))
+
+
+def test_copies_of_a_common_passage_in_one_document(spark):
+    """A context that a document holds twice, and others share in part."""
+    line, rows = words(45), []
+    for i in range(30):
+        rows.append((i, " ".join([*words(8), *line, *words(30)])))
+    tail, lead = words(5), words(60)
+    rows += [(100, " ".join([*lead, *line, *tail, *words(20), *lead, *line, *tail])), (101, " ".join([*words(50), *line, *tail, *words(50)]))]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), 0)
+
+
+def test_nothing_is_missed(spark):
+    check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 0)
