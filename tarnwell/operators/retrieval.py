@@ -99,6 +99,33 @@ def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.above_relative(scored, 0.4).select("query_id", "id")
 
 
+ALL_VECTORS = VECTORS.replace("order by vec_id limit 5", "where vec_id % 100 = 0")
+
+
+def all_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set that grows with the table: each hundredth vector."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+
+
+@query(ALL_VECTORS + " select query_id, id, round(1 / (1 + distance), 6) as similarity, rank from (select *, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) where rank <= 20")
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), all_query_vectors(spark, sf_dir), 20)
+    return hits.select("query_id", "id", F.round(plan.similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(ALL_VECTORS + " select query_id, id, label, rank from (select *, row_number() over (partition by query_id, label order by round(distance, 9), id) as rank from d) where rank <= 3")
+def vector_kind_quota_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), all_query_vectors(spark, sf_dir), 3, "label")
+    return hits.select("query_id", "id", "label", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(ALL_VECTORS + ", r as (select *, round(1 / (1 + distance), 9) as score, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) select query_id, id from (select *, max(score) over (partition by query_id) as top from r where rank <= 50) where score >= 0.4 * top")
+def vector_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), all_query_vectors(spark, sf_dir), 50)
+    scored = hits.withColumn("score", F.round(plan.similarity(F.col("distance")), 9))
+    return plan.above_relative(scored, 0.4).select("query_id", "id")
+
+
 FUSED = BM25 + """,
 lex as (select query_id, id, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s),
 cov as (select query_id, id, row_number() over (partition by query_id order by matched desc, id) as rank from s),

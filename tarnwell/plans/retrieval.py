@@ -5,11 +5,16 @@ Everything takes a table of queries and answers all of them in one plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.session import fresh_path
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 WORDS = r"[^\p{L}\p{N}]+"
@@ -69,6 +74,69 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int,
     return ranked(scored, k, score=F.asc(F.round("distance", 9)))
 
 
+def blocks_of(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of a table (query_id, v) by blocks of at most `size` rows; no more than a partition comes to the driver at once."""
+    ids, vectors = [], []
+    for q, v in queries.select("query_id", "v").repartition(max(1, -(-queries.count() // size))).toLocalIterator():
+        ids.append(q)
+        vectors.append(v)
+        if len(ids) == size:
+            yield ids, np.array(vectors, np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield ids, np.array(vectors, np.float64)
+
+
+def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
+    """Exact top k of each query of a table (query_id, v) of any size, within each value of `group` if given.
+
+    Every vector is scored against every query, a block of queries at a time;
+    each batch of vectors passes on no more than its k best.  Vectors have the
+    queries' length; null vectors are no hits and ask nothing.
+    """
+    source = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), *([group] if group else []), F.col(vector_col).alias("_e"))
+    queries = queries.filter("v is not null")
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": source.schema["id"].dataType.simpleString()}
+    if group:
+        kinds[group] = source.schema[group].dataType.simpleString()
+    by = ["query_id", group] if group else ["query_id"]
+
+    def scorer(ids: list, given: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in filter(lambda b: b.num_rows, batches):
+                e = batch.column("_e").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                # By place in the order of ids and values, so that both may be of any type.
+                place = np.argsort(pa.compute.rank(batch.column("id"), tiebreaker="first").to_numpy() - 1, kind="stable")
+                own = batch.column(group).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)[place] if group else np.zeros(len(place), np.int64)
+                rows, which, distances = [], [], []
+                for q, v in enumerate(given):
+                    apart = e - v
+                    distance = np.einsum("ij,ij->i", apart, apart)[place]
+                    order = np.lexsort((np.round(distance, 9), own))
+                    sorted_own = own[order]
+                    begin = np.flatnonzero(np.append(True, sorted_own[1:] != sorted_own[:-1]))
+                    position = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+                    best = order[position < k]
+                    rows.append(place[best])
+                    which.append(np.full(len(best), q))
+                    distances.append(distance[best])
+                taken = pa.array(np.concatenate(rows))
+                asked = pa.array(ids).take(pa.array(np.concatenate(which)))
+                columns = [asked, batch.column("id").take(taken), *([batch.column(group).take(taken)] if group else []), pa.array(np.concatenate(distances))]
+                yield pa.RecordBatch.from_arrays(columns, [*kinds, "distance"])
+
+        return run
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", distance double"
+    order = Window.partitionBy(*by).orderBy(F.round("distance", 9), "id")
+    path = fresh_path(vectors.sparkSession, "nearest")
+    vectors.sparkSession.createDataFrame([], schema + ", rank int").write.parquet(path)
+    for ids, given in blocks_of(queries, block):
+        scored = source.mapInArrow(scorer(ids, given), schema)
+        scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).write.mode("append").parquet(path)
+    return vectors.sparkSession.read.schema(schema + ", rank int").parquet(path)
+
+
 def reciprocal_ranks(channels: DataFrame, weights: dict[str, float], families: dict[str, str]) -> DataFrame:
     """Fusion of rows (query_id, id, channel, rank).
 
