@@ -124,12 +124,24 @@ def first_wins(page: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     return page.groupBy("page").applyInPandas(decide, page.schema)
 
 
-@query()
-def hydrate_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the benchmark's hits (20 rows each), deduplicated on several keys at once."""
+def hydrated(spark: SparkSession, sf_dir: str, terms: int | None) -> DataFrame:
     from tarnwell.operators.retrieval import bm25_topk
 
-    hits = bm25_topk(spark, sf_dir).select(F.col("query_id").alias("page"), "rank", F.col("id").alias("doc_id"))
+    hits = bm25_topk(spark, sf_dir, terms).select(F.col("query_id").alias("page"), "rank", F.col("id").alias("doc_id"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.col("n_chars"))
     page = hits.join(docs, "doc_id").select("page", "rank", "doc_id", "sha", "n_chars")
     return first_wins(page, ["rank"], ["sha", "n_chars"])
+
+
+@query()
+def hydrate_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the benchmark's hits (20 rows each), deduplicated on several keys at once."""
+    from tarnwell.operators.retrieval import TERMS
+
+    return hydrated(spark, sf_dir, TERMS)
+
+
+@query()
+def hydrate_first_wins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for hits by all words of each item."""
+    return hydrated(spark, sf_dir, None)

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.plans import retrieval as plan
-from tarnwell.registry import query, table
+from tarnwell.registry import ORACLES, query, table
 
 #: Query tokens: the longest words of each benchmark item.
 TERMS = 6
 
 
-def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query_tokens(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+    """(query_id, token) of the longest words of each item; all distinct words where `terms` is None."""
     words = F.array_distinct(plan.tokens("text"))
-    longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, TERMS)
+    if terms is None:
+        return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("token"))
+    longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, terms)
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(longest["w"]).alias("token"))
 
 
@@ -35,29 +38,29 @@ s as (select query_id, tf.doc_id as id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
 @query(BM25 + " select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 20")
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
+def bm25_topk(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
     return plan.ranked(scores, 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25.replace("from documents", "from documents where lang = 'en'") + " select query_id, id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 10")
-def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_filtered_topk(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
     """Hard filters stand below the ranking, never after it."""
-    scores = plan.bm25(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir))
+    scores = plan.bm25(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir, terms))
     return plan.ranked(scores, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25 + " select query_id, count(*) as any_hits, sum(case when matched >= 2 then 1 else 0 end)::bigint as two_hits, max(matched) as most from s group by query_id")
-def boolean_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boolean_and_or(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
     """Concepts of one owner: any of them, or several, over all its rows."""
-    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
+    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
     return hits.groupBy("query_id").agg(F.count("*").alias("any_hits"), F.count_if(F.col("matched") >= 2).alias("two_hits"), F.max("matched").alias("most"))
 
 
 @query(f"with {QTOK}, a as (select lang, query_id, count(distinct token) as covered from documents, lateral (select unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as token) join qt using (token) group by lang, query_id), n as (select query_id, count(*) as n from qt group by query_id) select lang, query_id, covered, round(covered::double / n, 6) as coverage from a join n using (query_id)")
-def concept_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def concept_coverage(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
     """The share of a query's concepts that a group has, over all its rows."""
-    wanted = query_tokens(spark, sf_dir)
+    wanted = query_tokens(spark, sf_dir, terms)
     have = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(plan.tokens("text"))).alias("token")).distinct()
     covered = have.join(wanted, "token").groupBy("lang", "query_id").agg(F.count("*").alias("covered"))
     sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -134,8 +137,8 @@ f as (select query_id, id, sum(part) as score from (select query_id, id, family,
   select query_id, id, 'cover', 0.5 / (60 + rank) from cov where rank <= 50) group by query_id, id, family) group by query_id, id)"""
 
 
-def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
+def fused(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
     lexical = plan.ranked(scores, 50).withColumn("channel", F.lit("bm25"))
     cover = plan.ranked(scores, 50, score=F.desc("matched")).withColumn("channel", F.lit("cover"))
     channels = lexical.unionByName(cover).select("query_id", "id", "channel", "rank")
@@ -143,9 +146,9 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(FUSED + " select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) where rank <= 20")
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rrf_fusion(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
     """Weighted reciprocal-rank fusion of two channels; the flagship query."""
-    return plan.ranked(fused(spark, sf_dir), 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return plan.ranked(fused(spark, sf_dir, terms), 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25 + """,
@@ -153,9 +156,9 @@ o as (select query_id, id, row_number() over (partition by query_id order by rou
 w as (select query_id, id, row_number() over (partition by query_id order by matched desc, id) as rank from s),
 f as (select query_id, id, max(part) as score from (select query_id, id, 1.0 / (60 + rank) as part from o where rank <= 30 union all select query_id, id, 0.7 / (60 + rank) from w where rank <= 30) group by query_id, id)
 select query_id, id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) where rank <= 10""")
-def rrf_family_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rrf_family_max(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
     """Original and rewritten query are one family: the larger part counts."""
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
+    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
     original = plan.ranked(scores, 30).withColumn("channel", F.lit("original"))
     rewrite = plan.ranked(scores, 30, score=F.desc("matched")).withColumn("channel", F.lit("rewrite"))
     channels = original.unionByName(rewrite).select("query_id", "id", "channel", "rank")
@@ -167,9 +170,9 @@ def rrf_family_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 r as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 20),
 k as (select query_id, id, rank, case when rank <= 10 then (select sum((length(lower(d.text)) - length(replace(lower(d.text), token, ''))) / length(token)) from qt, documents d where qt.query_id = r.query_id and d.doc_id = r.id) end as rerank from r)
 select query_id, id, row_number() over (partition by query_id order by rerank desc nulls last, rank, id) as place from k""")
-def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rerank_keyword(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
     """The first 10 reordered by how often the query's terms occur, the rest in order."""
-    wanted = query_tokens(spark, sf_dir)
+    wanted = query_tokens(spark, sf_dir, terms)
     hits = plan.ranked(plan.bm25(table(spark, sf_dir, "documents"), wanted), 20)
     terms = wanted.groupBy("query_id").agg(F.collect_list("token").alias("terms"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
@@ -180,9 +183,9 @@ def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BM25 + ", m as (select query_id, max(matched) as best from s group by query_id) select query_id, count(*) as kept from s join m using (query_id) where matched >= 2 or best < 2 group by query_id")
-def weak_hit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weak_hit_filter(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
     """Hits of too few terms go, unless that would leave a query without any."""
-    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
+    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
     best = F.max("matched").over(Window.partitionBy("query_id"))
     return hits.withColumn("best", best).filter("matched >= 2 or best < 2").groupBy("query_id").agg(F.count("*").alias("kept"))
 
@@ -221,3 +224,17 @@ def source_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", tier.alias("tier"), F.length("html").alias("size"))
     by = Window.partitionBy("tier").orderBy(F.desc("size"), "page_id")
     return rows.withColumn("place", F.row_number().over(by).cast("bigint")).filter("place <= 10").select("tier", "page_id", "place")
+
+
+def register_all_terms(function) -> None:
+    """The query NAME_all, of all distinct words of each item instead of the TERMS longest."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(spark, sf_dir, None)
+
+    run.__name__, run.__doc__ = f"{function.__name__}_all", function.__doc__
+    query(ORACLES[function.__name__].replace(" where rn <= 6", ""))(run)
+
+
+for _function in (bm25_topk, bm25_filtered_topk, boolean_and_or, concept_coverage, rrf_fusion, rrf_family_max, rerank_keyword, weak_hit_filter):
+    register_all_terms(_function)

@@ -1,5 +1,6 @@
 """Queries over whole query sets, against plain Python."""
 
+from tarnwell.operators import matching, retrieval
 from tarnwell.plans import retrieval as plan
 
 
@@ -15,3 +16,16 @@ def test_every_query_of_a_table_is_answered(spark):
                 some = sorted(((y - x) ** 2, i) for i, y, h in rows[:60] if g is None or h == g)
                 want |= {(q, i) for _, i in some[:4]}
         assert got == want
+
+
+def test_all_words_of_an_item_count(spark, tmp_path):
+    item = "aaaaaaaa bbbbbbbb cccccccc dddddddd eeeeeeee ffffffff rare word"
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "rare word", "en"), (2, "aaaaaaaa", "en"), (3, "other", "de")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 0, "a rare turn")], "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    from tarnwell.registry import QUERIES
+
+    assert [(r.id, r.rank) for r in QUERIES["bm25_topk_all"](spark, str(tmp_path)).collect()] == [(1, 1), (2, 2)]
+    assert QUERIES["boolean_and_or_all"](spark, str(tmp_path)).first().two_hits == 1
+    assert retrieval.query_tokens(spark, str(tmp_path), None).count() == 8
+    assert matching.related_chunks_all(spark, str(tmp_path)).first().shared == 1
