@@ -197,6 +197,18 @@ def evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
+#: White space of any kind, in both engines' notation.
+BLANKS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"select sha256(t) as key, min(doc_id) as doc_id, count(*) as n from (select doc_id, trim(regexp_replace(text, '{BLANKS}', ' ', 'g'), ' ') as t from documents) where t <> '' group by t")
+def evidence_dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence whose whole texts agree, white space aside, counts once; the first stays and empty ones go."""
+    text = F.trim(F.regexp_replace("text", BLANKS, " "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).filter("t <> ''")
+    return rows.groupBy(F.sha2("t", 256).alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
 @query("""
 select conv_id, coalesce(max(case when role = 'system' then turn end), min(case when role = 'user' then turn end), min(turn)) as parent_turn from conversations group by conv_id
 """)

@@ -29,3 +29,10 @@ def test_all_words_of_an_item_count(spark, tmp_path):
     assert QUERIES["boolean_and_or_all"](spark, str(tmp_path)).first().two_hits == 1
     assert retrieval.query_tokens(spark, str(tmp_path), None).count() == 8
     assert matching.related_chunks_all(spark, str(tmp_path)).first().shared == 1
+
+
+def test_evidence_is_compared_whole(spark, tmp_path):
+    opening = "the same long opening of many templates which runs to well over sixty letters "
+    rows = [(1, opening + "one"), (2, opening + "two"), (3, f" {opening}\tone\u3000"), (4, "2020"), (5, "2021"), (6, " \n"), (7, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.n) for r in retrieval.evidence_dedupe_all(spark, str(tmp_path)).collect()) == [(1, 2), (2, 1), (4, 1), (5, 1)]
