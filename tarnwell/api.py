@@ -43,6 +43,17 @@ def sanitized(text: str) -> str:
     return text.translate(dict.fromkeys(map(ord, "\"'“”‘’")))
 
 
+def ranked_owners(hits: DataFrame, score: Column, chunks: DataFrame, k: int, channel: str) -> DataFrame:
+    """Rows (query_id, candidate_id, id, channel, rank) of the k best owners, each by its best chunk.
+
+    The best chunk combines on the map side, so an owner of many chunks takes one place.
+    """
+    order = F.struct((-F.round(score, 9)).alias("low"), F.col("id"))
+    owned = hits.join(chunks.select("id", "candidate_id"), "id").groupBy("query_id", "candidate_id").agg(F.min(order).alias("best"))
+    rows = owned.select("query_id", "candidate_id", F.col("best.id").alias("id"), (-F.col("best.low")).alias("score"))
+    return retrieval.ranked(rows, k).select("query_id", "candidate_id", "id", F.lit(channel).alias("channel"), "rank")
+
+
 def search(chunks: DataFrame, spec: SearchSpec, reranker: Callable[[DataFrame], Column] | None = None) -> Page:
     """Words to a page of owners.
 
@@ -63,15 +74,18 @@ def search(chunks: DataFrame, spec: SearchSpec, reranker: Callable[[DataFrame],
     if terms:
         wanted = spark.createDataFrame([(1, t) for t in terms], "query_id int, token string")
         scores = retrieval.bm25(kept, wanted, "id", "keyword_text")
-        channels.append(retrieval.ranked(scores, spec.page * POOL).select("query_id", "id", F.lit("bm25").alias("channel"), "rank"))
+        channels.append(ranked_owners(scores, F.col("score"), kept, spec.page * POOL, "bm25"))
     if spec.vector and "vector" in chunks.columns:
-        near = retrieval.nearest(kept, [(1, list(spec.vector))], spec.page * POOL, "id", "vector")
-        channels.append(near.select("query_id", "id", F.lit("vector").alias("channel"), "rank"))
+        given = F.array(*[F.lit(float(x)) for x in spec.vector])
+        near = kept.select(F.lit(1).alias("query_id"), "id", retrieval.squared_distance("vector", given).alias("distance")).filter("distance is not null")
+        channels.append(ranked_owners(near, -F.col("distance"), kept, spec.page * POOL, "vector"))
     owners = kept.select("id", "candidate_id", "keyword_text")
     if channels:
         union = channels[0] if len(channels) == 1 else channels[0].unionByName(channels[1])
-        fused = retrieval.reciprocal_ranks(union, {"bm25": 1.0, "vector": 1.0}, {"bm25": "bm25", "vector": "vector"})
-        hits = fused.join(owners, "id")
+        # Fused by owner: its best chunks of the two channels may differ; the better ranked one stands for it.
+        fused = retrieval.reciprocal_ranks(union.withColumn("id", F.col("candidate_id")), {"bm25": 1.0, "vector": 1.0}, {"bm25": "bm25", "vector": "vector"})
+        shown = union.groupBy("candidate_id").agg(F.min(F.struct("rank", "id"))["id"].alias("id"))
+        hits = fused.withColumnRenamed("id", "candidate_id").join(shown, "candidate_id").join(owners.drop("candidate_id"), "id")
     else:
         hits = owners.withColumn("score", F.lit(0.0)).withColumn("query_id", F.lit(1))
     best = Window.partitionBy("query_id", "candidate_id").orderBy(F.desc("score"), "id")

@@ -51,6 +51,15 @@ def test_reranker_and_pages(chunks):
     assert len(ids(api.search(chunks, api.SearchSpec("", page=2, page_size=3)))) == 1
 
 
+def test_an_owner_of_many_chunks_leaves_room(spark):
+    rows = [(f"h{i:04d}", "hot", "java java java", [1.0, 0.0]) for i in range(3 * api.POOL)] + [(f"z{i}", f"o{i}", "java and more words besides", [0.5, 0.5]) for i in range(9)]
+    many = spark.createDataFrame(rows, "id string, candidate_id string, keyword_text string, vector array<float>")
+    want = ["hot", *(f"o{i}" for i in range(9))]
+    assert ids(api.search(many, api.SearchSpec("Java"))) == want
+    assert ids(api.search(many, api.SearchSpec("", vector=(1.0, 0.0)))) == want
+    assert ids(api.search(many, api.SearchSpec("Java", vector=(1.0, 0.0)))) == want
+
+
 def test_match(spark):
     pairs = spark.createDataFrame([("p", "j", 0.9, True), ("q", "j", None, True), ("r", "j", 0.9, False), ("s", "j", 0.1, True)], "candidate_id string, job_id string, skill double, ok boolean")
     got = api.match_job(pairs, {"skills": F.col("skill"), "years": F.lit(0.5)}, [("must", ~F.col("ok"))])
