@@ -248,8 +248,19 @@ def json_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 with c as (select doc_id, unnest(string_split(text, '.')) as clause from documents where lang = 'en')
 select doc_id, sum((regexp_matches(clause, '(?i)worthless|stupid'))::int)::bigint as excluded, sum((not regexp_matches(clause, '(?i)worthless|stupid') and regexp_matches(clause, '(?i)with '))::int)::bigint as preferred, count(*) as clauses from c group by doc_id
 """)
-def clause_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clause_constraints(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
     """Clauses by kind; exclusion wins over preference."""
-    clauses = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.split("text", "[.]")).alias("clause"))
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.filter(F.col("lang") == lang) if lang else docs
+    clauses = docs.select("doc_id", F.explode(F.split("text", "[.]")).alias("clause"))
     out = F.col("clause").rlike("(?i)worthless|stupid")
     return clauses.groupBy("doc_id").agg(F.count_if(out).alias("excluded"), F.count_if(~out & F.col("clause").rlike("(?i)with ")).alias("preferred"), F.count("*").alias("clauses"))
+
+
+@query("""
+with c as (select doc_id, unnest(string_split(text, '.')) as clause from documents)
+select doc_id, sum((regexp_matches(clause, '(?i)worthless|stupid'))::int)::bigint as excluded, sum((not regexp_matches(clause, '(?i)worthless|stupid') and regexp_matches(clause, '(?i)with '))::int)::bigint as preferred, count(*) as clauses from c group by doc_id
+""")
+def clause_constraints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clause_constraints over documents of any language."""
+    return clause_constraints(spark, sf_dir, None)

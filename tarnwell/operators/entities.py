@@ -69,6 +69,18 @@ def casefold_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en' and n_chars < 400").select("doc_id", F.array_join(first, " ").alias("words"))
 
 
+@query("""
+with w as (select doc_id, unnest(regexp_split_to_array(text, ' ')) as word, generate_subscripts(regexp_split_to_array(text, ' '), 1) as pos from documents),
+f as (select doc_id, word, pos, row_number() over (partition by doc_id, lower(word) order by pos) as rn from w)
+select doc_id, string_agg(word, ' ' order by pos) as words from f where rn = 1 group by doc_id
+""")
+def casefold_dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """casefold_dedupe over documents of any language and length, in work linear in the words."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    first = words.groupBy("doc_id", F.lower("word")).agg(F.min(F.struct("pos", "word")).alias("first"))
+    return first.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("first"))["word"], " ").alias("words"))
+
+
 @query("""
 with s as (select doc_id, min(doc_id) over (partition by text) as survivor from documents)
 select l.doc_id, s.survivor, l.quality from labels l join s on l.doc_id = s.doc_id

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,15 +110,26 @@ def department_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_of_text(lines: DataFrame, by: str) -> DataFrame:
     """(by, pos, depth, parent_pos) of indented lines (by, pos, line): the parent is the last line of less depth before.
 
-    For each depth the last place is kept in a running window, so no line is joined with others.
+    A stack of the lines that are still open is carried through each text's lines, to any depth.
     """
-    depth = F.floor((F.length("line") - F.length(F.ltrim("line"))) / 2).cast("int")
-    marked = lines.withColumn("depth", F.least(depth, F.lit(9)))
-    upto = Window.partitionBy(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    # A place counts only while no shallower line came after it: the largest place among lesser depths.
-    last = [F.max(F.when(F.col("depth") == d, F.col("pos"))).over(upto) for d in range(9)]
-    parents = F.array(*[F.when(F.lit(d) < F.col("depth"), c) for d, c in enumerate(last)])
-    return marked.withColumn("parent_pos", F.array_max(parents)).select(by, "pos", "depth", "parent_pos")
+    depth = F.coalesce(F.floor((F.length("line") - F.length(F.ltrim("line"))) / 2).cast("int"), F.lit(0))
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in (by, "pos")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = object(), []
+        for batch in batches:
+            parents = []
+            for owner, pos, level in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if owner != now:
+                    now, stack = owner, []
+                while stack and stack[-1][1] >= level:
+                    stack.pop()
+                parents.append(stack[-1][0] if stack else None)
+                stack.append((pos, level))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, batch.schema.field("pos").type)], [by, "pos", "depth", "parent_pos"])
+
+    marked = lines.select(by, "pos", depth.alias("depth")).repartition(by).sortWithinPartitions(by, "pos")
+    return marked.mapInArrow(run, f"`{by}` {kinds[by]}, pos {kinds['pos']}, depth int, parent_pos {kinds['pos']}")
 
 
 @query("""
@@ -123,9 +137,17 @@ with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_
 d as (select doc_id, pos, least((length(line) % 5), 9) as depth from l)
 select doc_id, pos, depth::int as depth, (select max(p.pos) from d p where p.doc_id = d.doc_id and p.pos < d.pos and p.depth < d.depth)::double as parent_pos from d
 """)
-def tree_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tree_from_text(spark: SparkSession, sf_dir: str, lang: str | None = "de") -> DataFrame:
     """Lines of the German documents as trees; line length stands for the indent."""
-    lines = table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.filter(F.col("lang") == lang) if lang else docs
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     indented = lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.concat(F.repeat(F.lit("  "), F.length("raw") % 5), F.lit("x")).alias("line"))
     tree = tree_of_text(indented, "doc_id")
     return tree.withColumn("parent_pos", F.col("parent_pos").cast("double"))
+
+
+@query()
+def tree_from_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents as trees; no SQL, as its self-join is slow."""
+    return tree_from_text(spark, sf_dir, None)

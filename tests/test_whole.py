@@ -1,6 +1,7 @@
 """Queries over whole query sets, against plain Python."""
 
-from tarnwell.operators import matching, retrieval
+from tarnwell.functions.text import clause_constraints_all
+from tarnwell.operators import entities, matching, retrieval, trees
 from tarnwell.plans import retrieval as plan
 
 
@@ -36,3 +37,17 @@ def test_evidence_is_compared_whole(spark, tmp_path):
     rows = [(1, opening + "one"), (2, opening + "two"), (3, f" {opening}\tone\u3000"), (4, "2020"), (5, "2021"), (6, " \n"), (7, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted((r.doc_id, r.n) for r in retrieval.evidence_dedupe_all(spark, str(tmp_path)).collect()) == [(1, 2), (2, 1), (4, 1), (5, 1)]
+
+
+def test_lines_of_any_depth_find_their_parent(spark):
+    lines = spark.createDataFrame([(d, i, "  " * i + "x") for d in (1, 2) for i in range(40)], "doc_id bigint, pos bigint, line string")
+    got = trees.tree_of_text(lines, "doc_id").collect()
+    assert len(got) == 80 and all(r.depth == r.pos and r.parent_pos == (r.pos - 1 if r.pos else None) for r in got)
+
+
+def test_documents_of_any_language_and_length(spark, tmp_path):
+    rows = [(1, "Ein ein Wort. Mit with ", "de", 22), (2, "A a " * 500 + "b", "en", 2001)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.words for r in entities.casefold_dedupe_all(spark, str(tmp_path)).collect()} == {1: "Ein Wort. Mit with ", 2: "A b"}
+    assert {r.doc_id for r in clause_constraints_all(spark, str(tmp_path)).collect()} == {1, 2}
+    assert {r.doc_id for r in trees.tree_from_text_all(spark, str(tmp_path)).collect()} == {1, 2}
