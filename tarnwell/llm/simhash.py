@@ -176,7 +176,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of least id of each component, its columns unchanged."""
-    verdict = near_duplicates(docs, id_col, text_col)
-    others = verdict.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(others, docs[id_col].eqNullSafe(F.col("_near_id")), "left_anti")
+    """docs with one row of each component, that of least id (nulls last) and digest; its columns unchanged.
+
+    Rows are told apart by id and text, so rows of null or repeated ids are judged each by itself.
+    """
+    sha = F.sha2(whole_text(text_col), 256)
+    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.unhex(sha).alias("sha"))
+    verdict = written(near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text"), "near-verdicts")
+    # Compared by its parts: a struct's equality is null where an id is.
+    same = F.col("doc_id.id").eqNullSafe(F.col("component_id.id")) & (F.col("doc_id.sha") == F.col("component_id.sha"))
+    others = verdict.filter(~same).select(F.col("doc_id.id").alias("_near_id"), F.col("doc_id.sha").alias("_near_sha")).distinct()
+    kept = docs.join(others, docs[id_col].eqNullSafe(F.col("_near_id")) & (F.unhex(sha) == F.col("_near_sha")), "left_anti")
+    tied = verdict.filter(same).groupBy(F.col("doc_id.sha").alias("_near_sha")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_near_sha")
+    tied = written(tied, "near-ties")
+    if tied.isEmpty():
+        return kept
+    # The surviving id and text stand in several rows: those are reduced to one each.
+    marked = kept.withColumn("_near_sha", F.unhex(sha))
+    single = marked.join(tied, "_near_sha", "left_anti")
+    several = marked.join(tied, "_near_sha", "left_semi").dropDuplicates(["_near_sha"])
+    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])

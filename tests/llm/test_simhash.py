@@ -92,3 +92,14 @@ def test_chain_of_components(spark):
 
 def test_empty_table(spark):
     assert op.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    left = lambda rows: sorted(((r.doc_id, r.text) for r in op.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    # A null id beside a component's least id does not take the other null ids along.
+    assert left([(1, a), (None, a), (None, b)]) == sorted([(1, a), (None, b)], key=str)
+    # A repeated id over different texts: each component keeps a row.
+    assert left([(1, a), (5, a), (5, b), (7, b), (5, c)]) == sorted([(1, a), (5, b), (5, c)], key=str)
+    # Components of null ids alone, and repeated rows, keep one.
+    assert left([(None, a), (None, a), (2, b), (2, b)]) == sorted([(None, a), (2, b)], key=str)
