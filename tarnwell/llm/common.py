@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.session import written
 
-__all__ = ["WORD", "running_sum", "whole_text", "written"]
+__all__ = ["WORD", "one_each", "running_sum", "unused", "whole_text", "written"]
 
 #: White space and word of the result contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,25 @@ def whole_text(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_each(docs: DataFrame, tied: DataFrame, key: str, value: Column) -> DataFrame:
+    """docs, but one row only of those whose `value` stands in tied (key), few as a rule."""
+    tied = written(tied, "ties")
+    if tied.isEmpty():
+        return docs
+    marked = docs.withColumn(key, value)
+    single = marked.join(tied, key, "left_anti")
+    several = marked.join(tied, key, "left_semi").dropDuplicates([key])
+    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def running_sum(lengths: Column, block: int = 256) -> Column:
     """Inclusive prefix sums of array<bigint>, in blocks: near linear work for long arrays."""
     zero = F.array().cast("array<bigint>")

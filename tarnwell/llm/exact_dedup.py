@@ -1,13 +1,15 @@
 """Exact deduplication by content-defined chunk recipes.
 
 A text is cut where its own content says so: at the first sentence end or line
-end past a least length.  Each chunk gets an identifier, a text becomes the
-ordered list of its identifiers (its recipe), and texts are equal when their
-recipes are.  The identifiers are verified first: a dictionary of the distinct
-(identifier, chunk) pairs, built with map-side combining, must hold one chunk
-for each identifier; where it does not, the next, longer identifier function is
-taken.  So a chunk moves once, into the dictionary; afterwards only recipes
-move, never the long texts.
+end past a least length, whatever the script, else at the first punctuation or
+blank.  Each chunk gets an identifier, a text becomes the ordered list of its
+identifiers (its recipe), and texts are equal when their recipes are.  The
+identifiers are verified first: a dictionary of the distinct (identifier,
+chunk) pairs, built with map-side combining, must hold one chunk for each
+identifier.  Identifiers have 128 bits, so that among 5e10 chunks a clash has a
+chance under 1e-16; should one be found, digests of 256 bits are taken.  So a
+chunk moves once, into the dictionary; afterwards only recipes move, never the
+long texts.
 
 Defined cases: null text is the empty text (recipe of no chunks); rows with
 equal text and equal largest id are ties, of which one row stays; null ids are
@@ -22,17 +24,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import whole_text, written
+from tarnwell.llm.common import one_each, unused, whole_text, written
 
 LEAST, MOST = 2048, 16384
 
+#: What ends a sentence in the scripts of common use, or a line.
+ENDS = "[.!?。！？｡…؟।\\n]"
+OTHER_ENDS = r"[\p{IsPunctuation}\p{IsWhite_Space}]"
+
+
+def long_hash(chunk: Column) -> Column:
+    return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(1), chunk).alias("b"))
+
+
 #: Identifier functions, tried in this order until one is free of clashes.
-IDENTIFIERS: tuple[Callable[[Column], Column], ...] = (F.xxhash64, lambda c: F.sha2(c, 256))
+IDENTIFIERS: tuple[Callable[[Column], Column], ...] = (long_hash, lambda c: F.sha2(c, 256))
 
 
 def chunks(text: Column) -> Column:
     """The text's chunks in order; they join up to the text again."""
-    cut = rf"(?s).{{{LEAST},{MOST}}}?[.!?\n]|.{{1,{MOST}}}"
+    upto = f".{{{LEAST},{MOST}}}?"
+    cut = f"(?s){upto}{ENDS}|{upto}{OTHER_ENDS}|.{{1,{MOST}}}"
     return F.regexp_extract_all(text, F.lit(cut), F.lit(0))
 
 
@@ -73,20 +85,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, its columns unchanged."""
+    """docs with one row of each group of equal texts, its columns unchanged.
+
+    Rows are told apart by id and text: null ids go before any other, and rows
+    of equal id and text are reduced to one.
+    """
     verdict = written(exact_dedup(docs, id_col, text_col), "verdicts")
-    sha = F.sha2(whole_text(text_col), 256)
-    copy = verdict.filter("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_copy_id"), F.col("text_sha256").alias("_copy_sha")).distinct()
-    kept = docs.join(copy, docs[id_col].eqNullSafe(F.col("_copy_id")) & (sha == F.col("_copy_sha")), "left_anti")
-    tied = verdict.filter("not kept and doc_id <=> keep_id").select("text_sha256").distinct()
-    if tied.isEmpty():
-        return kept
-    # The same id and text stand in several rows: those rows, few as a rule, are reduced to one each.
-    marked = kept.withColumn("_copy_sha", sha)
-    tied = tied.withColumnRenamed("text_sha256", "_copy_sha")
-    single = marked.join(tied, "_copy_sha", "left_anti")
-    several = marked.join(tied, "_copy_sha", "left_semi").dropDuplicates(["_copy_sha"])
-    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+    of_id, of_sha = unused("copy_id", docs), unused("copy_sha", docs)
+    sha = F.sha2(whole_text(docs[text_col]), 256)
+    copy = verdict.filter("not (doc_id <=> keep_id)").select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_sha)).distinct()
+    kept = docs.join(copy, docs[id_col].eqNullSafe(copy[of_id]) & (sha == copy[of_sha]), "left_anti")
+    tied = verdict.filter("not kept and doc_id <=> keep_id").select(F.col("text_sha256").alias(of_sha)).distinct()
+    return one_each(kept, tied, of_sha, F.sha2(whole_text(kept[text_col]), 256))
 
 
 ORACLE = """

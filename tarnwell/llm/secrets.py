@@ -3,15 +3,17 @@
 Base patterns find assigned secrets, access keys and long hexadecimal runs.
 Besides, opaque tokens (20 or more characters of three classes) are candidates.
 Every candidate value is hashed, and for each hash the distinct repositories
-and owners that hold it are counted over the whole corpus.  A value that
-several owners hold is a widely copied example; one that a single owner holds
-looks live.  Base spans always stay and are counted by that verdict; opaque
-tokens become spans of their own only when they look live.
+and owners that hold it are counted over the whole corpus.  A value of more
+than MOST_OWNERS owners, or of more than MOST_REPOS repositories of its owner,
+is a widely copied example or template; any other is its owner's own and looks
+live.  Base spans always stay and are counted by that verdict; opaque tokens
+become spans of their own only when they look live.
 
 Positions are code points.  They follow from the pieces between matches, not
 from searching again, so a text with many matches costs no more than linear
 work (in blocks).  Only spans, never texts, are shuffled; a value in a third of
-all rows is combined on the map side.
+all rows is combined on the map side when it is counted, and the counts are
+written before they are joined, so that the skew join can split its rows.
 
 Defined cases: null text is the empty text (no spans, the digest of the empty
 string); null owner or repository is one more owner or repository; repeated
@@ -33,7 +35,7 @@ LEAST_VALUE = 6
 #: The method's own candidates.
 OPAQUE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "opaque")
-MOST_OWNERS = 1
+MOST_OWNERS, MOST_REPOS = 1, 2
 
 SPAN = "array<struct<start:bigint,k:int,end:bigint,value:string>>"
 
@@ -97,12 +99,15 @@ def scan_secrets(
     owner_cols: tuple[str, ...] = ("source",),
     repo_cols: tuple[str, ...] = ("source", "lang"),
     most_owners: int = MOST_OWNERS,
+    most_repos: int = MOST_REPOS,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
     found = written(candidates(docs, id_col, text_col, list(owner_cols), list(repo_cols)), "secrets")
     each = found.select("row", "owner", "repo", F.explode(F.concat("assign", "access", "hex", "opaque")).alias("s")).select("row", "owner", "repo", "s.*")
-    judged = each.join(ownership(each).select(F.col("hash").alias("of"), "n_owners"), F.col("hash") == F.col("of"))
-    live = F.col("n_owners") <= most_owners
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos)
+    counted = written(ownership(each).select(F.col("hash").alias("of"), live.alias("live")), "ownership")
+    judged = each.join(counted, F.col("hash") == F.col("of"))
+    live = F.col("live")
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when((F.col("k") < 3) | live, F.struct("start", "k", "end"))).alias("all"),
         F.count_if((F.col("k") < 3) & live).alias("n_live"),

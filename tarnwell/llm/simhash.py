@@ -14,9 +14,13 @@ the text's 3-word shingles.  Two fingerprints link when they differ in at most
   buckets of 33 bits a fingerprint.  Equal fingerprints count once, so large
   groups of copies make no bucket large.
 * Within a bucket of up to SMALL fingerprints, pairs are joined and verified.
-  Fingerprints of larger buckets take an exact way whose work is linear: each
-  gives the 65 words within one bit; fingerprints share one just when they are
-  at most 2 bits apart, and each is linked to the least of its word.
+  A larger bucket is refined by the Golay keys of the third segment, which has
+  2 errors at most as well, and its parts are joined and verified.
+* Parts that are still over SMALL (many different fingerprints that agree in
+  one segment and nearly agree in both others) take an exact way whose work is
+  linear: each fingerprint gives the 65 words within one bit; fingerprints
+  share one just when they are at most 2 bits apart, and each is linked to the
+  least of its word.
 
 Components of the links follow by alternating stars (graph.py).
 
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import whole_text, written
+from tarnwell.llm.common import one_each, unused, whole_text, written
 from tarnwell.llm.graph import connected_components
 
 SHINGLE, SEED, BLOCK, SMALL, DISTANCE = 3, 42, 1 << 18, 32, 2
@@ -128,16 +132,30 @@ def buckets(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keyed(fps: DataFrame, make, key: str) -> DataFrame:
-    """Rows (key, fp) that make(array of fp) gives as (row, key)."""
+def refined(bucket: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part): the parts of each fingerprint's bucket, by the keys of the bucket's third segment."""
+    third = ((bucket >> 40) + 2) % 3
+    rows, parts = [], []
+    for k, (at, width) in enumerate(SEGMENTS):
+        own = np.flatnonzero(third == k)
+        words = ((fps[own].view(np.uint64) >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        row, key = fuzzy_keys(words, width)
+        rows.append(own[row])
+        parts.append(bucket[own[row]] << 12 | key)
+    return np.concatenate(rows), np.concatenate(parts)
+
+
+def keyed(rows: DataFrame, make, key: str) -> DataFrame:
+    """Rows (key, fp) that make(*columns as arrays, fp the last) gives as (row, key)."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("fp").to_numpy(zero_copy_only=False)
-            rows, keys = make(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own[rows])], [key, "fp"])
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            row, keys = make(*columns)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(columns[-1][row])], [key, "fp"])
 
-    return fps.select("fp").mapInArrow(run, f"{key} bigint, fp bigint")
+    return rows.mapInArrow(run, f"{key} bigint, fp bigint")
 
 
 def within_one_bit(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,20 +164,30 @@ def within_one_bit(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(fps)), 65), words.ravel().view(np.int64)
 
 
-def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
-    """Edges (a, b) whose components are those of the fingerprints at most 2 bits apart; fps: distinct fp."""
-    keys = keyed(fps, buckets, "bucket")
+def sized(keys: DataFrame, name: str) -> DataFrame:
+    """Rows (bucket, fp, n) of the buckets of two or more, written."""
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("bucket", "of")
-    shared = written(keys.join(sizes, F.col("bucket") == F.col("of")).select("bucket", "fp", "n"), "buckets")
-    few = shared.filter(F.col("n") <= small)
+    return written(keys.join(sizes, F.col("bucket") == F.col("of")).select("bucket", "fp", "n"), name)
+
+
+def pairs(few: DataFrame) -> DataFrame:
+    """Verified pairs (a, b) within buckets."""
     other = few.select(F.col("bucket").alias("of"), F.col("fp").alias("b"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("b")))
-    pairs = few.join(other, (F.col("bucket") == F.col("of")) & (F.col("fp") < F.col("b")) & (apart <= DISTANCE)).select(F.col("fp").alias("a"), "b")
-    crowded = shared.filter(F.col("n") > small).select("fp").distinct()
-    words = keyed(crowded, within_one_bit, "word")
+    return few.join(other, (F.col("bucket") == F.col("of")) & (F.col("fp") < F.col("b")) & (apart <= DISTANCE)).select(F.col("fp").alias("a"), "b")
+
+
+def links(fps: DataFrame, small: int = SMALL) -> DataFrame:
+    """Edges (a, b) whose components are those of the fingerprints at most 2 bits apart; fps: distinct fp."""
+    shared = sized(keyed(fps.select("fp"), buckets, "bucket"), "buckets")
+    crowded = shared.filter(F.col("n") > small).select("bucket", "fp")
+    parts = sized(keyed(crowded, refined, "bucket"), "bucket-parts")
+    dense = parts.filter(F.col("n") > small).select("fp").distinct()
+    words = keyed(dense, within_one_bit, "word")
     least = words.groupBy("word").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("word").alias("of"), "b")
     stars = words.join(least, F.col("word") == F.col("of")).filter("fp <> b").select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
+    few = [pairs(x.filter(F.col("n") <= small)) for x in (shared, parts)]
+    return few[0].unionByName(few[1]).unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
@@ -180,19 +208,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows are told apart by id and text, so rows of null or repeated ids are judged each by itself.
     """
-    sha = F.sha2(whole_text(text_col), 256)
-    key = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.unhex(sha).alias("sha"))
-    verdict = written(near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text"), "near-verdicts")
+    of_id, of_sha = unused("near_id", docs), unused("near_sha", docs)
+    sha = F.unhex(F.sha2(whole_text(docs[text_col]), 256))
+    key = F.struct(docs[id_col].isNull().alias("missing"), docs[id_col].alias("id"), sha.alias("sha"))
+    verdict = written(near_duplicates(docs.select(key.alias("key"), docs[text_col].alias("text")), "key", "text"), "near-verdicts")
     # Compared by its parts: a struct's equality is null where an id is.
     same = F.col("doc_id.id").eqNullSafe(F.col("component_id.id")) & (F.col("doc_id.sha") == F.col("component_id.sha"))
-    others = verdict.filter(~same).select(F.col("doc_id.id").alias("_near_id"), F.col("doc_id.sha").alias("_near_sha")).distinct()
-    kept = docs.join(others, docs[id_col].eqNullSafe(F.col("_near_id")) & (F.unhex(sha) == F.col("_near_sha")), "left_anti")
-    tied = verdict.filter(same).groupBy(F.col("doc_id.sha").alias("_near_sha")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_near_sha")
-    tied = written(tied, "near-ties")
-    if tied.isEmpty():
-        return kept
-    # The surviving id and text stand in several rows: those are reduced to one each.
-    marked = kept.withColumn("_near_sha", F.unhex(sha))
-    single = marked.join(tied, "_near_sha", "left_anti")
-    several = marked.join(tied, "_near_sha", "left_semi").dropDuplicates(["_near_sha"])
-    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+    others = verdict.filter(~same).select(F.col("doc_id.id").alias(of_id), F.col("doc_id.sha").alias(of_sha)).distinct()
+    kept = docs.join(others, docs[id_col].eqNullSafe(others[of_id]) & (sha == others[of_sha]), "left_anti")
+    tied = verdict.filter(same).groupBy(F.col("doc_id.sha").alias(of_sha)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(of_sha)
+    return one_each(kept, tied, of_sha, F.unhex(F.sha2(whole_text(kept[text_col]), 256)))

@@ -7,9 +7,14 @@ vectors and softmax are trained jointly by AdaGrad.  Labels belong to whole
 documents while a few words make one toxic, so after START epochs on random
 stretches, training (and scoring) takes the window of highest score.
 
+Averaging a whole text was tried first and told toxic texts from clean ones too
+badly (figures in the README); hence the windows, each an average of its own.
+
 Training uses a bounded sample, a documented parameter: at most TOXIC_ROWS and
 CLEAN_ROWS labelled rows of the learning part, by the order of a hash of their
-id, of texts up to MOST_CHARS.  Scoring reads every row and whole text.  For a
+id; a text longer than STRETCH characters teaches by a stretch of that length
+at a place that the hash gives, so the driver holds (TOXIC_ROWS + CLEAN_ROWS) *
+STRETCH characters at most.  Scoring reads every row and whole text.  For a
 trained model a word's share of the logit is one number, so scoring looks words
 up in a bounded per-task cache and gives the unseen ones to numpy at once.
 
@@ -31,9 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarnwell.llm.common import whole_text
+from tarnwell.llm.common import unused, whole_text
 
-TOXIC_ROWS, CLEAN_ROWS, MOST_CHARS = 1500, 3000, 20_000
+TOXIC_ROWS, CLEAN_ROWS, STRETCH = 1500, 3000, 20_000
 FOLDS, HELD = 5, 0
 BUCKETS, DIM, GRAMS, WINDOW = 18, 8, (4, 5, 6), 2
 EPOCHS, START, RATE, BATCH = 10, 3, 0.3, 64
@@ -104,6 +109,26 @@ def best_window(shares: np.ndarray) -> tuple[int, float]:
     return best, float(means[best])
 
 
+def mean_slopes(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, bag: np.ndarray, grams: np.ndarray, share: np.ndarray, goal: np.ndarray) -> tuple:
+    """Loss of bags, and the slopes of weights, bias and the distinct n-grams' vectors.
+
+    Bag i is the sum of its n-grams' vectors times their shares; the slope of a
+    vector is that of the summed loss, those of weights and bias of the mean one.
+    """
+    size = len(goal)
+    mean = np.zeros((size, vectors.shape[1]), vectors.dtype)
+    np.add.at(mean, bag, vectors[grams] * share[:, None])
+    logits = mean @ weights + bias
+    odds = np.exp(logits - logits.max(1, keepdims=True))
+    error = (odds / odds.sum(1, keepdims=True)).astype(vectors.dtype)
+    loss = -np.log(error[np.arange(size), goal]).sum()
+    error[np.arange(size), goal] -= 1
+    distinct, place = np.unique(grams, return_inverse=True)
+    slope = np.zeros((len(distinct), vectors.shape[1]), vectors.dtype)
+    np.add.at(slope, place, (error @ weights.T)[bag] * share[:, None])
+    return loss, mean.T @ error / size, error.mean(0), distinct, slope
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     if len(set(toxic)) < 2:
         return Model(np.zeros(1 << BUCKETS, np.float32), -40.0)
@@ -121,28 +146,16 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     filled = [i for i, d in enumerate(docs) if len(d)]
 
     def step(bags: list[np.ndarray], goal: np.ndarray) -> None:
-        nonlocal weights, bias
         words = np.concatenate(bags)
         size = np.array([len(b) for b in bags])
         bag = np.repeat(np.arange(len(bags)), size)
         number = counts[words]
         rows = np.repeat(starts[words] - np.concatenate(([0], np.cumsum(number)[:-1])), number) + np.arange(number.sum())
-        grams = gram[rows]
         share = np.repeat(1.0 / (np.maximum(number, 1) * size[bag]), number).astype(np.float32)
-        of = np.repeat(bag, number)
-        mean = np.zeros((len(bags), DIM), np.float32)
-        np.add.at(mean, of, vectors[grams] * share[:, None])
-        logits = mean @ weights + bias
-        odds = np.exp(logits - logits.max(1, keepdims=True))
-        error = (odds / odds.sum(1, keepdims=True)).astype(np.float32)
-        error[np.arange(len(bags)), goal] -= 1
-        back = error @ weights.T
-        for value, slope, total in ((weights, mean.T @ error / len(bags), sums[1]), (bias, error.mean(0), sums[2])):
-            total += slope**2
-            value -= RATE * slope / np.sqrt(total)
-        distinct, place = np.unique(grams, return_inverse=True)
-        slope = np.zeros((len(distinct), DIM), np.float32)
-        np.add.at(slope, place, back[of] * share[:, None])
+        _, by_weights, by_bias, distinct, slope = mean_slopes(vectors, weights, bias, np.repeat(bag, number), gram[rows], share, goal)
+        for value, change, total in ((weights, by_weights, sums[1]), (bias, by_bias, sums[2])):
+            total += change**2
+            value -= RATE * change / np.sqrt(total)
         sums[0][distinct] += (slope**2).mean(1)
         vectors[distinct] -= RATE * slope / np.sqrt(sums[0][distinct])[:, None]
 
@@ -175,15 +188,15 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     marked = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.filter(F.col("label_id").isNotNull() & ~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("label_id"), F.col("label_id")]
-    # Some more than the bound, as the longest texts drop out.
-    parts = [marked.filter(F.col("toxic") == t).orderBy(*order).limit(n * 5 // 4) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    parts = [marked.filter(F.col("toxic") == t).orderBy(*order).limit(n) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     chosen = parts[0].unionByName(parts[1])
-    short = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).filter(F.length("text") <= MOST_CHARS)
+    source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     # The chosen ids are bounded; rows that repeat one of them count once, before anything is collected.
-    found = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("label_id", "toxic").agg(F.min("text").alias("text"))
+    met = source.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    begin = F.pmod(order[0], F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1).cast("int") + 1
+    found = met.groupBy("label_id", "toxic").agg(F.min(F.substring("text", begin, F.lit(STRETCH))).alias("text"))
     rows = found.select("label_id", "toxic", "text", order[0].alias("place")).toPandas().sort_values(["place", "label_id"])
-    parts = [rows[rows.toxic == t].head(n) for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
-    return [x for p in parts for x in p.text], [int(x) for p in parts for x in p.toxic]
+    return rows.text.tolist(), rows.toxic.astype(int).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -229,5 +242,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more, its columns unchanged."""
-    return scored(docs, fit(docs, labels, id_col, text_col), text_col, "_toxic_score").filter("_toxic_score < 0.5").drop("_toxic_score")
+    """docs without the rows that score 0.5 or more, its columns unchanged.  Each row is judged by its text alone."""
+    score = unused("score", docs)
+    return scored(docs, fit(docs, labels, id_col, text_col), text_col, score).filter(F.col(score) < 0.5).drop(score)

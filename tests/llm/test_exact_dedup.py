@@ -55,3 +55,22 @@ def test_drop_copies_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert op.exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_other_scripts_are_cut_by_content(spark):
+    body = ("日本語の文です。" * 3000, "語" * 3000 + "、" + "文" * 40_000)
+    rows = [(1, body[0]), (2, "前。" + body[0]), (3, body[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = {r.doc_id: r.c for r in df.select("doc_id", op.chunks(F.col("text")).alias("c")).collect()}
+    assert ["".join(cut[i]) for i, _ in rows] == [t for _, t in rows]
+    assert all(c.endswith("。") for c in cut[1]) and len(set(cut[1])) == 2
+    assert cut[3][0] == "語" * 3000 + "、"
+    assert found(op.exact_dedup(df)) == brute(rows)
+
+
+def test_pipeline_stage_with_null_and_repeated_ids(spark):
+    rows = [(None, "x", 1, 1), (1, "x", 2, 2), (None, "y", 3, 3), (None, "y", 4, 4), (5, "z", 5, 5), (5, "w", 6, 6), (6, "w", 7, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, copy_id int, copy_sha int")
+    got = op.drop_copies(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", "x"), ("5", "z"), ("6", "w"), ("None", "y")]

@@ -69,3 +69,16 @@ def test_running_sum(spark):
             total += v
             wanted.append(total)
         assert r.s == wanted
+
+
+def test_a_value_in_many_repositories_of_its_owner_is_a_template(spark):
+    rows = [(i, "password=intemplate", f"l{i % 5}", "a") for i in range(10)] + [(20, "password=justtwice", "l1", "a"), (21, "password=justtwice", "l2", "a")]
+    got = check(spark.createDataFrame(rows, SCHEMA))
+    assert all((got[i].n_live, got[i].n_copied) == (0, 1) for i in range(10)) and got[20].n_live == got[21].n_live == 1
+
+
+def test_hot_value_null_ids_and_clashing_names(spark):
+    rows = [(None if i % 2 else i, "token=everywhere1", "en", f"s{i % 3}", "h", 1) for i in range(3000)] + [(9001, "token=onlyhere22", None, None, "h", 1)]
+    df = spark.createDataFrame(rows, SCHEMA + ", hash string, live int")
+    got = op.scan_secrets(df).collect()
+    assert len(got) == 3001 and sum(r.n_copied for r in got) == 3000 and sum(r.n_live for r in got) == 1

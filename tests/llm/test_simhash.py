@@ -103,3 +103,30 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     assert left([(1, a), (5, a), (5, b), (7, b), (5, c)]) == sorted([(1, a), (5, b), (5, c)], key=str)
     # Components of null ids alone, and repeated rows, keep one.
     assert left([(None, a), (None, a), (2, b), (2, b)]) == sorted([(None, a), (2, b)], key=str)
+
+
+def test_crowded_buckets_are_refined_by_golay_keys(spark):
+    """Fingerprints of one first segment: few parts stay crowded, and links are those of all pairs."""
+    rng = np.random.default_rng(8)
+    fps = [int(x) << 22 | 5 for x in rng.integers(0, 1 << 41, 300)]
+    fps += [x ^ 1 << int(rng.integers(22, 64)) for x in fps[:100]]
+    signed = np.array(fps, np.uint64).view(np.int64)
+    bucket = np.repeat(op.buckets(signed[:1])[1][:1], len(signed))
+    rows, parts = op.refined(bucket, signed)
+    assert set(rows.tolist()) == set(range(len(signed))) and np.unique(parts, return_counts=True)[1].max() <= op.SMALL
+    df = spark.createDataFrame([(int(x),) for x in signed], "fp bigint")
+    label = {r.node: r.component for r in connected_components(op.links(df, 8)).collect()}
+    assert partition([label.get(int(x), int(x)) for x in signed]) == partition(components([int(x) & (1 << 64) - 1 for x in signed]))
+
+
+def test_clashing_names_in_the_pipeline_stage(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, words, 1, 1), (2, words, 2, 2), (3, "other", 3, 3)], "doc_id bigint, text string, near_id int, near_sha int")
+    got = op.drop_near_copies(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_very_long_text(spark):
+    text = "ab cd ef " * 300_000
+    got = op.near_duplicates(spark.createDataFrame([(1, text), (2, text + "x")], "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {1}

@@ -68,3 +68,57 @@ def test_bad_words_are_dropped_from_the_pipeline(tables):
     kept = {r.doc_id for r in op.drop_toxic(docs, labels).select("doc_id").collect()}
     toxic = {r.doc_id for r in labels.filter("toxic = 1").collect()}
     assert len(kept & toxic) < 0.4 * len(toxic)
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    vectors, weights, bias = rng.normal(size=(12, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    bag, grams, share, goal = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 4, 1, 7, 4, 9]), rng.random(6), np.array([0, 1, 1])
+    loss = lambda: op.mean_slopes(vectors, weights, bias, bag, grams, share, goal)[0]
+    _, by_weights, by_bias, distinct, by_vectors = op.mean_slopes(vectors, weights, bias, bag, grams, share, goal)
+    for value, slope, size in ((weights, by_weights, 3), (bias, by_bias, 3), (vectors, np.zeros((12, 3)), 1)):
+        if size == 1:
+            slope[distinct] = by_vectors
+        for at in np.ndindex(value.shape):
+            value[at] += 1e-6
+            up = loss()
+            value[at] -= 2e-6
+            down = loss()
+            value[at] += 1e-6
+            assert abs((up - down) / 2e-6 / size - slope[at]) < 1e-5, at
+
+
+def test_scores_against_plain_sums(spark, tables):
+    """Every score from the vectors' shares, gram by gram, and every window tried."""
+    docs = tables[0].limit(40).cache()
+    rng = np.random.default_rng(5)
+    model = op.Model(rng.normal(size=1 << op.BUCKETS).astype(np.float32), -0.3)
+
+    def word(w):
+        counts, grams = op.gram_buckets([w])
+        return sum(float(model.shares[g]) for g in grams) / counts[0] if counts[0] else 0.0
+
+    def slow(text):
+        shares = [word(w) for w in text.lower().split()]
+        tried = [shares[i : i + op.WINDOW] for i in range(max(1, len(shares) - op.WINDOW + 1))]
+        best = max(sum(w) / len(w) for w in tried) if shares else 0.0
+        return 1 / (1 + np.exp(-np.clip(model.bias + best, -40, 40)))
+
+    for r in op.scored(docs, model).collect():
+        assert abs(r.score - slow(r.text)) < 1e-6
+
+
+def test_long_labelled_texts_teach(spark):
+    rng = np.random.default_rng(6)
+    body = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(5500))
+    rows = [(i, body() if i % 2 else " ".join(f"{w} horrid" if k % 90 == 0 else w for k, w in enumerate(body().split()))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in op.toxicity(docs, labels).collect()}
+    assert sum(got[i] == 1 - i % 2 for i in got) >= 55
+
+
+def test_clashing_names_and_null_ids_in_the_pipeline_stage(spark, tables):
+    docs = spark.createDataFrame([(None, "fine words", 1.0, 2.0), (None, None, 1.0, 2.0)], "doc_id bigint, text string, score double, score_ double")
+    got = op.drop_toxic(docs, tables[1].limit(0))
+    assert got.columns == docs.columns and got.count() == 2
