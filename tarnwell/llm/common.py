@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.session import written
 
-__all__ = ["WORD", "one_each", "running_sum", "unused", "whole_text", "written"]
+__all__ = ["WORD", "numbered", "one_each", "running_sum", "unused", "whole_text", "written"]
 
 #: White space and word of the result contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,23 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with `place`, the row's number from 0 in that order, found without bringing all rows to one task.
+
+    Range partitions are sorted by themselves; a partition's rows are numbered
+    on from the counts of those before it, one row a partition.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "sorted")
+    counts = sorted(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect())
+    before, shift = 0, []
+    for part, n, first in counts:
+        shift += [F.lit(part), F.lit(before - first)]
+        before += n
+    place = F.col("at") + F.create_map(*shift)[F.col("part")] if shift else F.lit(0).cast("bigint")
+    return rows.select(*df.columns, place.alias("place"))
+
+
 def one_each(docs: DataFrame, tied: DataFrame, key: str, value: Column) -> DataFrame:
     """docs, but one row only of those whose `value` stands in tied (key), few as a rule."""
     tied = written(tied, "ties")
