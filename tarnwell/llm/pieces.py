@@ -2,7 +2,9 @@
 
 The transducer is compiled from a public model file:
 
-* the normaliser: spaces become the mark U+2581, with one in front of the text;
+* the normaliser: the model's character map, longest match first, then blanks
+  joined and trimmed where the model says so, then spaces become the mark
+  U+2581, with one in front of the text;
 * the pieces: a path over a piece's characters that writes its id;
 * byte fallback: a character that no piece spells writes the ids of its bytes.
 
@@ -14,12 +16,18 @@ pieces' characters by themselves gives back the two pieces, and infinity
 elsewhere.  A sequence whose neighbouring pairs are all of weight 0 is just the
 sequence that merging gives: up to the first merge across two pieces, each
 piece merges as by itself, so such a merge would show in that pair alone.  So
-the finite path is unique and equals the library's encoding (tested).
+the finite path is unique and equals the library's encoding (tested); as all
+other paths weigh infinity, it is found depth first, longest pieces first, and
+a place that no finite path leaves is tried once.
 
 No piece spans a blank after another character, or a line end, so the shortest
 path is the concatenation of those of the stretches between; stretches are
 remembered in a bounded per-task table.
 
+Not compiled, and refused: models that mark the ends of words instead of their
+beginnings, and character-map models with user-defined pieces (their matches
+go before the map).
+
 Defined cases: null and empty texts have no ids; U+2581 in a text decodes to a
 space, as the format has it; control characters and unpaired input fall back to
 bytes; repeated rows give equal results; other columns are not touched; an
@@ -48,7 +56,7 @@ STRETCHES, PAIRS, GROUP = 600_000, 1_000_000, 2_000_000
 
 
 class Stretches(dict):
-    """Ids of stretches as bytes of int32, found when first asked for; emptied at a bound."""
+    """What stretches become, as bytes, found when first asked for; emptied at a bound."""
 
     def __init__(self, find, prefix: str):
         self.find, self.prefix = find, prefix
@@ -56,19 +64,79 @@ class Stretches(dict):
     def __missing__(self, text: str) -> bytes:
         if len(self) >= STRETCHES:
             self.clear()
-        found = self[text] = np.array(self.find(self.prefix + text), np.int32).tobytes()
+        found = self[text] = self.find(self.prefix + text)
+        return found
+
+
+class Normaliser:
+    """A model's character map: a double-array trie over UTF-8 bytes, whose leaves are places in a pool of texts.
+
+    The map's layout is a fixed format: the trie's size in bytes, its 32-bit
+    units, then the texts, each ended by a zero byte.
+    """
+
+    def __init__(self, charsmap: bytes, joined: bool):
+        size = int.from_bytes(charsmap[:4], "little")
+        self.units = np.frombuffer(charsmap[4 : 4 + size], "<u4").tolist()
+        self.pool, self.joined = charsmap[4 + size :], joined
+        ascii_ = [chr(c).encode() for c in range(128)]
+        self.alone = {c: self.longest(x, 0)[1] for c, x in enumerate(ascii_) if self.units and self.longest(x, 0)[0]}
+        if any(self.longest(a + b, 0)[0] == 2 for a in ascii_ for b in ascii_ if self.units):
+            raise ValueError("a character map of pairs of ASCII characters")
+        self.mapped = Stretches(self.map, "")
+
+    def child(self, node: int) -> int:
+        unit = self.units[node]
+        return node ^ (unit >> 10) << ((unit & 1 << 9) >> 6)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, str]:
+        """Length of the longest match at a place, and what it becomes."""
+        node, found = self.child(0), (0, "")
+        for k in range(at, len(data)):
+            node ^= data[k]
+            unit = self.units[node]
+            if unit & (1 << 31 | 0xFF) != data[k]:
+                break
+            node = self.child(node)
+            if unit >> 8 & 1:
+                start = self.units[node] & (1 << 31) - 1
+                found = k + 1 - at, self.pool[start : self.pool.index(b"\0", start)].decode()
         return found
 
+    def map(self, text: str) -> bytes:
+        data, at, out = text.encode(), 0, []
+        while at < len(data):
+            length, made = self.longest(data, at)
+            if not length:
+                length = 1
+                while at + length < len(data) and data[at + length] & 0xC0 == 0x80:
+                    length += 1
+                made = data[at : at + length].decode()
+            out.append(made)
+            at += length
+        return "".join(out).encode()
+
+    def __call__(self, text: str) -> str:
+        if self.units:
+            # A match of several characters begins with at most one of ASCII, followed by others.
+            parts = re.split("([\\x00-\\x7f]?[^\\x00-\\x7f]+)", text)
+            parts[::2] = [p.translate(self.alone) for p in parts[::2]]
+            parts[1::2] = [self.mapped[p].decode() for p in parts[1::2]]
+            text = "".join(parts)
+        return re.sub(" +", " ", text).strip(" ") if self.joined else text
+
 
 class Transducer:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
-        if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
-            raise ValueError("only models with the identity normaliser are compiled")
+        spec = proto.normalizer_spec
+        if proto.trainer_spec.treat_whitespace_as_suffix or (spec.precompiled_charsmap and any(p.type == USER for p in proto.pieces)):
+            raise ValueError("a model that this transducer does not compile")
+        self.normal = Normaliser(spec.precompiled_charsmap, spec.remove_extra_whitespaces)
         self.merges = proto.trainer_spec.model_type == 2
-        self.dummy = proto.normalizer_spec.add_dummy_prefix
+        self.dummy = spec.add_dummy_prefix
         self.ids, self.scores, self.bytes, self.spelt = {}, {}, {}, []
         self.unknown = 0
         for number, piece in enumerate(proto.pieces):
@@ -83,10 +151,19 @@ class Transducer:
             elif piece.type == UNKNOWN:
                 self.unknown, spelt = number, " ⁇ ".encode()
             self.spelt.append(spelt)
+        # User-defined pieces of a sum model go before any other of the same characters.
+        most = max(self.scores.values(), default=0.0)
+        for piece in proto.pieces:
+            if piece.type == USER and not self.merges:
+                self.scores[piece.piece] = len(piece.piece) * most - 0.1
+        self.least = min((p.score for p in proto.pieces if p.type == NORMAL), default=0.0) - 10
+        self.longest = max(map(len, self.ids), default=1)
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.pairs: dict[str, dict[str, bool]] = {}
         self.held = 0
         self.apart = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids)
+        # Spelt pieces for decoding many ids at once.
+        self.spellings = pa.array(self.spelt, pa.binary())
         self.after_blank = Stretches(self.path, MARK)
         self.plain = Stretches(self.path, "")
 
@@ -119,51 +196,71 @@ class Transducer:
             self.held += 1
         return known
 
-    def write(self, piece: str) -> list[int]:
-        number = self.ids.get(piece)
-        if number is not None:
-            return [number]
-        return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
-
-    def path(self, text: str) -> list[int]:
+    def write(self, pieces: list[str]) -> bytes:
+        out: list[int] = []
+        for k, piece in enumerate(pieces):
+            number = self.ids.get(piece)
+            if number is not None:
+                out.append(number)
+            elif self.bytes:
+                out += [self.bytes[b] for b in piece.encode()]
+            elif not k or pieces[k - 1] in self.ids:  # neighbouring unknown characters are one id
+                out.append(self.unknown)
+        return np.array(out, np.int32).tobytes()
+
+    def path(self, text: str) -> bytes:
         """Ids on the shortest path over the lattice of the text."""
+        return self.write(self.finite(text) if self.merges else self.lightest(text))
+
+    def finite(self, text: str) -> list[str]:
+        """The path of weight 0, depth first; a place is reached by one finite path only, so it fails once."""
+        size, longest, ids = len(text), self.longest, self.ids
+        at, end, path, failed = 0, min(size, longest), [], set()
+        while at < size:
+            last = path[-1] if path else None
+            while end > at:
+                piece = text[at:end]
+                if end not in failed and (piece in ids or end == at + 1) and (last is None or self.joins(last, piece)):
+                    break
+                end -= 1
+            if end > at:
+                path.append(piece)
+                at, end = end, min(size, end + longest)
+            else:
+                failed.add(at)
+                end = at - 1
+                at -= len(path.pop())
+        return path
+
+    def lightest(self, text: str) -> list[str]:
+        """Weights are minus the scores."""
         size = len(text)
-        cost: list[float | None] = [0.0] + [None] * size
-        back = [0] * (size + 1)
-        last = [""] * (size + 1)
-        ids, prefixes = self.ids, self.prefixes
+        cost, back = [0.0] + [float("inf")] * size, [0] * (size + 1)
+        scores, prefixes, least = self.scores, self.prefixes, self.least
         for start in range(size):
-            if cost[start] is None:
-                continue
-            end = start + 1
-            piece = text[start:end]
-            while True:
-                if piece in ids or end == start + 1:
-                    if self.merges:
-                        if cost[end] is None and (not start or self.joins(last[start], piece)):
-                            cost[end], back[end], last[end] = 0.0, start, piece
-                    else:
-                        weight = cost[start] - self.scores.get(piece, min(self.scores.values()) - 10)
-                        if cost[end] is None or weight < cost[end]:
-                            cost[end], back[end], last[end] = weight, start, piece
-                end += 1
-                if end > size:
-                    break
+            one = text[start]
+            weight = cost[start] - scores.get(one, least)
+            if weight < cost[start + 1]:
+                cost[start + 1], back[start + 1] = weight, start
+            for end in range(start + 2, size + 1):
                 piece = text[start:end]
                 if piece not in prefixes:
                     break
+                score = scores.get(piece)
+                if score is not None and cost[start] - score < cost[end]:
+                    cost[end], back[end] = cost[start] - score, start
         out: list[str] = []
         while size:
-            out.append(last[size])
+            out.append(text[back[size] : size])
             size = back[size]
-        return [i for piece in reversed(out) for i in self.write(piece)]
+        return out[::-1]
 
     def encode(self, text: str) -> np.ndarray:
+        text = self.normal(text).replace(MARK, " ")
         if not text:
             return np.empty(0, np.int32)
-        text = text.replace(MARK, " ")
-        if not self.apart:
-            return np.array(self.path((MARK if self.dummy else "") + text.replace(" ", MARK)), np.int32)
+        if not self.apart or not self.bytes:  # unknown characters join across stretches
+            return np.frombuffer(self.path((MARK if self.dummy else "") + text.replace(" ", MARK)), np.int32)
         out: list[bytes] = []
         line_end = self.plain["\n"]
         for k, line in enumerate(text.split("\n")):
@@ -184,8 +281,14 @@ class Transducer:
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.spelt.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        spelt = self.spellings.take(pa.array(np.concatenate(ids)))
+        at = np.frombuffer(spelt.buffers()[1], np.int32)[np.cumsum([0, *map(len, ids)])]
+        pool = spelt.buffers()[2].to_pybytes() if len(spelt) else b""
+        texts = [pool[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [t[1:] if self.dummy and t.startswith(" ") else t for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -200,7 +303,7 @@ def read_model(path: str) -> bytes:
 def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids, n_ids, decoded_sha256, round_trip.
 
-    round_trip says whether the ids decode to the text again.
+    round_trip says whether the ids decode to the text again; a character map may forbid it.
     """
     model = read_model(model_path)
     digest = hashlib.sha256(model).hexdigest()
@@ -212,15 +315,15 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
         for batch in batches:
             texts, k = batch.column("text"), 0
             while k < batch.num_rows:
-                begin, chars, ids, hashes, same = k, 0, [], [], []
+                begin, chars, ids = k, 0, []
                 while k < batch.num_rows and (k == begin or chars < GROUP):
                     text = texts[k].as_py()
                     ids.append(machine.encode(text))
-                    back = machine.decode(ids[-1])
-                    hashes.append(hashlib.sha256(back.encode()).hexdigest())
-                    same.append(back == text)
                     chars += len(text)
                     k += 1
+                back = machine.decode_all(ids)
+                hashes = [hashlib.sha256(x.encode()).hexdigest() for x in back]
+                same = [x == texts[begin + i].as_py() for i, x in enumerate(back)]
                 sizes = [len(x) for x in ids]
                 offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -47,3 +49,61 @@ def test_edge_cases(spark):
     assert len(got) == 6 and all(r.round_trip for r in got)
     assert [r.n_ids for r in got[:2]] == [0, 0]
     assert op.encode_decode(df.limit(0)).count() == 0
+
+
+def hand_made(fallback):
+    """A unigram model under the public character map nmt_nfkc, its pieces and scores drawn, not learnt."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    proto.ClearField("pieces")
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, fallback
+    spec = proto.normalizer_spec
+    spec.remove_extra_whitespaces = spec.add_dummy_prefix = spec.escape_whitespaces = True
+    pieces = {"<unk>": (2, 0.0), "<s>": (3, 0.0), "</s>": (3, 0.0)}
+    pieces |= {f"<0x{i:02X}>": (6, 0.0) for i in range(256)} if fallback else {}
+    draw = random.Random(1)
+    for _ in range(400):
+        word = draw.choice("abcdet▁") + "".join(draw.choice("abcdet") for _ in range(draw.randint(0, 3)))
+        pieces.setdefault(word, (1, -draw.random() * 12))
+    for piece, (kind, score) in pieces.items():
+        made = proto.pieces.add()
+        made.piece, made.type, made.score = piece, kind, score
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+def test_unigram_and_character_map_equal_the_library(fallback):
+    model = hand_made(fallback)
+    machine, library = op.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    draw = random.Random(2)
+    texts = ["", " ", "  a  b ", "\t\n", "é", "①ﬁＡ　カ゛"] + ["".join(draw.choice("abcdet  zé́①ﬁ　Ａカ゛\t\n日") for _ in range(draw.randint(0, 25))) for _ in range(1500)]
+    for text in texts:
+        assert machine.encode(text).tolist() == library.encode(text), text
+        assert machine.decode(machine.encode(text)) == library.decode(library.encode(text)), text
+
+
+def best_by_trial(machine, text):
+    """Least weight over every cut of the text."""
+    if not text:
+        return 0.0
+    cuts = [(k, machine.scores.get(text[:k], machine.least if k == 1 else None)) for k in range(1, len(text) + 1)]
+    return min(best_by_trial(machine, text[k:]) - s for k, s in cuts if s is not None)
+
+
+def test_the_path_is_the_lightest():
+    machine, draw = op.Transducer(hand_made(True)), random.Random(3)
+    for _ in range(200):
+        text = "".join(draw.choice("abcdez") for _ in range(draw.randint(1, 9)))
+        path = machine.lightest(text)
+        assert "".join(path) == text
+        assert abs(sum(-machine.scores.get(p, machine.least) for p in path) - best_by_trial(machine, text)) < 1e-4
+
+
+def test_other_models_are_refused():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(hand_made(True))
+    proto.trainer_spec.treat_whitespace_as_suffix = True
+    with pytest.raises(ValueError):
+        op.Transducer(proto.SerializeToString())
