@@ -7,26 +7,35 @@ bidirectional LSTM reads the whole sequence, so that each block is judged with
 the document around it.  Blocks of probability one half or more are main text.
 
 There are no labels, so the labeller learns from distant ones: on a bounded
-sample of pages (TRAIN_PAGES, a documented parameter) blocks under article or
-main are main text, and blocks under nav, footer, forms, adverts and the like
-are not, the nearest telling tag deciding.  Three of four training sequences are
+sample (TRAIN_PAGES pages, of each at most TRAIN_BLOCKS neighbouring blocks at a
+place that a hash gives, of each block at most BLOCK_CHARS characters; documented
+parameters) blocks under article or main are main text, and blocks under nav,
+footer, forms, adverts and the like are not, the nearest telling tag deciding.
+Where no page of the sample has such a main text, rebuilt pages alone teach, of
+the blocks that nothing tells against.  Three of four training sequences are
 rebuilt: path names are replaced by plain ones, and menus, notices, sidebars,
 forms and reader comments made from other blocks are put around the article.
 So the labeller must also use words, figures and neighbours.  Extraction itself
 looks at no rule, only at the labeller.
 
+Reading is one pass of linear work whatever the markup: a tag ends at the first
+> outside its quoted values, a tag that never ends takes the rest of the page,
+elements nested deeper than DEEPEST are read as their parent's (as browsers
+do), and a block keeps the last NAMES_KEPT names of its path.
+
 Defined cases: null html is the empty page with empty text; broken or unclosed
 markup is read as browsers do for the usual cases (paragraphs and list items
-close each other, unknown end tags are ignored); null ids and urls are kept; a
-table of no page that can teach gives a labeller that keeps blocks of long
-text; repeated rows give equal results; other columns are not touched; an empty
-table gives an empty result.
+close each other, unknown end tags are ignored); scripts, styles, drawings and
+frames inside a line of text vanish without splitting its block; null ids and
+urls are kept; repeated rows give equal results; other columns are not touched;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -38,7 +47,9 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import whole_text
 
-TRAIN_PAGES, TRAIN_CHARS, EPOCHS, BATCH, RATE = 300, 200_000, 6, 24, 0.01
+TRAIN_PAGES, TRAIN_BLOCKS, BLOCK_CHARS = 300, 200, 2000
+EPOCHS, BATCH, RATE = 6, 24, 0.01
+DEEPEST, NAMES_KEPT = 512, 8
 PATH_DIM, WORD_DIM, HIDDEN, REBUILT = 128, 32, 16, 3
 TOGETHER = 60_000
 
@@ -51,11 +62,15 @@ INLINE = frozenset(
 CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+PARAGRAPH_HOLDERS = frozenset("div article section td li body main blockquote".split())
+ITEM_HOLDERS = frozenset("ul ol select table dl".split())
+CELL_HOLDERS = frozenset("tr table".split())
 #: Telling names for the distant labels.
 MAIN = frozenset("article main".split())
 OTHER = frozenset("nav footer header aside form button select menu dialog option label".split())
 TELLING = re.compile(r"(?:^|[-_\s])(ads?|advert\w*|banner|sponsor\w*|menu|nav\w*|side-?bar|footer|header|comments?|reply|cookies?|notice|consent|promo|share|social|related|newsletter|subscribe|login|breadcrumbs?)(?:$|[-_\s])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TO_QUOTE = re.compile("[^\"'>]*+")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: Where rebuilt training pages put their parts: path and kind.
@@ -71,10 +86,13 @@ AFTER = (
 
 
 class Block:
-    __slots__ = ("linked", "path", "text")
+    """A leaf block: the last names of its path and the path's length, its distant label, text and linked share."""
+
+    __slots__ = ("depth", "label", "linked", "path", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: float):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: tuple[str, ...], text: str, linked: float, label: int | None = None, depth: int | None = None):
+        self.path, self.text, self.linked, self.label = path[-NAMES_KEPT:], text, linked, label
+        self.depth = len(path) if depth is None else depth
 
 
 def named(tag: str, attributes: str) -> str:
@@ -82,92 +100,162 @@ def named(tag: str, attributes: str) -> str:
     return ".".join([tag, *names]).lower()
 
 
-def blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order; white space inside is one space."""
-    out: list[Block] = []
-    stack: list[str] = []  # tag names with their classes
-    tags: list[str] = []
-    raw: list[str] = []
-    links = chars = 0
-
-    def flush() -> None:
-        nonlocal raw, links, chars
-        text = " ".join(unescape("".join(raw)).split())
+def told(name: str) -> int | None:
+    """What one name of a path tells: 1 main text, 0 other."""
+    tag, _, rest = name.partition(".")
+    if tag in OTHER or (rest and TELLING.search(rest.replace(".", " "))):
+        return 0
+    return 1 if tag in MAIN else None
+
+
+def tag_end(html: str, at: int) -> int:
+    """Place of the > that ends a tag; the page's end where none does.  Quotes hold a value only after =."""
+    while True:
+        at = TO_QUOTE.match(html, at).end()
+        if at >= len(html) or html[at] == ">":
+            return at
+        before = at - 1
+        while html[before].isspace():
+            before -= 1
+        close = html.find(html[at], at + 1) if html[before] == "=" else -1
+        at = close + 1 if close >= 0 else at + 1
+
+
+def past(html: str, mark: str, at: int) -> int:
+    found = html.find(mark, at)
+    return len(html) if found < 0 else found + len(mark)
+
+
+@lru_cache(maxsize=64)
+def end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I)
+
+
+class Open:
+    """An open element: its tag, the last names of its path, how many those are, and what they tell."""
+
+    __slots__ = ("depth", "label", "path", "tag")
+
+    def __init__(self, tag: str, attributes: str, parent: Open | None):
+        self.tag = tag
+        self.path, self.depth, self.label = (parent.path, parent.depth, parent.label) if parent else ((), 0, None)
+        if tag not in INLINE or tag == "a":
+            name = named(tag, attributes)
+            tells = told(name)
+            self.path, self.depth = (*self.path, name)[-NAMES_KEPT:], self.depth + 1
+            self.label = self.label if tells is None else tells
+
+
+class Reader:
+    """Reads a page's tags and texts into blocks."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.stack: list[Open] = []
+        self.held: Counter[str] = Counter()  # open elements by tag
+        self.passed: Counter[str] = Counter()  # elements too deep to be opened
+        self.raw: list[str] = []
+        self.links = self.chars = 0
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.raw).split())
         if text:
-            out.append(Block(tuple(n for t, n in zip(tags, stack, strict=True) if t not in INLINE or t == "a"), text, links / max(1, chars)))
-        raw, links, chars = [], 0, 0
-
-    def take(text: str) -> None:
-        nonlocal links, chars
-        raw.append(text)
-        chars += len(text)
-        if "a" in tags:
-            links += len(text)
-
-    def close(tag: str, within: frozenset[str] = frozenset()) -> None:
-        for k in range(len(tags) - 1, -1, -1):
-            if tags[k] == tag:
-                if any(t not in INLINE for t in tags[k:]):
-                    flush()
-                del tags[k:], stack[k:]
+            top = self.stack[-1] if self.stack else None
+            path, depth, label = (top.path, top.depth, top.label) if top else ((), 0, None)
+            self.blocks.append(Block(path, text, self.links / max(1, self.chars), label, depth))
+        self.raw, self.links, self.chars = [], 0, 0
+
+    def take(self, text: str) -> None:
+        self.raw.append(unescape(text) if "&" in text else text)
+        self.chars += len(text)
+        if self.held["a"]:
+            self.links += len(text)
+
+    def close(self, tag: str, within: frozenset[str] = frozenset()) -> None:
+        if not self.held[tag]:
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].tag == tag:
+                if any(x.tag not in INLINE for x in self.stack[k:]):
+                    self.flush()
+                for x in self.stack[k:]:
+                    self.held[x.tag] -= 1
+                del self.stack[k:]
                 return
-            if tags[k] in within:
+            if self.stack[k].tag in within:
                 return
 
-    at = 0
-    while at < len(html):
-        m = TAG.search(html, at)
-        if m is None:
-            take(html[at:])
-            break
-        if m.start() > at:
-            take(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            close(tag)
-            continue
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            if tag not in INLINE:
-                flush()
-            continue
+    def end(self, tag: str) -> None:
+        if self.passed[tag]:
+            self.passed[tag] -= 1
+        else:
+            self.close(tag)
+
+    def begin(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            raw.append(" ")
-            continue
+            self.raw.append(" ")
+            return
         if tag not in INLINE:
-            flush()
+            self.flush()
             if tag in CLOSES_PARAGRAPH:
-                close("p", frozenset({"div", "article", "section", "td", "li", "body", "main", "blockquote"}))
+                self.close("p", PARAGRAPH_HOLDERS)
             elif tag in ("li", "option", "tr", "dt", "dd"):
-                close(tag, frozenset({"ul", "ol", "select", "table", "dl"}))
+                self.close(tag, ITEM_HOLDERS)
             elif tag in ("td", "th"):
-                close("td", frozenset({"tr", "table"}))
-                close("th", frozenset({"tr", "table"}))
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            tags.append(tag)
-            stack.append(named(tag, m[3]))
-    flush()
-    return out
+                self.close("td", CELL_HOLDERS)
+                self.close("th", CELL_HOLDERS)
+        if tag in VOID or attributes.rstrip().endswith("/"):
+            return
+        if len(self.stack) >= DEEPEST:
+            self.passed[tag] += 1
+            return
+        self.stack.append(Open(tag, attributes, self.stack[-1] if self.stack else None))
+        self.held[tag] += 1
+
+    def read(self, html: str) -> list[Block]:
+        at, size = 0, len(html)
+        while at < size:
+            mark = html.find("<", at)
+            if mark < 0:
+                self.take(html[at:])
+                break
+            ending = html.startswith("/", mark + 1)
+            name = TAG_NAME.match(html, mark + 1 + ending)
+            if name is None and not html.startswith(("!", "?", "/"), mark + 1):
+                self.take(html[at : mark + 1])  # a mere sign
+                at = mark + 1
+                continue
+            if mark > at:
+                self.take(html[at:mark])
+            if name is None:
+                ends = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">"))
+                at = next(past(html, e, mark + len(b)) for b, e in ends if html.startswith(b, mark))
+                continue
+            stop = tag_end(html, name.end())
+            at = stop + 1
+            if stop >= size:
+                break
+            tag = name[0].lower()
+            if ending:
+                self.end(tag)
+            elif tag not in RAW:
+                self.begin(tag, html[name.end() : stop])
+            elif not (tag == "svg" and html[stop - 1] == "/"):
+                found = end_of(tag).search(html, at)
+                at = tag_end(html, found.end()) + 1 if found else size
+        self.flush()
+        return self.blocks
 
 
-def distant_label(path: tuple[str, ...]) -> int | None:
-    for name in reversed(path):
-        tag, _, rest = name.partition(".")
-        if tag in OTHER or (rest and TELLING.search(rest.replace(".", " "))):
-            return 0
-        if tag in MAIN:
-            return 1
-    return None
+def blocks(html: str) -> list[Block]:
+    """Leaf blocks in page order; white space inside is one space."""
+    return Reader().read(html)
 
 
 @lru_cache(maxsize=1 << 16)
 def path_tokens(path: tuple[str, ...]) -> np.ndarray:
     vector = np.zeros(PATH_DIM, np.float32)
-    for depth, name in enumerate(reversed(path[-8:])):
+    for depth, name in enumerate(reversed(path)):
         for token in re.split("[-._]", name):
             vector[zlib.crc32(token.encode()) % PATH_DIM] += 1 / (1 + 0.3 * depth)
     return vector
@@ -185,7 +273,7 @@ def features(page: list[Block]) -> np.ndarray:
         out[i, :PATH_DIM] = path_tokens(block.path)
         places = np.fromiter(map(word_place, words), np.int64, len(words))
         out[i, PATH_DIM:-6] = np.bincount(places, minlength=WORD_DIM) / len(words)
-        figures = (np.log1p(len(words)) / 3, block.linked, i / len(page), len(page[i - 1].text.split(" ")) / (len(words) + 10.0) if i else 0, block.text[-1] in ".!?", len(block.path) / 8)
+        figures = (np.log1p(len(words)) / 3, block.linked, i / len(page), len(page[i - 1].text.split(" ")) / (len(words) + 10.0) if i else 0, block.text[-1] in ".!?", min(block.depth, 64) / 8)
         out[i, -6:] = figures
     return out
 
@@ -297,9 +385,8 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def rebuilt(page: list[Block], pool: list[Block], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+def rebuilt(main: list[Block], pool: list[Block], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """A training page of the same article under other names, with other parts around it."""
-    main = [b for b in page if distant_label(b.path) == 1]
     root = [("html", "body"), ("html", "body", "div.wrap"), ("html", "body", "div#page", "div.row")][rng.integers(3)]
     holder = [("article",), ("main",), ("div.content",), ("div.post",), ("div",), ("section.story",)][rng.integers(6)]
     pick = lambda: pool[rng.integers(len(pool))].text.split(" ")
@@ -321,41 +408,57 @@ def rebuilt(page: list[Block], pool: list[Block], rng: np.random.Generator) -> t
     return all_, [0] * len(before) + [1] * cut + [0] * len(inside) + [1] * (len(body) - cut) + [0] * len(after)
 
 
+def teaching(pages: DataFrame, id_col: str, html_col: str) -> list[list[Block]]:
+    """Blocks of the bounded sample, page by page, in an order that reruns repeat."""
+    source = pages.select(pages[id_col].alias("id"), pages[html_col].alias("html")).filter("id is not null and html is not null")
+    # The sample's ids are chosen first, without the pages; only the sample's blocks, one page an id, are collected.
+    ids = source.select("id").distinct().withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(TRAIN_PAGES)
+    sample = source.join(F.broadcast(ids), "id").groupBy("place", "id").agg(F.min("html").alias("html")).select("place", "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, html in zip(batch.column("place").to_pylist(), batch.column("html"), strict=True):
+                found = blocks(html.as_py())
+                start = place % max(1, len(found) - TRAIN_BLOCKS + 1)
+                rows = [(place, k, list(b.path), b.text[:BLOCK_CHARS], b.linked, b.label, b.depth) for k, b in enumerate(found[start : start + TRAIN_BLOCKS])]
+                if rows:
+                    types = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.float64(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["place", "k", "path", "text", "linked", "label", "depth"])
+
+    read: dict[int, list[Block]] = {}
+    found = sample.mapInArrow(run, "place bigint, k int, path array<string>, text string, linked double, label int, depth int").collect()
+    for r in sorted(found, key=lambda r: (r["place"], r["k"])):
+        read.setdefault(r["place"], []).append(Block(tuple(r["path"]), r["text"], r["linked"], r["label"], r["depth"]))
+    return list(read.values())
+
+
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Labeller:
-    # The sample's ids are chosen first, without the pages; only the sample's pages, one an id, are collected.
-    short = pages.filter(F.length(html_col) <= TRAIN_CHARS).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    ids = short.filter(F.col("id").isNotNull()).select("id").distinct().withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(TRAIN_PAGES)
-    sample = short.join(F.broadcast(ids), "id").groupBy("place", "id").agg(F.min("html").alias("html"))
-    read = [blocks(r["html"]) for r in sorted(sample.collect(), key=lambda r: (r["place"], r["id"]))]
+    read = teaching(pages, id_col, html_col)
     rng, labeller = np.random.default_rng(3), Labeller()
     vectors, labels = [], []
     pool = [b for page in read for b in page]
+    marked = any(b.label == 1 for b in pool)
     for page in read:
-        own = [distant_label(b.path) for b in page]
-        if 1 not in own:
+        main = [b for b in page if (b.label == 1 if marked else b.label is None)]
+        if not main:
             continue
-        vectors.append(features(page))
-        labels.append(np.array([-1 if x is None else x for x in own]))
+        if marked:
+            vectors.append(features(page))
+            labels.append(np.array([-1 if b.label is None else b.label for b in page]))
         for _ in range(REBUILT):
-            made, marks = rebuilt(page, pool, rng)
+            made, marks = rebuilt(main, pool, rng)
             if made:
                 vectors.append(features(made))
                 labels.append(np.array(marks))
     if vectors:
         labeller.train(vectors, labels)
-    else:  # nothing teaches: the figure of length alone
-        for name, value in labeller.weights.items():
-            value[...] = 0
-        labeller.weights["fx"][-6, 3 * HIDDEN :] = 4
-        labeller.weights["fc"][: 4 * HIDDEN] = np.repeat([4, -4, 4, -4], HIDDEN)
-        labeller.weights["out"][:HIDDEN] = 1
     return labeller
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labeller: Labeller | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars, n_blocks, n_kept."""
     labeller = labeller or fit(pages, id_col, html_col)
-    source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), whole_text(html_col).alias("html"))
+    source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), whole_text(pages[html_col]).alias("html"))
     id_type, url_type = (source.schema[c].dataType.simpleString() for c in ("page_id", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

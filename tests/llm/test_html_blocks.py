@@ -1,5 +1,6 @@
 import html as h
 import re
+import time
 
 import numpy as np
 import pytest
@@ -80,3 +81,35 @@ def test_edge_cases(spark, labeller):
     assert len(got) == 5 and got[0].text == "" and got[1].text == ""
     assert op.extract(df.limit(0), labeller=labeller).count() == 0
     assert op.extract(df).count() == 5  # no page that can teach
+
+
+def test_scripts_and_drawings_do_not_split_a_line():
+    page = "<p>one <script>var a = '<p>';</script>two <svg><path d='x'/></svg>three<style>p{}</style> <iframe src=x>no</iframe>four<noscript>n</noscript><svg/></p><p>&am<b>p; x</b></p>"
+    assert [b.text for b in op.blocks(page)] == ["one two three four", "&amp; x"]
+
+
+@pytest.mark.parametrize("piece", ["<a href=x", "<a href=x ", "<div>", "<b>", "<a title=\"", "</b>", "<!--", "<p><b>", "<td><b><th>", "< ", "<x y='"])
+def test_broken_pages_take_linear_time(piece):
+    page = "<table><tr><th>" + piece * (1_000_000 // len(piece))
+    begin = time.process_time()
+    op.blocks(page)
+    assert time.process_time() - begin < 4
+
+
+def test_quotes_and_signs():
+    assert [b.text for b in op.blocks("<p title='a>b' x=\"c\" \">one</p> a < b <3 </ x>c")] == ["one", "a < b <3 c"]
+    assert [b.text for b in op.blocks("<div>a<div>b</div></span>c</div><p>d<unknown>e")] == ["a", "b", "c", "d", "e"]
+
+
+def test_deep_nesting_with_text_keeps_paths_short():
+    page = "<article>" + "<div>text " * 4000
+    found = op.blocks(page)
+    assert sum(len(b.text.split()) for b in found) == 4000 and max(len(b.path) for b in found) <= op.NAMES_KEPT
+    assert all(b.label == 1 for b in found)
+
+
+def test_long_pages_teach(spark):
+    pages = [(i, f"<html><body><nav><a>Home</a></nav><article>{'<p>' + words(30, i) + '</p>'}</article><footer>Imprint</footer><!--{'x' * 300_000}--></body></html>") for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id bigint, html string")
+    read = op.teaching(df, "page_id", "html")
+    assert len(read) == 12 and all([b.label for b in page] == [0, 1, 0] for page in read)
