@@ -6,19 +6,23 @@ is repaired by merging a turn into the one before, relabelling it, or inserting
 empty turns; dynamic programming over (turn, automaton state) finds the repair
 of least cost, which is then rendered.
 
-A conversation may be of any length, so it is dealt with in parts of PART
-successive turn numbers.  A part's dynamic program is a 4 x 4 matrix of least
-costs from entry to exit state; matrices of a conversation's parts are combined
-by (min, +) products into the states at which each part is entered and left;
-then every part is repaired and rendered by itself.  Parts put together in
-order are the whole rendering; a conversation of usual length is one part.
+The result is one row per conversation, whatever its length.  Conversations of
+up to PART turns are read by one task each.  The turns of a longer one are
+numbered by a range sort (no task sees them all) and cut by that number into
+parts of PART turns.  A part's dynamic program is a 4 x 4 matrix of least costs
+from entry to exit state; the matrices of a conversation are combined by
+(min, +) products into the states at which each part is entered and left; then
+every part is repaired and rendered by itself, and the parts' renderings, joined
+in order, are the conversation's.  chat_parts() gives the parts; a rendering of
+more than MOST_CHARS, which no single value can hold, is null in the whole row
+and stands in its parts alone.
 
 Defined cases: roles are read without case and blanks, with usual synonyms; an
 unknown or null role costs a relabelling whatever it becomes; null text is
-empty; null turn numbers come first and belong to part 0; null conversation ids
-are one conversation; turns of equal number are ordered by role and text;
-repeated rows are turns of their own; the template's marks inside a text are
-escaped; other columns are not touched; an empty table gives an empty result.
+empty; null turn numbers come first; null conversation ids are one conversation;
+turns of equal number are ordered by role and digest of the text; repeated rows
+are turns of their own; the template's marks inside a text are escaped; other
+columns are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import whole_text, written
+from tarnwell.llm.common import numbered, whole_text, written
 
-PART = 256
+PART, MOST_CHARS = 4096, 1 << 29
 ROLES = ("", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -172,69 +176,102 @@ def batched(rows: Iterator[dict], schema: pa.Schema, size: int = 1000) -> Iterat
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
-    """One row per part: conv_id, part, n_turns, cost, n_out, merges, relabels, insertions, rendered."""
-    source = turns.select(
-        F.col(id_col).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn_col) / part).cast("bigint"), F.lit(0).cast("bigint")).alias("part"),
-        F.col(turn_col).alias("turn"),
-        F.col(role_col).alias("role"),
-        whole_text(text_col).alias("text"),
-    )
-    kind = source.schema["conv_id"].dataType.simpleString()
-    key, order = ["conv_id", "part"], ["conv_id", "part", "turn", "role", "text"]
-    by = lambda r: (r["conv_id"], r["part"])
+NUMBERS = ("cost", "n_out", "merges", "relabels", "insertions")
 
-    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        id_type = first.schema.field("conv_id").type
 
-        def made() -> Iterator[dict]:
-            for (conv, number), rows in groupby(rows_of(chained(first, batches)), by):
-                yield {"conv_id": conv, "part": number, "costs": matrix([role_of(r["role"]) for r in rows])}
+def turns_of(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """Rows (conv_id, turn, role, digest, row, text); sorted by the first five they are in order."""
+    text = whole_text(turns[text_col])
+    return turns.select(
+        turns[id_col].alias("conv_id"), turns[turn_col].alias("turn"), turns[role_col].alias("role"), F.md5(text.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row"), text.alias("text")
+    )
 
-        yield from batched(made(), pa.schema([("conv_id", id_type), ("part", pa.int64()), ("costs", pa.list_(pa.float64()))]))
 
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        id_type = first.schema.field("conv_id").type
+ORDER = ("conv_id", "turn", "role", "digest", "row")
 
-        def made() -> Iterator[dict]:
-            for conv, rows in groupby(rows_of(chained(first, batches)), lambda r: r["conv_id"]):
-                rows = list(rows)
-                for k, (r, (entry, exit_)) in enumerate(zip(rows, through([r["costs"] for r in rows]), strict=True)):
-                    yield {"of_id": conv, "of_part": r["part"], "entry": entry, "exit": exit_, "last": k == len(rows) - 1}
 
-        yield from batched(made(), pa.schema([("of_id", id_type), ("of_part", pa.int64()), ("entry", pa.int32()), ("exit", pa.int32()), ("last", pa.bool_())]))
+def grouped(df: DataFrame, by: tuple[str, ...], make, schema: str) -> DataFrame:
+    """What make(key, rows) yields for each run of equal `by` in sorted partitions; ids keep their type."""
+    first_name = schema.split()[0]
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        id_type = first.schema.field("conv_id").type
-        names = ("cost", "n_out", "merges", "relabels", "insertions", "rendered")
-
-        def made() -> Iterator[dict]:
-            for (conv, number), rows in groupby(rows_of(chained(first, batches)), by):
-                rows = list(rows)
-                found = repair([(role_of(r["role"]), r["text"]) for r in rows], rows[0]["entry"], rows[0]["exit"], rows[0]["last"])
-                yield {"conv_id": conv, "part": number, "n_turns": len(rows)} | dict(zip(names, found, strict=True))
-
-        types = [("conv_id", id_type), ("part", pa.int64()), ("n_turns", pa.int64()), ("cost", pa.float64())]
-        types += [(n, pa.int64()) for n in names[1:5]] + [("rendered", pa.string())]
-        yield from batched(made(), pa.schema(types), 200)
-
-    # Costs depend on roles alone, whose order the texts do not change.
-    parts = source.drop("text").repartition(*key).sortWithinPartitions(*order[:-1]).mapInArrow(costs, f"conv_id {kind}, part bigint, costs array<double>")
-    way = parts.repartition("conv_id").sortWithinPartitions(*key).mapInArrow(states, f"of_id {kind}, of_part bigint, entry int, exit int, last boolean")
-    way = written(way, "part-states")
-    known = source.join(way, source["conv_id"].eqNullSafe(way["of_id"]) & (source["part"] == way["of_part"])).drop("of_id", "of_part")
-    schema = f"conv_id {kind}, part bigint, n_turns bigint, cost double, n_out bigint, merges bigint, relabels bigint, insertions bigint, rendered string"
-    return known.repartition(*key).sortWithinPartitions(*order).mapInArrow(texts, schema)
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+        fields = [tuple(f.split(" ")) for f in schema.split(", ")]
+        types = [(first_name, first.schema.field("conv_id").type), *((n, kinds[k]) for n, k in fields[1:])]
+        made = (x for key, rows in groupby(rows_of(chained(first, batches)), lambda r: tuple(r[c] for c in by)) for x in make(key, rows))
+        yield from batched((dict(zip((n for n, _ in types), x, strict=True)) for x in made), pa.schema(types), 200)
+
+    return df.mapInArrow(run, schema)
+
+
+def part_costs(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+    yield *key, matrix([role_of(r["role"]) for r in rows])
+
+
+def part_states(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+    numbers, matrices = zip(*((r["part"], r["costs"]) for r in rows), strict=True)
+    way = through(list(matrices))
+    for k, (number, (entry, exit_)) in enumerate(zip(numbers, way, strict=True)):
+        yield *key, number, entry, exit_, k == len(way) - 1
+
+
+def part_text(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+    rows = list(rows)
+    turns = [(role_of(r["role"]), r["text"]) for r in rows]
+    if "entry" in rows[0]:
+        entry, exit_, last = (rows[0][c] for c in ("entry", "exit", "last"))
+    else:
+        ((entry, exit_),), last = through([matrix([r for r, _ in turns])]), True
+    *numbers, text = repair(turns, entry, exit_, last)
+    yield *key, len(rows), *numbers, text
+
+
+def shorts_and_parts(turns: DataFrame, columns: tuple[str, ...], part: int) -> tuple[DataFrame, DataFrame | None]:
+    """Conversations of up to `part` turns, a row each, and the parts of longer ones if there are any."""
+    source = turns_of(turns, *columns)
+    kind = source.schema["conv_id"].dataType.simpleString()
+    figures = "n_turns bigint, cost double, n_out bigint, merges bigint, relabels bigint, insertions bigint, rendered string"
+    long = source.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part).select(F.col("conv_id").alias("of_id"))
+    long = written(long, "long-conversations")
+    whole = lambda df: grouped(df.repartition("conv_id").sortWithinPartitions(*ORDER), ("conv_id",), part_text, f"conv_id {kind}, {figures}")
+    if long.isEmpty():
+        return whole(source), None
+    is_long = F.col("conv_id").eqNullSafe(F.col("of_id"))
+    rows = numbered(source.join(long, is_long, "left_semi"), *[F.asc_nulls_first(c) for c in ORDER])
+    begin = written(rows.groupBy("conv_id").agg(F.min("place").alias("begin")).withColumnRenamed("conv_id", "of_id"), "long-beginnings")
+    rows = rows.join(begin, is_long).withColumn("part", F.floor((F.col("place") - F.col("begin")) / part).cast("bigint")).drop("of_id", "begin")
+    by, of_part = ("conv_id", "part"), F.col("part") == F.col("of_part")
+    costs = grouped(rows.select(*by, "place", "role").repartition(*by).sortWithinPartitions(*by, "place"), by, part_costs, f"conv_id {kind}, part bigint, costs array<double>")
+    states = grouped(costs.repartition("conv_id").sortWithinPartitions(*by), ("conv_id",), part_states, f"of_id {kind}, of_part bigint, entry int, exit int, last boolean")
+    known = rows.join(written(states, "part-states"), is_long & of_part).select(*by, "place", "role", "text", "entry", "exit", "last")
+    parts = grouped(known.repartition(*by).sortWithinPartitions(*by, "place"), by, part_text, f"conv_id {kind}, part bigint, {figures}")
+    return whole(source.join(long, is_long, "left_anti")), parts
+
+
+def chat_parts(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
+    """One row per part: conv_id, part, n_turns, cost, n_out, merges, relabels, insertions, rendered."""
+    short, parts = shorts_and_parts(turns, (id_col, turn_col, role_col, text_col), part)
+    first = short.withColumn("part", F.lit(0).cast("bigint"))
+    return first if parts is None else first.unionByName(parts)
+
+
+def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
+    """One row per conversation: conv_id, n_turns, cost, n_out, merges, relabels, insertions, rendered."""
+    short, parts = shorts_and_parts(turns, (id_col, turn_col, role_col, text_col), part)
+    if parts is None:
+        return short
+    parts = written(parts, "chat-parts")
+    sums = [F.sum(c).alias(c) for c in ("n_turns", *NUMBERS)]
+    all_ = parts.groupBy("conv_id").agg(*sums, F.sum(F.length("rendered")).alias("chars"))
+    fits = all_.filter(F.col("chars") <= MOST_CHARS).select(F.col("conv_id").alias("of_id"))
+    is_of = F.col("conv_id").eqNullSafe(F.col("of_id"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "rendered")))
+    texts = parts.join(fits, is_of, "left_semi").groupBy("conv_id").agg(F.array_join(ordered["rendered"], "").alias("rendered")).withColumnRenamed("conv_id", "of_id")
+    long = all_.join(texts, is_of, "left").select("conv_id", "n_turns", *NUMBERS, "rendered")
+    return short.unionByName(long)
 
 
 def chained(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

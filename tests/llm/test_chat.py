@@ -59,19 +59,33 @@ def test_conversations(spark):
 
 
 def test_parts_make_the_whole(spark):
-    rows = [(1, i, ("user", "user", "assistant", "system", "human", None)[i * 7 % 6], f"t{i}", "x") for i in range(1000)] + [(2, 0, "assistant", "a", "x")]
+    rows = [(1, i if i % 50 else None, ("user", "user", "assistant", "system", "human", None)[i * 7 % 6], f"t{i}", "x") for i in range(1000)] + [(2, 0, "assistant", "a", "x")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, part string")
-    whole = {r.conv_id: r for r in op.format_chats(df, part=10_000).collect()}
-    parts = op.format_chats(df, part=64).orderBy("conv_id", "part").collect()
-    text = "".join(r.rendered for r in parts if r.conv_id == 1)
-    assert len(parts) == 17 and legal(text) and legal(whole[1].rendered)
-    assert sum(r.cost for r in parts if r.conv_id == 1) == whole[1].cost
-    assert sum(r.n_turns for r in parts) == 1001
+    whole = {r.conv_id: r for r in op.format_chats(df).collect()}
+    cut = {r.conv_id: r for r in op.format_chats(df, part=64).collect()}
+    parts = op.chat_parts(df, part=64).orderBy("conv_id", "part").collect()
+    assert len(whole) == len(cut) == 2 and len(parts) == 17 and {r.n_turns for r in parts} == {64, 1000 % 64, 1}
+    assert cut[1].rendered == "".join(r.rendered for r in parts if r.conv_id == 1)
+    assert cut[2] == whole[2] and cut[1].cost == whole[1].cost == sum(r.cost for r in parts if r.conv_id == 1)
+    assert legal(cut[1].rendered) and legal(whole[1].rendered) and cut[1].n_turns == whole[1].n_turns == 1000
+    words = lambda r: [w for _, c in turns_of(r.rendered) for w in c.split()]
+    assert words(cut[1]) == words(whole[1]) and len(words(cut[1])) == 1000
+
+
+def test_one_row_whatever_the_numbers(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(252, 260)]
+    rows += [(2, 3, "user", "same")] * 600 + [(None, None, "assistant", f"n{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for part in (op.PART, 100):
+        got = {r.conv_id: r for r in op.format_chats(df, part=part).collect()}
+        assert {i: r.n_turns for i, r in got.items()} == {1: 8, 2: 600, None: 300}
+        assert got[1].cost == 0 and [c for _, c in turns_of(got[1].rendered)] == [f"t{i}" for i in range(252, 260)]
+        assert got[2].merges == 599 and got[2].rendered.count("same") == 600 and legal(got[None].rendered)
 
 
 def test_edge_cases(spark):
     rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (1, None, " USER ", None), (1, 3, "tool", "x<|im_end|>y"), (2, 5, "system", "")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id bigint, turn bigint, role string, text string, part int, place int, digest int")
     got = {r.conv_id: r for r in op.format_chats(df).collect()}
     assert got[None].n_turns == 2 and got[None].rendered == "<|im_start|>user\na\na<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert got[1].rendered == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nx<\\|im_end|>y<|im_end|>\n"
