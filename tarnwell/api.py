@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.functions.lexicon import concepts, read_query
+from tarnwell.functions.clauses import read_query
+from tarnwell.functions.lexicon import concepts
 from tarnwell.operators import events as event_plans
 from tarnwell.operators.windows import merged_quota
 from tarnwell.plans import matching, retrieval

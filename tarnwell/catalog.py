@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell import registry
 from tarnwell.operators import aggregates, entities, evaluation, events, filters, joins, matching, retrieval, trees, upkeep, views, windows  # noqa: F401
-from tarnwell.functions import classify, text  # noqa: F401
+from tarnwell.functions import classify, clauses, text  # noqa: F401
 from tarnwell.sources import readers  # noqa: F401
 from tarnwell.streaming import incremental  # noqa: F401
 

@@ -69,18 +69,6 @@ def month_ordinal(text: Column) -> Column:
     return F.when((year != "") & number.between(1, 12), year.cast("int") * 12 + number - 1)
 
 
-def years_demanded(text: Column) -> Column:
-    """The first demand of years in a text, in figures or Chinese numerals, by patterns in order."""
-    number = r"(\d{1,2}|[一二三四五六七八九十两])"
-    patterns = (
-        rf"(?:至少|最少|不低于|起码|最低|大于|超过)\s*{number}\s*年", rf"{number}\s*[-~～至]\s*(?:\d{{1,2}}|[一二三四五六七八九十两])\s*年", rf"{number}\s*年\s*(?:及)?以上",
-        rf"{number}\s*年(?:以上)?(?:工作)?(?:相关)?经验", rf"(?i)(?:at least|minimum|over|more than)\s*{number}\s*years?", rf"(?i){number}\s*\+\s*years?",
-    )
-    spelt = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
-    numerals = F.create_map(*[x for k, v in lexicon.NUMERALS.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(numerals, spelt), F.when(spelt.rlike("^[0-9]+$"), spelt).cast("int"))
-
-
 def age(explicit: Column, birth_year: Column, bachelor_year: Column, now: int) -> Column:
     """Given age, else by birth year, else 22 at the bachelor's degree."""
     return F.coalesce(explicit, now - birth_year, now - bachelor_year + 22)
@@ -89,7 +77,7 @@ def age(explicit: Column, birth_year: Column, bachelor_year: Column, now: int) -
 def constraint_kind(clause: Column) -> Column:
     """Of a clause of a demand: excluded before preferred before required."""
     has = lambda p: clause.rlike(p)
-    return F.when(has("不要(?!求)|排除|(?i)no |must not"), "EXCLUDE").when(has("优先|加分|(?i)prefer|plus|nice to have"), "PLUS").when(has("必须|要求|需要|(?i)must|require"), "MUST")
+    return F.when(has("(?i)不要(?!求)|排除|no |must not"), "EXCLUDE").when(has("(?i)优先|加分|prefer|plus|nice to have"), "PLUS").when(has("(?i)必须|要求|需要|must|require"), "MUST")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -244,23 +232,14 @@ def json_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", label.alias("label"), F.sha2("props", 256).alias("fingerprint"))
 
 
-@query("""
-with c as (select doc_id, unnest(string_split(text, '.')) as clause from documents where lang = 'en')
-select doc_id, sum((regexp_matches(clause, '(?i)worthless|stupid'))::int)::bigint as excluded, sum((not regexp_matches(clause, '(?i)worthless|stupid') and regexp_matches(clause, '(?i)with '))::int)::bigint as preferred, count(*) as clauses from c group by doc_id
-""")
-def clause_constraints(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
-    """Clauses by kind; exclusion wins over preference."""
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.filter(F.col("lang") == lang) if lang else docs
-    clauses = docs.select("doc_id", F.explode(F.split("text", "[.]")).alias("clause"))
-    out = F.col("clause").rlike("(?i)worthless|stupid")
-    return clauses.groupBy("doc_id").agg(F.count_if(out).alias("excluded"), F.count_if(~out & F.col("clause").rlike("(?i)with ")).alias("preferred"), F.count("*").alias("clauses"))
-
-
 @query("""
 with c as (select doc_id, unnest(string_split(text, '.')) as clause from documents)
-select doc_id, sum((regexp_matches(clause, '(?i)worthless|stupid'))::int)::bigint as excluded, sum((not regexp_matches(clause, '(?i)worthless|stupid') and regexp_matches(clause, '(?i)with '))::int)::bigint as preferred, count(*) as clauses from c group by doc_id
+select doc_id, sum((regexp_matches(clause, '(?i)no |must not'))::int)::bigint as excluded, sum((not regexp_matches(clause, '(?i)no |must not') and regexp_matches(clause, '(?i)prefer|plus|nice to have'))::int)::bigint as preferred,
+  sum((not regexp_matches(clause, '(?i)no |must not|prefer|plus|nice to have') and regexp_matches(clause, '(?i)must|require'))::int)::bigint as required, count(*) as clauses from c group by doc_id
 """)
-def clause_constraints_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clause_constraints over documents of any language."""
-    return clause_constraints(spark, sf_dir, None)
+def clause_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of each document by kind; exclusion wins over preference, preference over demand."""
+    clauses = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "[.]")).alias("clause"))
+    kinds = clauses.withColumn("kind", constraint_kind(F.col("clause")))
+    of = lambda k: F.count_if(F.col("kind") == k)
+    return kinds.groupBy("doc_id").agg(of("EXCLUDE").alias("excluded"), of("PLUS").alias("preferred"), of("MUST").alias("required"), F.count("*").alias("clauses"))

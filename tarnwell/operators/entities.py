@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.operators.retrieval import BM25, bm25_topk
 from tarnwell.registry import query, table
 
 
@@ -56,26 +57,13 @@ def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("c_custkey", state.alias("identity"))
 
 
-@query("""
-with w as (select doc_id, unnest(regexp_split_to_array(text, ' ')) as word, generate_subscripts(regexp_split_to_array(text, ' '), 1) as pos from documents where lang = 'en' and n_chars < 400),
-f as (select doc_id, word, pos, row_number() over (partition by doc_id, lower(word) order by pos) as rn from w)
-select doc_id, string_agg(word, ' ' order by pos) as words from f where rn = 1 group by doc_id
-""")
-def casefold_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words once without regard to case, in the first spelling and order."""
-    words = F.split("text", " ")
-    lowered = F.transform(words, F.lower)
-    first = F.filter(words, lambda w, i: F.array_position(lowered, F.lower(w)) == i + 1)
-    return table(spark, sf_dir, "documents").filter("lang = 'en' and n_chars < 400").select("doc_id", F.array_join(first, " ").alias("words"))
-
-
 @query("""
 with w as (select doc_id, unnest(regexp_split_to_array(text, ' ')) as word, generate_subscripts(regexp_split_to_array(text, ' '), 1) as pos from documents),
 f as (select doc_id, word, pos, row_number() over (partition by doc_id, lower(word) order by pos) as rn from w)
 select doc_id, string_agg(word, ' ' order by pos) as words from f where rn = 1 group by doc_id
 """)
-def casefold_dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """casefold_dedupe over documents of any language and length, in work linear in the words."""
+def casefold_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words once without regard to case, in the first spelling and order, in work linear in the words."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     first = words.groupBy("doc_id", F.lower("word")).agg(F.min(F.struct("pos", "word")).alias("first"))
     return first.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("first"))["word"], " ").alias("words"))
@@ -136,24 +124,15 @@ def first_wins(page: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
     return page.groupBy("page").applyInPandas(decide, page.schema)
 
 
-def hydrated(spark: SparkSession, sf_dir: str, terms: int | None) -> DataFrame:
-    from tarnwell.operators.retrieval import bm25_topk
-
-    hits = bm25_topk(spark, sf_dir, terms).select(F.col("query_id").alias("page"), "rank", F.col("id").alias("doc_id"))
+@query(BM25 .replace("\nwith ", "\nwith recursive ") + """,
+page as materialized (select query_id as page, rank, doc_id, sha256(text) as sha, n_chars from (select query_id, id as doc_id, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) join documents using (doc_id) where rank <= 20),
+walk as (select page, 0::bigint as rank, null::bigint as doc_id, []::varchar[] as shas, []::bigint[] as sizes, null::varchar as sha, null::bigint as n_chars, false as kept from (select distinct page from page) union all
+ select p.page, p.rank, p.doc_id, case when list_contains(w.shas, p.sha) or list_contains(w.sizes, p.n_chars) then w.shas else list_append(w.shas, p.sha) end, case when list_contains(w.shas, p.sha) or list_contains(w.sizes, p.n_chars) then w.sizes else list_append(w.sizes, p.n_chars) end,
+  p.sha, p.n_chars, not (list_contains(w.shas, p.sha) or list_contains(w.sizes, p.n_chars)) from walk w join page p on p.page = w.page and p.rank = w.rank + 1)
+select page, rank, doc_id, sha, n_chars from walk where kept""")
+def hydrate_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the benchmark's hits (20 rows each), deduplicated on several keys at once."""
+    hits = bm25_topk(spark, sf_dir).select(F.col("query_id").alias("page"), "rank", F.col("id").alias("doc_id"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.col("n_chars"))
     page = hits.join(docs, "doc_id").select("page", "rank", "doc_id", "sha", "n_chars")
     return first_wins(page, ["rank"], ["sha", "n_chars"])
-
-
-@query()
-def hydrate_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the benchmark's hits (20 rows each), deduplicated on several keys at once."""
-    from tarnwell.operators.retrieval import TERMS
-
-    return hydrated(spark, sf_dir, TERMS)
-
-
-@query()
-def hydrate_first_wins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for hits by all words of each item."""
-    return hydrated(spark, sf_dir, None)

@@ -92,32 +92,21 @@ def constraint_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with q as (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as token from benchmark), qt as (select item_id, token from q where length(token) >= 8),
+with q as (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as token from benchmark), qt as (select item_id, token from q where token <> ''),
 c as (select distinct conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as token from conversations),
 o as (select item_id, conv_id, turn, count(*) as shared from c join qt using (token) group by 1, 2, 3)
 select item_id, conv_id, turn, shared from (select *, row_number() over (partition by item_id order by shared desc, conv_id, turn) as rn from o) where rn <= 2
 """)
-def related_chunks(spark: SparkSession, sf_dir: str, shortest: int = 8) -> DataFrame:
-    """The two chunks that share most tokens with each query."""
+def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two chunks that share most tokens with each query; each chunk and query is a row per token, summed on the map side."""
     words = lambda: F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("token")
-    wanted = table(spark, sf_dir, "benchmark").select("item_id", words()).filter(F.length("token") >= shortest)
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", words()).filter("token <> ''")
     chunks = table(spark, sf_dir, "conversations").select("conv_id", "turn", words()).join(wanted, "token")
     shared = chunks.groupBy("item_id", "conv_id", "turn").agg(F.count("*").alias("shared"))
     by = Window.partitionBy("item_id").orderBy(F.desc("shared"), "conv_id", "turn")
     return shared.withColumn("rn", F.row_number().over(by)).filter("rn <= 2").drop("rn")
 
 
-@query("""
-with q as (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as token from benchmark), qt as (select item_id, token from q where token <> ''),
-c as (select distinct conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as token from conversations),
-o as (select item_id, conv_id, turn, count(*) as shared from c join qt using (token) group by 1, 2, 3)
-select item_id, conv_id, turn, shared from (select *, row_number() over (partition by item_id order by shared desc, conv_id, turn) as rn from o) where rn <= 2
-""")
-def related_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """related_chunks by words of any length."""
-    return related_chunks(spark, sf_dir, 1)
-
-
 @query("""
 with t as (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as token from benchmark), c as (select item_id, token, (length(token) + 3) // 4 as cost from t where token <> ''),
 r as (select *, sum(cost) over (partition by item_id order by length(token) desc, token rows unbounded preceding) as upto, row_number() over (partition by item_id order by length(token) desc, token) as rn from c)

@@ -6,25 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.plans import retrieval as plan
-from tarnwell.registry import ORACLES, query, table
+from tarnwell.registry import query, table
 
-#: Query tokens: the longest words of each benchmark item.
-TERMS = 6
 
-
-def query_tokens(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
-    """(query_id, token) of the longest words of each item; all distinct words where `terms` is None."""
-    words = F.array_distinct(plan.tokens("text"))
-    if terms is None:
-        return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(words).alias("token"))
-    longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1, terms)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(longest["w"]).alias("token"))
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, token) of all distinct words of each item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(plan.tokens("text"))).alias("token"))
 
 
 #: The SQL of the query tokens and of BM25, shared by several oracles.
 QTOK = """
-qt as (select query_id, token from (select item_id as query_id, token, row_number() over (partition by item_id order by length(token) desc, token) as rn
-  from (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as token from benchmark) where token <> '') where rn <= 6)"""
+qt as (select item_id as query_id, token from (select distinct item_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as token from benchmark) where token <> '')"""
 BM25 = f"""
 with {QTOK},
 toks as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as token from documents),
@@ -38,29 +30,29 @@ s as (select query_id, tf.doc_id as id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
 @query(BM25 + " select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 20")
-def bm25_topk(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
     return plan.ranked(scores, 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25.replace("from documents", "from documents where lang = 'en'") + " select query_id, id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 10")
-def bm25_filtered_topk(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard filters stand below the ranking, never after it."""
-    scores = plan.bm25(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir, terms))
+    scores = plan.bm25(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir))
     return plan.ranked(scores, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25 + " select query_id, count(*) as any_hits, sum(case when matched >= 2 then 1 else 0 end)::bigint as two_hits, max(matched) as most from s group by query_id")
-def boolean_and_or(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+def boolean_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts of one owner: any of them, or several, over all its rows."""
-    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
+    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
     return hits.groupBy("query_id").agg(F.count("*").alias("any_hits"), F.count_if(F.col("matched") >= 2).alias("two_hits"), F.max("matched").alias("most"))
 
 
 @query(f"with {QTOK}, a as (select lang, query_id, count(distinct token) as covered from documents, lateral (select unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as token) join qt using (token) group by lang, query_id), n as (select query_id, count(*) as n from qt group by query_id) select lang, query_id, covered, round(covered::double / n, 6) as coverage from a join n using (query_id)")
-def concept_coverage(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+def concept_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of a query's concepts that a group has, over all its rows."""
-    wanted = query_tokens(spark, sf_dir, terms)
+    wanted = query_tokens(spark, sf_dir)
     have = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(plan.tokens("text"))).alias("token")).distinct()
     covered = have.join(wanted, "token").groupBy("lang", "query_id").agg(F.count("*").alias("covered"))
     sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -68,63 +60,30 @@ def concept_coverage(spark: SparkSession, sf_dir: str, terms: int | None = TERMS
 
 
 VECTORS = """
-with q as (select vec_id as query_id, embedding as v from embeddings order by vec_id limit 5),
+with q as (select vec_id as query_id, embedding as v from embeddings where vec_id % 100 = 0),
 d as (select query_id, vec_id as id, label, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - v[i]::double) * (embedding[i]::double - v[i]::double))) as distance from embeddings, q)"""
 
 
-def query_vectors(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
-    """Five query vectors: a stated, bounded query set."""
-    return [(r[0], r[1]) for r in table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(5).select("vec_id", "embedding").collect()]
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set that grows with the table: each hundredth vector."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
 
 
 @query(VECTORS + " select query_id, id, round(1 / (1 + distance), 6) as similarity, rank from (select *, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) where rank <= 20")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan.nearest(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 20)
+    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 20)
     return hits.select("query_id", "id", F.round(plan.similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(VECTORS + " select query_id, id, label, rank from (select *, row_number() over (partition by query_id, label order by round(distance, 9), id) as rank from d) where rank <= 3")
 def vector_kind_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """So many of each kind."""
-    vectors = table(spark, sf_dir, "embeddings")
-    given = F.array(*[F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for q, v in query_vectors(spark, sf_dir)])
-    each = vectors.select(F.col("vec_id").alias("id"), "label", "embedding", F.explode(given).alias("q"))
-    scored = each.select(F.col("q.query_id").alias("query_id"), "id", "label", plan.squared_distance("embedding", F.col("q.v")).alias("distance"))
-    by = Window.partitionBy("query_id", "label").orderBy(F.round("distance", 9), "id")
-    return scored.withColumn("rank", F.row_number().over(by).cast("bigint")).filter("rank <= 3").select("query_id", "id", "label", "rank")
+    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 3, "label")
+    return hits.select("query_id", "id", "label", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(VECTORS + ", r as (select *, round(1 / (1 + distance), 9) as score, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) select query_id, id from (select *, max(score) over (partition by query_id) as top from r where rank <= 50) where score >= 0.4 * top")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of at least a share of the best; the best always stays."""
-    hits = plan.nearest(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 50)
-    scored = hits.withColumn("score", F.round(plan.similarity(F.col("distance")), 9))
-    return plan.above_relative(scored, 0.4).select("query_id", "id")
-
-
-ALL_VECTORS = VECTORS.replace("order by vec_id limit 5", "where vec_id % 100 = 0")
-
-
-def all_query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query set that grows with the table: each hundredth vector."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-
-
-@query(ALL_VECTORS + " select query_id, id, round(1 / (1 + distance), 6) as similarity, rank from (select *, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) where rank <= 20")
-def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), all_query_vectors(spark, sf_dir), 20)
-    return hits.select("query_id", "id", F.round(plan.similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(ALL_VECTORS + " select query_id, id, label, rank from (select *, row_number() over (partition by query_id, label order by round(distance, 9), id) as rank from d) where rank <= 3")
-def vector_kind_quota_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), all_query_vectors(spark, sf_dir), 3, "label")
-    return hits.select("query_id", "id", "label", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(ALL_VECTORS + ", r as (select *, round(1 / (1 + distance), 9) as score, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) select query_id, id from (select *, max(score) over (partition by query_id) as top from r where rank <= 50) where score >= 0.4 * top")
-def vector_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), all_query_vectors(spark, sf_dir), 50)
+    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 50)
     scored = hits.withColumn("score", F.round(plan.similarity(F.col("distance")), 9))
     return plan.above_relative(scored, 0.4).select("query_id", "id")
 
@@ -137,8 +96,8 @@ f as (select query_id, id, sum(part) as score from (select query_id, id, family,
   select query_id, id, 'cover', 0.5 / (60 + rank) from cov where rank <= 50) group by query_id, id, family) group by query_id, id)"""
 
 
-def fused(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
     lexical = plan.ranked(scores, 50).withColumn("channel", F.lit("bm25"))
     cover = plan.ranked(scores, 50, score=F.desc("matched")).withColumn("channel", F.lit("cover"))
     channels = lexical.unionByName(cover).select("query_id", "id", "channel", "rank")
@@ -146,9 +105,9 @@ def fused(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFr
 
 
 @query(FUSED + " select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) where rank <= 20")
-def rrf_fusion(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted reciprocal-rank fusion of two channels; the flagship query."""
-    return plan.ranked(fused(spark, sf_dir, terms), 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return plan.ranked(fused(spark, sf_dir), 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25 + """,
@@ -156,9 +115,9 @@ o as (select query_id, id, row_number() over (partition by query_id order by rou
 w as (select query_id, id, row_number() over (partition by query_id order by matched desc, id) as rank from s),
 f as (select query_id, id, max(part) as score from (select query_id, id, 1.0 / (60 + rank) as part from o where rank <= 30 union all select query_id, id, 0.7 / (60 + rank) from w where rank <= 30) group by query_id, id)
 select query_id, id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) where rank <= 10""")
-def rrf_family_max(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+def rrf_family_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original and rewritten query are one family: the larger part counts."""
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
+    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
     original = plan.ranked(scores, 30).withColumn("channel", F.lit("original"))
     rewrite = plan.ranked(scores, 30, score=F.desc("matched")).withColumn("channel", F.lit("rewrite"))
     channels = original.unionByName(rewrite).select("query_id", "id", "channel", "rank")
@@ -170,9 +129,9 @@ def rrf_family_max(spark: SparkSession, sf_dir: str, terms: int | None = TERMS)
 r as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 20),
 k as (select query_id, id, rank, case when rank <= 10 then (select sum((length(lower(d.text)) - length(replace(lower(d.text), token, ''))) / length(token)) from qt, documents d where qt.query_id = r.query_id and d.doc_id = r.id) end as rerank from r)
 select query_id, id, row_number() over (partition by query_id order by rerank desc nulls last, rank, id) as place from k""")
-def rerank_keyword(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 reordered by how often the query's terms occur, the rest in order."""
-    wanted = query_tokens(spark, sf_dir, terms)
+    wanted = query_tokens(spark, sf_dir)
     hits = plan.ranked(plan.bm25(table(spark, sf_dir, "documents"), wanted), 20)
     terms = wanted.groupBy("query_id").agg(F.collect_list("token").alias("terms"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
@@ -183,26 +142,19 @@ def rerank_keyword(spark: SparkSession, sf_dir: str, terms: int | None = TERMS)
 
 
 @query(BM25 + ", m as (select query_id, max(matched) as best from s group by query_id) select query_id, count(*) as kept from s join m using (query_id) where matched >= 2 or best < 2 group by query_id")
-def weak_hit_filter(spark: SparkSession, sf_dir: str, terms: int | None = TERMS) -> DataFrame:
+def weak_hit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of too few terms go, unless that would leave a query without any."""
-    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir, terms))
+    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
     best = F.max("matched").over(Window.partitionBy("query_id"))
     return hits.withColumn("best", best).filter("matched >= 2 or best < 2").groupBy("query_id").agg(F.count("*").alias("kept"))
 
 
-@query("select key, min(doc_id) as doc_id, count(*) as n from (select doc_id, left(regexp_replace(lower(text), '[^a-z]+', '', 'g'), 60) as key from documents) group by key")
-def evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence whose normalised beginnings agree counts once; the first stays."""
-    key = F.left(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), F.lit(60))
-    return table(spark, sf_dir, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-
-
 #: White space of any kind, in both engines' notation.
 BLANKS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 @query(f"select sha256(t) as key, min(doc_id) as doc_id, count(*) as n from (select doc_id, trim(regexp_replace(text, '{BLANKS}', ' ', 'g'), ' ') as t from documents) where t <> '' group by t")
-def evidence_dedupe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence whose whole texts agree, white space aside, counts once; the first stays and empty ones go."""
     text = F.trim(F.regexp_replace("text", BLANKS, " "))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t")).filter("t <> ''")
@@ -236,17 +188,3 @@ def source_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", tier.alias("tier"), F.length("html").alias("size"))
     by = Window.partitionBy("tier").orderBy(F.desc("size"), "page_id")
     return rows.withColumn("place", F.row_number().over(by).cast("bigint")).filter("place <= 10").select("tier", "page_id", "place")
-
-
-def register_all_terms(function) -> None:
-    """The query NAME_all, of all distinct words of each item instead of the TERMS longest."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(spark, sf_dir, None)
-
-    run.__name__, run.__doc__ = f"{function.__name__}_all", function.__doc__
-    query(ORACLES[function.__name__].replace(" where rn <= 6", ""))(run)
-
-
-for _function in (bm25_topk, bm25_filtered_topk, boolean_and_or, concept_coverage, rrf_fusion, rrf_family_max, rerank_keyword, weak_hit_filter):
-    register_all_terms(_function)

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from tarnwell.registry import query, table
 from tarnwell.session import written
 
-DEPTH = 20
-
-
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region, nation and customer as one adjacency list (id, parent, name)."""
     region = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
@@ -27,33 +24,39 @@ nodes as (select 'r' || r_regionkey as id, null as parent, r_name as name from r
  union all select 'c' || c_custkey, 'n' || c_nationkey, c_name from customer)"""
 
 
-def descended(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Rows (id, depth, path, root) from the roots down; the depth cap guards against cycles.
+def descended(tree: DataFrame) -> DataFrame:
+    """Rows (id, depth, path, root) from the roots down, to any depth; raises where parents run in a circle.
 
     One join a level, each level written, rather than a recursive query, whose
-    number of rows is bounded.
+    number of rows is bounded.  Nodes of a circle are under no root and are not
+    reached from one, so levels end.
     """
     children = tree.filter("parent is not null").select(F.col("id").alias("child"), F.col("name").alias("child_name"), "parent")
     level = tree.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.col("id").alias("root"))
     found = level
-    for _ in range(depth):
+    while True:
         below = level.join(children, F.col("id") == F.col("parent"))
         level = written(below.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "child_name").alias("path"), "root"), "tree-level")
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
 
 
-def closure(tree: DataFrame, depth: int = 6) -> DataFrame:
-    """Rows (ancestor, id): every node under each of its ancestors, by a bounded number of joins."""
+def closure(tree: DataFrame) -> DataFrame:
+    """Rows (ancestor, id): every node under each of its ancestors, to any depth, one join a level.
+
+    Raises where parents run in a circle: a node that is its own ancestor.
+    """
     edges = tree.filter("parent is not null").select("id", F.col("parent").alias("ancestor"))
     level, found = edges, edges
     up = edges.select(F.col("id").alias("of"), F.col("ancestor").alias("next"))
-    for _ in range(depth - 1):
-        level = level.join(up, F.col("ancestor") == F.col("of")).select("id", F.col("next").alias("ancestor"))
+    while True:
+        level = written(level.join(up, F.col("ancestor") == F.col("of")).select("id", F.col("next").alias("ancestor")), "closure-level")
+        if level.isEmpty():
+            return found
+        if not level.filter("id = ancestor").isEmpty():
+            raise ValueError("parents run in a circle")
         found = found.unionByName(level)
-    return found
 
 
 @query(f"""
@@ -70,7 +73,7 @@ select n.id, count(e.id) as under from nodes n left join e on e.a = n.id group b
 """)
 def tree_subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = nodes(spark, sf_dir)
-    under = closure(tree, 2).groupBy("ancestor").agg(F.count("*").alias("under")).withColumnRenamed("ancestor", "id")
+    under = closure(tree).groupBy("ancestor").agg(F.count("*").alias("under")).withColumnRenamed("ancestor", "id")
     return tree.select("id").join(under, "id", "left").select("id", F.coalesce("under", F.lit(0)).alias("under"))
 
 
@@ -133,21 +136,15 @@ def tree_of_text(lines: DataFrame, by: str) -> DataFrame:
 
 
 @query("""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where lang = 'de'),
-d as (select doc_id, pos, least((length(line) % 5), 9) as depth from l)
-select doc_id, pos, depth::int as depth, (select max(p.pos) from d p where p.doc_id = d.doc_id and p.pos < d.pos and p.depth < d.depth)::double as parent_pos from d
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+d as (select doc_id, pos, length(line) % 5 as depth from l),
+m as (select *, max(case when depth < 1 then pos end) over w as p1, max(case when depth < 2 then pos end) over w as p2, max(case when depth < 3 then pos end) over w as p3, max(case when depth < 4 then pos end) over w as p4
+  from d window w as (partition by doc_id order by pos rows between unbounded preceding and 1 preceding))
+select doc_id, pos, depth::int as depth, (case depth when 1 then p1 when 2 then p2 when 3 then p3 when 4 then p4 end)::double as parent_pos from m
 """)
-def tree_from_text(spark: SparkSession, sf_dir: str, lang: str | None = "de") -> DataFrame:
-    """Lines of the German documents as trees; line length stands for the indent."""
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.filter(F.col("lang") == lang) if lang else docs
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+def tree_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents as trees; line length stands for the indent."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     indented = lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.concat(F.repeat(F.lit("  "), F.length("raw") % 5), F.lit("x")).alias("line"))
     tree = tree_of_text(indented, "doc_id")
     return tree.withColumn("parent_pos", F.col("parent_pos").cast("double"))
-
-
-@query()
-def tree_from_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of all documents as trees; no SQL, as its self-join is slow."""
-    return tree_from_text(spark, sf_dir, None)

@@ -1,6 +1,6 @@
 """Queries over whole query sets, against plain Python."""
 
-from tarnwell.functions.text import clause_constraints_all
+from tarnwell.functions.text import clause_constraints
 from tarnwell.operators import entities, matching, retrieval, trees
 from tarnwell.plans import retrieval as plan
 
@@ -26,17 +26,17 @@ def test_all_words_of_an_item_count(spark, tmp_path):
     spark.createDataFrame([(7, 0, "a rare turn")], "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     from tarnwell.registry import QUERIES
 
-    assert [(r.id, r.rank) for r in QUERIES["bm25_topk_all"](spark, str(tmp_path)).collect()] == [(1, 1), (2, 2)]
-    assert QUERIES["boolean_and_or_all"](spark, str(tmp_path)).first().two_hits == 1
-    assert retrieval.query_tokens(spark, str(tmp_path), None).count() == 8
-    assert matching.related_chunks_all(spark, str(tmp_path)).first().shared == 1
+    assert [(r.id, r.rank) for r in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()] == [(1, 1), (2, 2)]
+    assert QUERIES["boolean_and_or"](spark, str(tmp_path)).first().two_hits == 1
+    assert retrieval.query_tokens(spark, str(tmp_path)).count() == 8
+    assert matching.related_chunks(spark, str(tmp_path)).first().shared == 1
 
 
 def test_evidence_is_compared_whole(spark, tmp_path):
     opening = "the same long opening of many templates which runs to well over sixty letters "
     rows = [(1, opening + "one"), (2, opening + "two"), (3, f" {opening}\tone\u3000"), (4, "2020"), (5, "2021"), (6, " \n"), (7, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted((r.doc_id, r.n) for r in retrieval.evidence_dedupe_all(spark, str(tmp_path)).collect()) == [(1, 2), (2, 1), (4, 1), (5, 1)]
+    assert sorted((r.doc_id, r.n) for r in retrieval.evidence_dedupe(spark, str(tmp_path)).collect()) == [(1, 2), (2, 1), (4, 1), (5, 1)]
 
 
 def test_lines_of_any_depth_find_their_parent(spark):
@@ -48,6 +48,6 @@ def test_lines_of_any_depth_find_their_parent(spark):
 def test_documents_of_any_language_and_length(spark, tmp_path):
     rows = [(1, "Ein ein Wort. Mit with ", "de", 22), (2, "A a " * 500 + "b", "en", 2001)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.words for r in entities.casefold_dedupe_all(spark, str(tmp_path)).collect()} == {1: "Ein Wort. Mit with ", 2: "A b"}
-    assert {r.doc_id for r in clause_constraints_all(spark, str(tmp_path)).collect()} == {1, 2}
-    assert {r.doc_id for r in trees.tree_from_text_all(spark, str(tmp_path)).collect()} == {1, 2}
+    assert {r.doc_id: r.words for r in entities.casefold_dedupe(spark, str(tmp_path)).collect()} == {1: "Ein Wort. Mit with ", 2: "A b"}
+    assert {r.doc_id for r in clause_constraints(spark, str(tmp_path)).collect()} == {1, 2}
+    assert {r.doc_id for r in trees.tree_from_text(spark, str(tmp_path)).collect()} == {1, 2}
