@@ -28,6 +28,8 @@ class SearchSpec:
     vector: tuple[float, ...] | None = None
     page: int = 1
     page_size: int = 20
+    #: Fields of the panel that count though they are empty: an explicit "no condition".
+    given: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -64,7 +66,7 @@ def search(chunks: DataFrame, spec: SearchSpec, reranker: Callable[[DataFrame],
     owner counts once; the first RERANKED may be reordered by a scorer.
     """
     read, left_out, _ = read_query(sanitized(spec.text))
-    filters, dropped = relaxed(chunks, spec.panel.over(read))
+    filters, dropped = relaxed(chunks, spec.panel.over(read, spec.given))
     kept = chunks.filter(filters.compiled(chunks.columns))
     for skill in left_out:
         having = chunks.filter(has_word("keyword_text", skill)).select("candidate_id").distinct()

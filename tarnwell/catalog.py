@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell import registry
-from tarnwell.operators import aggregates, entities, evaluation, events, filters, joins, matching, retrieval, trees, upkeep, views, windows  # noqa: F401
-from tarnwell.functions import classify, clauses, text  # noqa: F401
+from tarnwell.operators import aggregates, audits, entities, evaluation, events, filters, joins, matching, requirements, retrieval, search, trees, upkeep, views, windows  # noqa: F401
+from tarnwell.functions import classify, clauses, profiles, sections, text  # noqa: F401
 from tarnwell.sources import readers  # noqa: F401
 from tarnwell.streaming import incremental  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rrf_fusion(spark, sf_dir)
+    return search.hybrid_fusion(spark, sf_dir)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -145,8 +145,8 @@ def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weak_hit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of too few terms go, unless that would leave a query without any."""
     hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
-    best = F.max("matched").over(Window.partitionBy("query_id"))
-    return hits.withColumn("best", best).filter("matched >= 2 or best < 2").groupBy("query_id").agg(F.count("*").alias("kept"))
+    by = hits.groupBy("query_id").agg(F.count("*").alias("every"), F.count_if(F.col("matched") >= 2).alias("strong"))
+    return by.select("query_id", F.when(F.col("strong") > 0, F.col("strong")).otherwise(F.col("every")).alias("kept"))
 
 
 #: White space of any kind, in both engines' notation.

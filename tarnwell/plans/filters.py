@@ -61,6 +61,8 @@ class Filters:
     companies: tuple[str, ...] = ()
     title: str | None = None
     directions: tuple[str, ...] = ()
+    evidence_terms: tuple[str, ...] = ()
+    parents_only: bool = False
 
     def clauses(self, columns: Sequence[str]) -> dict[str, Column]:
         found: dict[str, Column] = {}
@@ -82,15 +84,18 @@ class Filters:
         add("statuses", "candidate_status", given(self.statuses, lambda v: F.col("candidate_status").isin(*v)))
         add("companies", "company_text", given(self.companies, lambda v: reduce(Column.__or__, [holds("company_text", x) for x in v])))
         add("title", "title_text", given(self.title, lambda v: holds("title_text", v)))
+        add("evidence_terms", "body_index_text", given(self.evidence_terms, lambda v: reduce(Column.__or__, [holds("body_index_text", x) for x in v])))
+        add("parents_only", "chunk_type", F.col("chunk_type") == "parent" if self.parents_only else None)
         add("directions", "career_directions", given(self.directions, lambda v: any_of("career_directions", v)))
         return found
 
     def compiled(self, columns: Sequence[str]) -> Column:
         return reduce(Column.__and__, self.clauses(columns).values(), F.lit(True))
 
-    def over(self, other: Filters) -> Filters:
-        """The other's filters, with those that this one gives in front."""
-        return replace(other, **{f.name: v for f in fields(self) if (v := getattr(self, f.name)) != f.default})
+    def over(self, other: Filters, given: frozenset[str] = frozenset()) -> Filters:
+        """The other's filters, with those that this one gives in front; a field named in `given` wins even where it is empty."""
+        wins = {f.name: v for f in fields(self) if (v := getattr(self, f.name)) != f.default or f.name in given}
+        return replace(other, **wins)
 
 
 RELAXABLE = ("title", "companies", "directions", "preferred_locations", "locations", "max_qs_rank", "school_level", "highest_degree", "min_years")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.session import fresh_path
@@ -30,24 +30,55 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return split.select("id", F.size("words").alias("length"), F.explode("words").alias("token"))
 
 
+def bm25_weights(counted: DataFrame, df: DataFrame, n: Column, mean: Column) -> DataFrame:
+    """Rows (token, id, weight) of counted (token, id, length, tf) and df (token, df)."""
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return counted.join(df, "token").select("token", "id", weight.alias("weight"))
+
+
+def summed(queries: DataFrame, weighed: DataFrame) -> DataFrame:
+    return queries.join(weighed, "token").groupBy("query_id", "id").agg(F.sum("weight").alias("score"), F.count("*").alias("matched"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (query_id, id, score, matched) of queries (query_id, token, distinct).
 
     Only the queries' tokens are counted: the postings are cut to them by a semi
-    join before anything is grouped.  Corpus figures are one row.
+    join before anything is grouped.  Corpus figures are a scalar subquery of
+    the same plan.
     """
-    split = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words"))
-    corpus = split.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    split = docs.select(F.size(tokens(text_col)).alias("length"))
+    corpus = split.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"))
     wanted = queries.select("token").distinct()
     counted = postings(docs, id_col, text_col).join(wanted, "token", "left_semi").groupBy("token", "id", "length").agg(F.count("*").alias("tf"))
     df = counted.groupBy("token").agg(F.count("*").alias("df"))
-    n, mean = float(corpus["n"]), float(corpus["mean"] or 1.0)
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = counted.join(df, "token").select(
-        "token", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))).alias("weight")
-    )
-    hits = queries.join(weighed, "token")
-    return hits.groupBy("query_id", "id").agg(F.sum("weight").alias("score"), F.count("*").alias("matched"))
+    return summed(queries, bm25_weights(counted, df, corpus.select("n").scalar(), corpus.select("mean").scalar()))
+
+
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """An inverted index as tables under a path: postings (token, id, length, tf), terms (token, df), corpus (n, mean).
+
+    Postings are counted with map-side combining and dealt by token and id, so
+    no frequent token fills a partition; each file is sorted by token, so that a
+    search reads the row groups of its tokens.
+    """
+    spark = docs.sparkSession
+    counted = postings(docs, id_col, text_col).groupBy("token", "id", "length").agg(F.count("*").alias("tf"))
+    counted.sortWithinPartitions("token", "id").write.parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    corpus = docs.select(F.size(tokens(text_col)).alias("length")).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean"))
+    corpus.write.parquet(f"{path}/corpus")
+    return path
+
+
+def bm25_indexed(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
+    """bm25 from a written index: only the postings of the queries' tokens are read and joined."""
+    corpus = spark.read.parquet(f"{path}/corpus")
+    wanted = queries.select("token").distinct()
+    counted = spark.read.parquet(f"{path}/postings").join(wanted, "token", "left_semi")
+    df = spark.read.parquet(f"{path}/terms").join(wanted, "token", "left_semi")
+    return summed(queries, bm25_weights(counted, df, corpus.select("n").scalar(), corpus.select("mean").scalar()))
 
 
 def ranked(scores: DataFrame, k: int, partition: str = "query_id", score: Column | None = None, id_col: str = "id") -> DataFrame:
@@ -150,13 +181,16 @@ def reciprocal_ranks(channels: DataFrame, weights: dict[str, float], families: d
     return best.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
-def above_relative(hits: DataFrame, share: float, floor: float | None = None) -> DataFrame:
-    """Hits of at least a share of their query's best score; a floor never empties a query."""
-    top = F.max("score").over(Window.partitionBy("query_id"))
-    keep = F.col("score") >= share * F.col("top")
+def above_relative(hits: DataFrame, share: float, floor: float | None = None, least: float | None = None) -> DataFrame:
+    """Hits of at least a share of their query's best score, and of at least `least`; a floor never empties a query.
+
+    The best score is one row a query, combined on the map side.
+    """
+    top = hits.groupBy("query_id").agg(F.max("score").alias("top")).withColumnRenamed("query_id", "of_query")
+    keep = F.col("score") >= F.greatest(share * F.col("top"), F.lit(float("-inf") if least is None else least))
     if floor is not None:
         keep = keep & ((F.col("score") >= floor) | (F.col("top") < floor))
-    return hits.withColumn("top", top).filter(keep).drop("top")
+    return hits.join(top, F.col("query_id").eqNullSafe(F.col("of_query"))).filter(keep).drop("top", "of_query")
 
 
 def reranked(hits: DataFrame, scorer: Callable[[DataFrame], Column], window: int) -> DataFrame:
