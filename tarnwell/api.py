@@ -14,6 +14,7 @@ from tarnwell.operators import events as event_plans
 from tarnwell.operators.windows import merged_quota
 from tarnwell.plans import matching, retrieval
 from tarnwell.plans.filters import Filters, has_word, relaxed
+from tarnwell.sources.hooks import embedded  # noqa: F401
 
 POOL = 120
 RERANKED = 100
@@ -120,17 +121,3 @@ def trend(facts: DataFrame, ts: str, unit: str) -> DataFrame:
     labels = {"month": lambda d: F.date_format(d, "yyyy-MM"), "quarter": lambda d: F.concat(F.year(d).cast("string"), F.lit("-Q"), F.quarter(d).cast("string"))}
     week = lambda d: F.concat(F.expr("extract(YEAROFWEEK FROM start)").cast("string"), F.lit("-W"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
     return event_plans.trend(facts, ts, unit, labels.get(unit, week))
-
-
-def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
-    """Vectors of texts by an application's model in Arrow batches; texts that `known` (text, vector) has are not asked for again."""
-    distinct = texts.select(F.col(text_col).alias("text")).distinct()
-    missing = distinct.join(known.select("text"), "text", "left_anti") if known is not None else distinct
-
-    def run(batches):
-        for batch in batches:
-            batch["vector"] = embed(batch["text"].tolist())
-            yield batch
-
-    fresh = missing.mapInPandas(run, "text string, vector array<float>")
-    return fresh.unionByName(known.select("text", "vector").join(distinct, "text", "left_semi")) if known is not None else fresh

@@ -25,7 +25,7 @@ def char_counts(text: Column) -> dict[str, Column]:
 
 def dominant_line_ratio(text: Column) -> Column:
     """Share of the most frequent non-empty line among all non-empty lines."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     ordered = F.array_sort(lines)
     # Runs of equal lines stand together after sorting: the longest run, in one fold.
     start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("best"))

@@ -37,9 +37,14 @@ def parsed_files(rows: DataFrame, parser: Callable[[bytes, str], str]) -> DataFr
 
 
 def inventory(rows: DataFrame) -> DataFrame:
-    """Files by format: number, bytes, distinct contents."""
+    """Files by format: number, bytes, distinct contents, duplicates, and a digest of the set of contents.
+
+    The digest is a sum over distinct contents, equal for equal sets whatever their order.
+    """
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return rows.groupBy(kind.alias("format")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_distinct("sha256").alias("contents"))
+    contents = rows.groupBy(kind.alias("format"), "sha256").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    digest = F.sum(F.conv(F.substring("sha256", 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return contents.groupBy("format").agg(F.sum("n").alias("files"), F.sum("bytes").alias("bytes"), F.count("*").alias("contents"), (F.sum("n") - F.count("*")).alias("duplicates"), digest.alias("digest"))
 
 
 def split_jobs(text: Column) -> Column:
@@ -47,12 +52,13 @@ def split_jobs(text: Column) -> Column:
     return F.filter(F.split(text, r"(?m)(?=^\s*(?:岗位|职位|JD|Job)\s*\d+)"), lambda x: F.trim(x) != "")
 
 
-def school_reference(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows with the reason) of a reference CSV."""
-    read = spark.read.schema(SCHOOLS).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
+def school_reference(spark: SparkSession, path: str, kind: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad rows with the reason) of a reference table as CSV, or JSON lines."""
+    reader = spark.read.schema(SCHOOLS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    read = reader.option("header", "true").csv(path) if kind == "csv" else reader.json(path)
     reason = F.when(F.col("_bad").isNotNull(), "unreadable").when(F.trim("name") == "", "no name").when(F.col("name").isNull(), "no name").when(F.col("qs_low") > F.col("qs_high"), "range")
     marked = read.withColumn("reason", reason)
-    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "[;；]"), F.trim), lambda x: x != "")
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "[;；]"), lambda x: F.trim(x)), lambda x: x != "")
     good = marked.filter("reason is null").select(F.trim("name").alias("name"), listed("aliases").alias("aliases"), listed("tags").alias("tags"), "qs_low", "qs_high")
     return good, marked.filter("reason is not null").select("name", "reason")
 
@@ -76,7 +82,9 @@ def put_contents(rows: DataFrame, store: str) -> DataFrame:
 
 
 def report_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+    """UTF-8 with a byte order mark before the header of each file, as spreadsheets want it."""
+    first, *rest = df.columns
+    df.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
 
 
 @query("""
@@ -121,3 +129,67 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = public_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").alias("salary")))
     report_csv(shown, path)
     return spark.read.schema(shown.schema).option("header", "true").csv(path)
+
+
+@query("""
+with p as (select ['html', 'HTM', 'txt'][page_id % 3 + 1] as kind, html, octet_length(encode(html)) as n, sha256(html) as h from pages), c as (select lower(kind) as format, h, count(*) as k, sum(n) as n from p group by 1, 2)
+select format, sum(k)::bigint as files, sum(n)::bigint as bytes, count(*) as contents, (sum(k) - count(*))::bigint as duplicates, sum(('0x' || substr(h, 1, 15))::bigint)::varchar as digest from c group by 1
+""")
+def corpus_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as files of three formats."""
+    path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.element_at(F.array(F.lit(".html"), F.lit(".HTM"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int")))
+    rows = table(spark, sf_dir, "pages").select(path.alias("path"), F.octet_length("html").alias("length"), F.sha2("html", 256).alias("sha256"))
+    return inventory(rows)
+
+
+@query("select sha256(html) as sha256, length(regexp_replace(html, '<[^>]*>', '', 'g')) as chars from pages")
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of files by a parser of one's own, here one that strips tags."""
+    import re
+
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.encode("html", "UTF-8").alias("content"), F.sha2("html", 256).alias("sha256"))
+    return parsed_files(rows, lambda content, _: re.sub("<[^>]*>", "", content.decode())).select("sha256", F.length("text").cast("bigint").alias("chars"))
+
+
+@query("""
+with n as (select n_nationkey as k, n_name as name from nation), r as (select k, name, case when k % 7 = 3 then 'no name' when k % 7 = 5 then 'range' end as reason from n)
+select way, case when k % 7 = 3 then null else name end as name, case when reason is null then name || '|' || lower(name) end as aliases, reason from r, (values ('csv'), ('json')) v(way)
+""")
+def school_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference table written and imported both as CSV and as JSON: good rows, and bad ones with the reason."""
+    k = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(
+        F.when(k % 7 != 3, F.col("n_name")).alias("name"), F.concat_ws(" ; ", "n_name", F.lower("n_name"), F.lit("")).alias("aliases"), F.lit("985;双一流").alias("tags"), F.when(k % 7 == 5, 9).otherwise(1).alias("qs_low"), F.lit(5).alias("qs_high")
+    )
+    shown = []
+    for kind in ("csv", "json"):
+        path = fresh_path(spark, f"schools-{kind}")
+        rows.write.option("header", "true").csv(path) if kind == "csv" else rows.write.json(path)
+        good, bad = school_reference(spark, path, kind)
+        shown += [good.select(F.lit(kind).alias("way"), "name", F.array_join("aliases", "|").alias("aliases"), F.lit(None).cast("string").alias("reason")), bad.select(F.lit(kind).alias("way"), "name", F.lit(None).cast("string").alias("aliases"), "reason")]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2]).unionByName(shown[3])
+
+
+@query("select sha256(html) as sha256, substr(sha256(html), 1, 2) as fan, length(html) as chars from (select distinct html from pages)")
+def stored_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents put into a store in two goes, the second with all of the first again: each stands once."""
+    store = fresh_path(spark, "contents")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.col("html").alias("content"))
+    put_contents(rows.filter("page_id % 2 = 0").select("sha256", "content"), store)
+    return put_contents(rows.select("sha256", "content"), store).select("sha256", F.lpad(F.col("fan").cast("string"), 2, "0").alias("fan"), F.length("content").cast("bigint").alias("chars"))
+
+
+@query("""
+with g as (select sha256(text) as sha, min(doc_id) as primary_id, count(*) as n from documents group by 1 having count(*) > 1)
+select g.primary_id as duplicate_group_id, doc_id as candidate_id, g.sha as content_sha256, n as group_size, g.primary_id as primary_candidate_id, 'PENDING_REVIEW' as merge_status from documents d join g on sha256(d.text) = g.sha
+""")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of equal texts, written as CSV with a byte order mark and read again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    groups = docs.groupBy("sha").agg(F.min("doc_id").alias("primary_id"), F.count("*").alias("n")).filter("n > 1")
+    rows = docs.join(groups, "sha").select(
+        F.col("primary_id").alias("duplicate_group_id"), F.col("doc_id").alias("candidate_id"), F.col("sha").alias("content_sha256"), F.col("n").alias("group_size"), F.col("primary_id").alias("primary_candidate_id"), F.lit("PENDING_REVIEW").alias("merge_status")
+    )
+    path = fresh_path(spark, "duplicates")
+    report_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", "true").csv(path)

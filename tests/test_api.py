@@ -82,7 +82,7 @@ def test_trend(spark):
 def test_mailbox(spark, tmp_path):
     box = tmp_path / "box.jsonl"
     mails = [{"uid": i, "sender": "hr@a.org", "subject": f"cv {i}", "body": "x"} for i in range(1, 5)]
-    box.write_text("\n".join(map(json.dumps, mails)))
+    box.write_text("".join(json.dumps(m) + "\n" for m in mails))
     spark.dataSource.register(Mailbox)
     assert spark.read.format("mailbox").option("path", str(box)).option("after", "2").load().count() == 2
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
@@ -93,5 +93,15 @@ def test_mailbox(spark, tmp_path):
         return spark.read.parquet(out).count()
 
     assert drain() == 4
-    box.write_text("\n".join(map(json.dumps, [*mails, mails[0] | {"uid": 9}])))
-    assert drain() == 5
+    box.write_text("".join(json.dumps(m) + "\n" for m in [*mails, mails[0] | {"uid": 9}]) + '{"uid": 10, "sen')
+    assert drain() == 5  # a line that is not whole yet waits
+
+
+def test_mailbox_ranges(spark, tmp_path):
+    box = tmp_path / "many.jsonl"
+    box.write_text("".join(json.dumps({"uid": i, "sender": "a", "subject": "s" * (i % 50), "body": "é\n" * (i % 7)}) + "\n" for i in range(1, 500)))
+    spark.dataSource.register(Mailbox)
+    for span in (1, 37, 1000, 1 << 20):
+        read = spark.read.format("mailbox").option("path", str(box)).option("span", str(span)).load() if span > 1 else spark.read.format("mailbox").option("path", str(box)).option("span", "64").load()
+        assert sorted(r.uid for r in read.collect()) == list(range(1, 500))
+        assert span > 64 or read.rdd.getNumPartitions() > 100
