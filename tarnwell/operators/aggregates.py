@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.plans.ranges import percentiles
 from tarnwell.registry import query, table
 
 
@@ -105,12 +106,8 @@ select event_type, max(case when rn = greatest(1, ceil(0.5 * n)::bigint) then va
 """)
 def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles, exact: values are counted on the map side, and ranks run over distinct values."""
-    counted = table(spark, sf_dir, "events").filter("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("event_type")
-    upto = F.sum("n").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto).withColumn("all", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("all"))), F.col("value")))
-    return ranked.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    at = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n"))) - 1
+    return percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": at(0.5), "p95": at(0.95)})
 
 
 @query("select o_orderpriority, round(avg(case when o_orderstatus = 'F' then o_totalprice end), 4) as mean_known, count(case when o_orderstatus = 'F' then 1 end) as known from orders group by 1")

@@ -6,27 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.operators.evaluation import METRICS, RANKED, judged, metrics
+from tarnwell.plans.ranges import percentiles
 from tarnwell.registry import query, table
 from tarnwell.session import fresh_path, written
 
 
-def percentiles(rows: DataFrame, by: str, value: str, places: dict[str, Column]) -> DataFrame:
-    """Values at exact places (from 0, of `n` rows) of each group in order.
-
-    Equal values are counted on the map side; partitions of ranges are counted
-    first, so a group may lie in many of them and is summed only within one.
-    """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
-    parts = written(counted.repartitionByRange(by, value).withColumn("part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy(by, "part").agg(F.sum("k").alias("size"))
-    over = Window.partitionBy(by)
-    before = F.coalesce(F.sum("size").over(over.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begun = sizes.select(F.col(by).alias("of"), F.col("part").alias("of_part"), before.alias("before"), F.sum("size").over(over).alias("n"))
-    upto = F.col("before") + F.sum("k").over(Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = parts.join(begun, F.col(by).eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part"))).withColumn("upto", upto)
-    return ranked.groupBy(by).agg(*[F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()])
-
-
 def half_even_place(share: float, last: bool) -> Column:
     """round((n - 1) * share), or round(n * share) - 1, both half to even and within the list."""
     n = F.col("n").cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.plans.ranges import percentiles, placed
 from tarnwell.registry import query, table
 
 #: A ranking and a relevance that both engines derive from the tables alone: documents of a
@@ -18,8 +19,8 @@ j as (select r.query_id, r.id, r.rank, g.grade from r left join g on r.query_id
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (query_id, id, rank, grade); grade is null where nobody judged."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    by = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "id")
-    ranked = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), "n_chars").withColumn("rank", F.row_number().over(by))
+    rows = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), "n_chars")
+    ranked = placed(rows, "query_id", F.desc("n_chars"), F.asc("id")).withColumnRenamed("place", "rank")
     grades = labels.select(F.col("doc_id").alias("id"), (F.col("quality") + 2 * (1 - F.col("toxic"))).alias("grade"))
     return ranked.join(grades, "id", "left").select("query_id", "id", "rank", "grade")
 
@@ -147,16 +148,14 @@ select label, max(case when k = 1 then s end) as top1, max(case when k = least(5
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score levels per group: best, fifth, middle."""
     scores = table(spark, sf_dir, "embeddings").select("label", F.round(F.col("embedding")[0].cast("double"), 6).alias("s"))
-    by = Window.partitionBy("label")
-    r = scores.withColumn("k", F.row_number().over(by.orderBy(F.desc("s")))).withColumn("n", F.count("*").over(by))
-    at = lambda c: F.max(F.when(F.col("k") == c, F.col("s")))
-    return r.groupBy("label").agg(at(F.lit(1)).alias("top1"), at(F.least(F.lit(5), F.col("n"))).alias("top5"), at(F.floor((F.col("n") + 1) / 2)).alias("middle"))
+    at = lambda k: F.col("n") - k
+    return percentiles(scores, "label", "s", {"top1": at(1), "top5": at(F.least(F.lit(5), F.col("n"))), "middle": at(F.floor((F.col("n") + 1) / 2))})
 
 
-@query("select doc_id, case when contains(lower(text), lower(substr(text, 1, 20))) and contains(source, '1') then 2 when contains(source, '1') then 1 else 0 end as grade from documents")
+@query("select doc_id, case when contains(lower(text), replace(source, 'src', ' ')) and contains(source, '1') then 2 when contains(source, '1') then 1 else 0 end as grade from documents")
 def deterministic_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.contains("source", F.lit("1"))
-    both = one & F.contains(F.lower("text"), F.lower(F.substring("text", 1, 20)))
+    both = one & F.contains(F.lower("text"), F.replace("source", F.lit("src"), F.lit(" ")))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(both, 2).when(one, 1).otherwise(0).alias("grade"))
 
 

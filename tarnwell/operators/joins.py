@@ -84,15 +84,21 @@ def fuzzy_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal, or either contains the other, of names of NGRAM characters or more.
 
     No cross join: the container gives all its n-grams, the contained only the
-    first of its own, and containment is verified on rows that meet there.
+    one of its own that fewest containers have (counted first), so that common
+    parts of names gather no rows; containment is verified on rows that meet.
     """
     left = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("supplier"), F.replace(F.lower("p_name"), F.lit("part"), F.lit(""))).alias("a"))
     right = table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.lower("s_name"), F.lit("#"), F.lit(" ")).alias("b"))
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - NGRAM + 1)), lambda i: F.substr(F.col(c), i, F.lit(NGRAM)))))
-    # The rarest place of a name is its end, not a common beginning.
-    tail = lambda c: F.right(F.col(c), F.lit(NGRAM))
-    met = left.withColumn("g", grams("a")).join(right.withColumn("g", tail("b")), "g").filter(F.contains("a", F.col("b")))
-    turned = right.withColumn("g", grams("b")).join(left.withColumn("g", tail("a")), "g").filter(F.contains("b", F.col("a")))
+
+    def within(big: DataFrame, a: str, small: DataFrame, b: str) -> DataFrame:
+        holders = big.withColumn("g", grams(a))
+        counts = holders.groupBy("g").agg(F.count("*").alias("k"))
+        rare = F.min_by("g", F.struct(F.coalesce("k", F.lit(0)), F.col("g")))
+        chosen = small.withColumn("g", grams(b)).join(counts, "g", "left").groupBy(*small.columns).agg(rare.alias("g"))
+        return holders.join(chosen, "g").filter(F.contains(a, F.col(b)))
+
+    met, turned = within(left, "a", right, "b"), within(right, "b", left, "a")
     return met.select("p_partkey", "s_suppkey").unionByName(turned.select("p_partkey", "s_suppkey")).distinct()
 
 
@@ -127,10 +133,10 @@ def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
 
 
-@query("select doc_id, quality, toxic from documents join labels using (doc_id) where lang = 'en'")
+@query("select doc_id, quality, toxic from documents join labels using (doc_id)")
 def parents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point look-ups of many keys at once, as one join."""
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "toxic")
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality", "toxic")
 
 
 @query("""

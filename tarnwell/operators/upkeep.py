@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.plans.ranges import placed
 from tarnwell.registry import query, table
 
 
@@ -133,9 +134,8 @@ select doc_id, source || '_' || lang || case when rn > 1 then '_' || lpad(rn::va
 """)
 def collision_free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stem, stem_002, stem_003, …"""
-    by = Window.partitionBy("source", "lang").orderBy("doc_id")
-    number = F.row_number().over(by)
-    numbered = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "source", "lang").alias("stem"), number.alias("rn"))
+    stems = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "source", "lang").alias("stem"))
+    numbered = placed(stems, "stem", F.asc("doc_id")).withColumnRenamed("place", "rn")
     padded = F.when(F.length(F.col("rn").cast("string")) >= 3, F.col("rn").cast("string")).otherwise(F.lpad(F.col("rn").cast("string"), 3, "0"))
     return numbered.select("doc_id", F.when(F.col("rn") > 1, F.concat_ws("_", "stem", padded)).otherwise(F.col("stem")).alias("name"))
 

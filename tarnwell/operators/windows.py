@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.plans.ranges import placed
 from tarnwell.registry import query, table
 
 
@@ -22,8 +23,9 @@ def merged_quota(df: DataFrame, group: str, order: list, total: int, first_share
 
 @query("select event_id, row_number() over (partition by event_type order by value desc, event_id) as rank from events")
 def channel_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(by).cast("bigint").alias("rank"))
+    """Every row's rank in its channel; a channel of very many rows is ranked by ranges."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return placed(rows, "event_type", F.desc("value"), F.asc("event_id")).select("event_id", F.col("place").alias("rank"))
 
 
 @query("select user_id, event_id from (select *, row_number() over (partition by user_id order by value desc, event_id) as rn from events) where rn = 1")

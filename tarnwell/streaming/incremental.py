@@ -102,12 +102,12 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(counted.select("user_id", F.col("session_window.start").alias("start_ts"), F.col("session_window.end").alias("end_ts"), "n"), "sessions")
 
 
-@query("select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by 1, 2")
+@query("select user_id, count(*) as kinds from (select distinct user_id, event_type from events) group by 1")
 def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each kind once per user within the state's time; facts repeated later are folded in batch."""
     rows = stream(spark, sf_dir, "events").select("user_id", "event_type", "ts").withWatermark("ts", "31 days")
     once = drained(rows.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
-    return once.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return once.groupBy("user_id").agg(F.count("*").alias("kinds"))
 
 
 @query("select text_id, min(doc_id) as first_doc, count(*) as uses from (select sha256(text) as text_id, doc_id from documents) group by 1")
@@ -150,12 +150,14 @@ def void_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select c_custkey, case when c_custkey % 5 = 0 then null else 20 + c_custkey % 30 + 3 end::double as age from customer
+select c_custkey, case when c_custkey % 5 <> 0 then 20 + c_custkey % 30 + greatest(0, 1999 - coalesce(y, 1999)) end::double as age from customer left join (select o_custkey, max(year(o_orderdate)) as y from orders group by 1) on o_custkey = c_custkey
 """)
 def daily_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived ages moved on by the years since their baseline."""
+    """Derived ages moved on to 1999 by the years since their baseline, here each customer's last order."""
+    last = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.year("o_orderdate")).alias("y"))
     age = F.when(F.col("c_custkey") % 5 != 0, 20 + F.col("c_custkey") % 30)
-    return table(spark, sf_dir, "customer").select("c_custkey", (age + (F.lit(2024) - F.lit(2021))).cast("double").alias("age"))
+    since = F.greatest(F.lit(0), 1999 - F.coalesce("y", F.lit(1999)))
+    return table(spark, sf_dir, "customer").join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", (age + since).cast("double").alias("age"))
 
 
 @query("select user_id, count(*) as n, max(running) as total from (select user_id, sum(floor(value)::bigint) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as running from events) group by user_id")

@@ -114,7 +114,7 @@ def test_text_functions(spark):
     kinds = spark.createDataFrame([("必须 Java 优先",), ("must have Go",), ("不要 PHP",), ("hello",)], "t string")
     assert values(kinds.select(text.constraint_kind(F.col("t")).alias("x")), "x") == ["PLUS", "MUST", "EXCLUDE", None]
     names = spark.createDataFrame([("姓名：王小明",), ("Jane Doe\nEngineer",), ("x jane.doe@a.org",), (None,)], "t string")
-    assert values(names.select(text.person_name("t").alias("x")), "x") == ["王小明", "Jane Doe", "Jane Doe", None]
+    assert values(names.select(text.person_name(F.col("t")).alias("x")), "x") == ["王小明", "Jane Doe", "Jane Doe", None]
 
 
 def test_chunker_keeps_the_text(spark):
