@@ -12,11 +12,13 @@ frame's own markers, table and size, decodes it, and checks nothing else of
 how it was written.  Shots: the difference of neighbouring frames' grey
 histograms starts a new clip where it is over its running mean by DEVIATIONS
 deviations over the last SPAN differences, so the threshold follows the
-material.  clips() gives one timed row per clip.
+material (the first difference, which has none before it, is held against those
+that follow).  clips() gives one timed row per clip.
 
 Defined cases: null and empty texts are a payload of 192 blanks, one frame, one
 clip; repeated rows and equal texts give equal values; other columns are not
-touched; an empty table gives an empty result.  Memory is bounded by one text.
+touched; an empty table gives an empty result.  Frames are coded, decoded and
+counted GROUP at a time, so memory is a few times one text and its stored form.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from tarnwell.llm.common import whole_text
 
 UNIT, WIDTH, HEIGHT, RATE = 192, 64, 48, 25
 TONES, SPAN, DEVIATIONS, LEAST = 16, 12, 2.5, 0.15
-TAIL = 16
+TAIL, GROUP = 16, 256
 
 
 def payload_of(text: str) -> tuple[int, bytes]:
@@ -114,19 +116,18 @@ def write_avi(payload: bytes) -> bytes:
     count = -(-len(payload) // per)
     samples = np.frombuffer(payload.ljust(count * per, b"\0"), np.uint8).reshape(count, height, WIDTH)
     head = jpeg_head(WIDTH, height)
-    frames = [head + coded + b"\xff\xd9" for coded in code_frames(samples)]
+    frames = [head + coded + b"\xff\xd9" for k in range(0, count, GROUP) for coded in code_frames(samples[k : k + GROUP])]
     main = struct.pack("<14I", 1_000_000 // RATE, 0, 0, 0x10, count, 0, 1, max(map(len, frames)), WIDTH, height, 0, 0, 0, 0)
     stream = b"vidsMJPG" + struct.pack("<10I4H", 0, 0, 0, 1, RATE, 0, count, 0, 0xFFFFFFFF, 0, 0, 0, WIDTH, height)
     picture = struct.pack("<IiiHH4sIiiII", 40, WIDTH, height, 1, 8, b"MJPG", per, 0, 0, 0, 0)
     header = listed(b"hdrl", chunk(b"avih", main), listed(b"strl", chunk(b"strh", stream), chunk(b"strf", picture)), chunk(b"plen", struct.pack("<Q", len(payload))))
     entries, body, at = [], [], 4
     for frame in frames:
-        piece = chunk(b"00dc", frame)
+        body += [struct.pack("<4sI", b"00dc", len(frame)), frame, b"\0" * (len(frame) % 2)]
         entries.append(struct.pack("<4sIII", b"00dc", 0x10, at, len(frame)))
-        body.append(piece)
-        at += len(piece)
-    data = b"AVI " + header + listed(b"movi", *body) + chunk(b"idx1", b"".join(entries))
-    return b"RIFF" + struct.pack("<I", len(data)) + data
+        at += 8 + len(frame) + len(frame) % 2
+    index = chunk(b"idx1", b"".join(entries))
+    return b"".join([b"RIFF", struct.pack("<I", 4 + len(header) + 8 + at + len(index)), b"AVI ", header, b"LIST", struct.pack("<I", at), b"movi", *body, index])
 
 
 def riff(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -183,44 +184,55 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return np.cumsum(step, axis=2, dtype=np.int32).astype(np.uint8)
 
 
-def read_avi(data: bytes) -> tuple[np.ndarray, int, float]:
-    """Frames, the payload's length and the seconds of a frame."""
+def read_avi(data: bytes) -> tuple[Iterator[np.ndarray], int, float]:
+    """Frames by groups, the payload's length and the seconds of a frame."""
     ((_, start, end),) = riff(data, 0, len(data))
     parts = {name: (a, b) for name, a, b in riff(data, start, end)}
     header = {name: (a, b) for name, a, b in riff(data, *parts[b"hdrl"])}
     seconds = struct.unpack_from("<I", data, header[b"avih"][0])[0] / 1e6
     length = struct.unpack_from("<Q", data, header[b"plen"][0])[0]
     base = parts[b"movi"][0] - 4
-    frames = []
-    for at in range(*parts[b"idx1"], 16):
-        _, _, offset, size = struct.unpack_from("<4sIII", data, at)
-        frames.append(data[base + offset + 8 : base + offset + 8 + size])
-    return decode_frames(frames), length, seconds
 
+    def frames() -> Iterator[np.ndarray]:
+        first, last = parts[b"idx1"]
+        for at in range(first, last, 16 * GROUP):
+            entries = [struct.unpack_from("<4sIII", data, k) for k in range(at, min(last, at + 16 * GROUP), 16)]
+            yield decode_frames([data[base + offset + 8 : base + offset + 8 + size] for _, _, offset, size in entries])
 
-def shots(frames: np.ndarray) -> list[tuple[int, int]]:
-    """Clips as (first frame, frame after the last)."""
+    return frames(), length, seconds
+
+
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """Shares of the grey tones in each frame."""
     count = len(frames)
     tone = frames.reshape(count, -1) >> 4
-    places = tone.astype(np.int64) + np.arange(count)[:, None] * TONES
-    histogram = np.bincount(places.ravel(), minlength=count * TONES).reshape(count, TONES) / tone.shape[1]
+    places = tone.astype(np.int32) + np.arange(count, dtype=np.int32)[:, None] * TONES
+    return np.bincount(places.ravel(), minlength=count * TONES).reshape(count, TONES) / tone.shape[1]
+
+
+def shots(histogram: np.ndarray) -> list[tuple[int, int]]:
+    """Clips as (first frame, frame after the last)."""
     change = np.abs(np.diff(histogram, axis=0)).sum(1) / 2
     starts = [0]
-    for i in range(1, len(change)):
-        recent = change[max(0, i - SPAN) : i]
-        if change[i] > LEAST and change[i] > recent.mean() + DEVIATIONS * recent.std():
+    for i in range(len(change)):
+        recent = change[max(0, i - SPAN) : i] if i else change[1 : 1 + SPAN]
+        if change[i] > LEAST and (not len(recent) or change[i] > recent.mean() + DEVIATIONS * recent.std()):
             starts.append(i + 1)
-    return list(zip(starts, [*starts[1:], count], strict=True))
+    return list(zip(starts, [*starts[1:], len(histogram)], strict=True))
 
 
 def stored(text: str) -> dict:
     """A text's stored form, what is read back from it, and its clips."""
     size, payload = payload_of(text)
     data = write_avi(payload)
-    frames, length, seconds = read_avi(data)
-    back = frames.tobytes()[:length]
-    clips = [(a * seconds, b * seconds) for a, b in shots(frames)]
-    return {"n_bytes": size, "back": back, "data": data, "clips": clips, "frames": len(frames)}
+    groups, length, seconds = read_avi(data)
+    back, tones = [], []
+    for frames in groups:
+        back.append(frames.tobytes())
+        tones.append(histograms(frames))
+    histogram = np.concatenate(tones)
+    clips = [(a * seconds, b * seconds) for a, b in shots(histogram)]
+    return {"n_bytes": size, "back": b"".join(back)[:length], "data": data, "clips": clips, "frames": len(histogram)}
 
 
 def digests(text: str) -> tuple:

@@ -300,15 +300,15 @@ def read_model(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, ids, n_ids, decoded_sha256, round_trip.
+def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, ids, n_ids, decoded_sha256, round_trip, and the columns to keep.
 
     round_trip says whether the ids decode to the text again; a character map may forbid it.
     """
     model = read_model(model_path)
     digest = hashlib.sha256(model).hexdigest()
-    source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType
+    source = docs.select(docs[id_col].alias("doc_id"), whole_text(docs[text_col]).alias("text"), *[docs[c] for c in keep])
+    kinds = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(digest, model)
@@ -328,6 +328,7 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
                 offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
                 columns = [batch.column("doc_id").slice(begin, k - begin), lists, pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_ids", "decoded_sha256", "round_trip"])
+                columns += [batch.column(c).slice(begin, k - begin) for c in keep]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_ids", "decoded_sha256", "round_trip", *keep])
 
-    return source.mapInArrow(run, f"doc_id {kind.simpleString()}, ids array<int>, n_ids bigint, decoded_sha256 string, round_trip boolean")
+    return source.mapInArrow(run, ", ".join([kinds[0], "ids array<int>, n_ids bigint, decoded_sha256 string, round_trip boolean", *kinds[1:]]))

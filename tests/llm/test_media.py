@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -56,14 +57,36 @@ def test_frames_by_the_format(rng=np.random.default_rng(0)):
 
 def test_riff_index():
     data = op.write_avi(b"x" * 9216)
-    frames, length, seconds = op.read_avi(data)
+    groups, length, seconds = op.read_avi(data)
+    frames = np.concatenate(list(groups))
     assert data[:4] == b"RIFF" and data[8:12] == b"AVI " and frames.shape == (3, 48, 64) and length == 9216 and seconds == 0.04
 
 
 def test_shots():
     dark, light = np.full((20, 48, 64), 40, np.uint8), np.full((15, 48, 64), 200, np.uint8)
-    assert op.shots(np.concatenate((dark, light, dark))) == [(0, 20), (20, 35), (35, 55)]
-    assert op.shots(dark[:1]) == [(0, 1)]
+    assert op.shots(op.histograms(np.concatenate((dark, light, dark)))) == [(0, 20), (20, 35), (35, 55)]
+    assert op.shots(op.histograms(dark[:1])) == [(0, 1)]
+
+
+def test_first_change_counts():
+    dark, light = np.full((1, 48, 64), 40, np.uint8), np.full((20, 48, 64), 200, np.uint8)
+    assert op.shots(op.histograms(np.concatenate((dark, light)))) == [(0, 1), (1, 21)]
+    assert op.shots(op.histograms(np.concatenate((dark, light[:1])))) == [(0, 1), (1, 2)]
+
+
+def test_groups_of_frames_make_the_whole(monkeypatch):
+    text = "".join(chr(33 + i * i * 31 % 90) for i in range(200_000))
+    whole = op.digests(text)
+    monkeypatch.setattr(op, "GROUP", 7)
+    assert op.digests(text) == whole
+
+
+def test_memory_is_a_few_times_the_text():
+    text = "word and more " * 400_000
+    tracemalloc.start()
+    op.digests(text)
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text)
+    tracemalloc.stop()
 
 
 def test_query(spark):

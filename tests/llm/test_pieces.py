@@ -49,6 +49,8 @@ def test_edge_cases(spark):
     assert len(got) == 6 and all(r.round_trip for r in got)
     assert [r.n_ids for r in got[:2]] == [0, 0]
     assert op.encode_decode(df.limit(0)).count() == 0
+    with_more = spark.createDataFrame([(1, "a", "s", None), (None, "b", None, 2)], "doc_id bigint, text string, source string, lang int")
+    assert [(r.doc_id, r.source, r.lang) for r in op.encode_decode(with_more, keep=("source", "lang")).collect()] == [(1, "s", None), (None, None, 2)]
 
 
 def hand_made(fallback):

@@ -94,3 +94,15 @@ def test_copies_of_a_common_passage_in_one_document(spark):
 
 def test_nothing_is_missed(spark):
     check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 0)
+
+
+def test_shared_words_around_a_passage_of_all(spark):
+    """800 documents with a passage of 36 words in common; pairs also share the 18 words before it."""
+    passage, rows = words(36), []
+    for pair in range(400):
+        own = words(18)
+        for k in range(2):
+            rows.append((2 * pair + k, " ".join([*words(30), *own, *passage, *words(30)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check(df, 0)
+    assert {r.doc_id for r in op.repeated_passages(df).collect()} == set(range(800))
