@@ -29,8 +29,8 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
-    return pieces.encode_decode(docs)
+    """Token ids of every document of the mix, with its source and language."""
+    return pieces.encode_decode(docs, keep=tuple(c for c in ("source", "lang") if c in docs.columns))
 
 
 STAGES = [
