@@ -182,10 +182,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     row's own id and text, so null and repeated ids need no row of their own.
     """
     sized = written(sizes(docs, id_col, source_col, text_col), "sizes")
-    of, held, copy = (unused(n, docs) for n in ("plan_source", "mix_plan", "mix_copy"))
+    of, held, words, rate, copy = (unused(n, docs) for n in ("plan_source", "mix_plan", "mix_size", "mix_rate", "mix_copy"))
     by = written(plan(sized), "mix-plan").select(F.col("source").alias(of), F.struct(*PLAN).alias(held))
-    joined = docs.join(by, docs[source_col].eqNullSafe(by[of]))
-    size, row = size_of(docs[text_col]), by[held]
-    times = copies(docs[id_col], size, tilted(size, {c: row[c] for c in PLAN}), row["edges"])
-    many = F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>"))
-    return joined.withColumn(copy, F.explode(many)).select(*[docs[c] for c in docs.columns])
+    # Size, rate and copies are columns of their own, so that a text is counted once.
+    joined = docs.join(by, docs[source_col].eqNullSafe(by[of])).withColumn(words, size_of(docs[text_col]))
+    joined = joined.withColumn(rate, tilted(F.col(words), {c: F.col(held)[c] for c in PLAN}))
+    joined = joined.withColumn(copy, copies(F.col(f"`{id_col}`"), F.col(words), F.col(rate), F.col(held)["edges"]))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(copy).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
