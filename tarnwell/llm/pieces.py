@@ -52,7 +52,7 @@ from tarnwell.llm.common import whole_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-STRETCHES, PAIRS, GROUP = 600_000, 1_000_000, 2_000_000
+STRETCHES, PAIRS, GROUP = 250_000, 400_000, 1_000_000
 
 
 class Stretches(dict):
