@@ -13,7 +13,7 @@ Newton's method solves the dual.  Each iteration is a Spark aggregation: over
 the table of (source, size, number of documents), made once with map-side
 combining, come each source's gradient  sum p r - T/S  and Hessian  sum p x r,
 p the share of the source's words; multipliers are rows of a table by source,
-written after each step.  A bracket around the root keeps steps safe; when no
+written after every CHAINED steps.  A bracket around the root keeps steps safe; when no
 gradient is over NEAR, all constraints hold.
 
 Targets: shares by weight, stopped at CAP times the source's size; the level of
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import WORD, numbered, unused, whole_text, written
 
-CAP, BINS, NEAR, STEPS = 3, 1024, 1e-7, 80
+CAP, BINS, NEAR, STEPS, CHAINED = 3, 1024, 1e-7, 30, 3
 GOLDEN = 0.6180339887498949
 
 
@@ -73,6 +73,21 @@ def tilted(size: Column, by: dict[str, Column]) -> Column:
     return F.when(by["full"], F.lit(float(CAP))).otherwise(F.least(F.lit(float(CAP)), F.exp(F.least(F.lit(2.0), by["multiplier"] * size / by["mean"]))))
 
 
+def newton_step(groups: DataFrame, state: DataFrame) -> DataFrame:
+    """state (source, goal, at, low, high, off) one step on: gradient and Hessian of each source from groups (of, x, p)."""
+    rate = F.least(F.lit(float(CAP)), F.exp(F.least(F.lit(2.0), F.col("at") * F.col("x"))))
+    slope = F.when(rate < CAP, F.col("p") * F.col("x") * rate).otherwise(0.0)
+    met = groups.join(state.drop("off"), F.col("of").eqNullSafe(F.col("source"))).groupBy("source", "goal", "at", "low", "high")
+    sums = met.agg(F.sum(F.col("p") * rate).alias("sum"), F.sum(slope).alias("slope")).withColumn("gap", F.col("sum") - F.col("goal"))
+    gap, at = F.col("gap"), F.col("at")
+    low, high = F.when(gap < 0, at).otherwise(F.col("low")), F.when(gap >= 0, at).otherwise(F.col("high"))
+    newton = at - F.try_divide(gap, F.col("slope"))
+    inside = (newton > F.coalesce(low, F.lit(-1e300))) & (newton < F.coalesce(high, F.lit(1e300))) & (F.abs(newton - at) < 2 * F.abs(at) + 2)
+    middle = F.coalesce((low + high) / 2, F.when(gap < 0, 2 * F.abs(at) + 1).otherwise(-2 * F.abs(at) - 1))
+    moved = F.when(F.abs(gap) <= NEAR, at).when(inside, newton).otherwise(middle)
+    return sums.select("source", "goal", moved.alias("at"), low.alias("low"), high.alias("high"), F.abs(gap).alias("off"))
+
+
 def multipliers(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     """by_source with full, mean and multiplier: the dual's solution."""
     goal = F.col("target") / F.col("source_size")
@@ -84,17 +99,9 @@ def multipliers(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("double")
     state = written(free.select("source", "goal", F.log("goal").alias("at"), nothing.alias("low"), nothing.alias("high"), nothing.alias("off")), "multipliers")
     for _ in range(STEPS):
-        rate = F.least(F.lit(float(CAP)), F.exp(F.least(F.lit(2.0), F.col("at") * F.col("x"))))
-        slope = F.when(rate < CAP, F.col("p") * F.col("x") * rate).otherwise(0.0)
-        sums = groups.join(state, F.col("of").eqNullSafe(F.col("source"))).groupBy("of").agg(F.sum(F.col("p") * rate).alias("sum"), F.sum(slope).alias("slope"))
-        off = F.col("sum") - F.col("goal")
-        low, high = F.when(off < 0, F.col("at")).otherwise(F.col("low")), F.when(off >= 0, F.col("at")).otherwise(F.col("high"))
-        newton = F.col("at") - F.try_divide(off, F.col("slope"))
-        inside = (newton > F.coalesce(low, F.lit(-1e300))) & (newton < F.coalesce(high, F.lit(1e300))) & (F.abs(newton - F.col("at")) < 2 * F.abs(F.col("at")) + 2)
-        middle = F.coalesce((low + high) / 2, F.when(off < 0, 2 * F.abs(F.col("at")) + 1).otherwise(-2 * F.abs(F.col("at")) - 1))
-        moved = F.when(F.abs(off) <= NEAR, F.col("at")).when(inside, newton).otherwise(middle)
-        step = state.join(sums, F.col("of").eqNullSafe(F.col("source")))
-        state = written(step.select("source", "goal", moved.alias("at"), low.alias("low"), high.alias("high"), F.abs(off).alias("off")), "multipliers")
+        for _ in range(CHAINED):
+            state = newton_step(groups, state)
+        state = written(state, "multipliers")
         if not (state.agg(F.max("off")).first()[0] or 0) > NEAR:
             break
     # Rounded, so that the order of sums of floating numbers doesn't show.
