@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.operators.evaluation import METRICS, RANKED, judged, metrics
+from tarnwell.operators.evaluation import METRICS, RANKED, gains, judged, metrics
 from tarnwell.plans.ranges import percentiles
 from tarnwell.registry import query, table
 from tarnwell.session import fresh_path, written
@@ -61,10 +61,7 @@ def selection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("query_id")
     relevant = rows.groupBy("query_id").agg(F.count_if(good).alias("r"))
     keys = rows.filter(good).withColumn("n", F.row_number().over(by.orderBy("id"))).filter("n <= 5").groupBy("query_id").agg(F.avg((F.col("rank") <= 20).cast("double")).alias("key"))
-    gain = F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1
-    marked = rows.withColumn("gain", gain).withColumn("ideal", F.row_number().over(by.orderBy(F.desc_nulls_last("grade"), "id")))
-    of = lambda at: F.sum(F.when(F.col(at) <= 10, F.col("gain") / F.log2(F.col(at) + 1.0)).otherwise(0.0))
-    sums = marked.groupBy("query_id").agg(of("rank").alias("dcg"), of("ideal").alias("best"))
+    sums = gains(rows, 10)
     hits = rows.join(relevant, "query_id").groupBy("query_id", "r").agg(F.count_if(good & (F.col("rank") <= F.least(F.lit(10), F.col("r")))).alias("hits"))
     joined = hits.join(sums, "query_id").join(keys, "query_id", "left")
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)

@@ -62,13 +62,19 @@ def graded_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("queries", F.inline(F.array(*[F.struct(F.lit(g).alias("least"), F.col(f"m{g}").alias("mean_recall")) for g in (1, 2, 3)]))).select("least", "queries", "mean_recall")
 
 
-def ndcg(rows: DataFrame, k: int, missing: float | None = None) -> DataFrame:
-    """Gain 2^g - 1; a query whose first k have no gain is null, or `missing`."""
+def gains(rows: DataFrame, k: int) -> DataFrame:
+    """Per query: discounted gain (2^g - 1) of the first k, and of the k of best grade; only k rows a query and task are ranked."""
     gain = F.pow(F.lit(2.0), F.coalesce(F.col("grade"), F.lit(0))) - 1
-    ideal_rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("grade"), "id"))
-    marked = rows.withColumn("gain", gain).withColumn("ideal", ideal_rank)
-    of = lambda at: F.sum(F.when(F.col(at) <= k, F.col("gain") / F.log2(F.col(at) + 1.0)).otherwise(0.0))
-    sums = marked.groupBy("query_id").agg(of("rank").alias("dcg"), of("ideal").alias("best"))
+    of = lambda at: F.sum(gain / F.log2(F.col(at) + 1.0))
+    found = rows.groupBy("query_id").agg(F.coalesce(F.sum(F.when(F.col("rank") <= k, gain / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"))
+    ideal = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("grade"), "id"))
+    best = rows.select("query_id", "id", "grade").withColumn("ideal", ideal).filter(F.col("ideal") <= k).groupBy("query_id").agg(of("ideal").alias("best"))
+    return found.join(best.withColumnRenamed("query_id", "of"), F.col("query_id").eqNullSafe(F.col("of"))).drop("of")
+
+
+def ndcg(rows: DataFrame, k: int, missing: float | None = None) -> DataFrame:
+    """A query whose first k have no gain is null, or `missing`."""
+    sums = gains(rows, k)
     value = F.when(F.col("dcg") > 0, F.round(F.col("dcg") / F.col("best"), 6))
     return sums.select("query_id", (value if missing is None else F.coalesce(value, F.lit(missing))).alias("ndcg"))
 

@@ -31,3 +31,8 @@ def test_nothing_outside_imports_llm():
     for path in (ROOT / "tarnwell").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "tarnwell").parts:
             assert "tarnwell.llm" not in path.read_text(), path
+
+
+def test_a_missing_package_costs_only_its_operators():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert len(e.queries()) > 250 and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)

@@ -176,7 +176,7 @@ def test_trees(spark):
     lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "  b", "    c", "  d", "e"])], "t int, pos int, line string")
     assert {r.pos: r.parent_pos for r in tree_of_text(lines, "t").collect()} == {0: None, 1: 0, 2: 1, 3: 0, 4: None}
     edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent string")
-    assert {tuple(r) for r in closure(edges, 3).select("ancestor", "id").collect()} == {("a", "b"), ("b", "c"), ("a", "c")}
+    assert {tuple(r) for r in closure(edges).select("ancestor", "id").collect()} == {("a", "b"), ("b", "c"), ("a", "c")}
 
 
 def test_upsert(spark):
@@ -203,3 +203,10 @@ def test_readers(spark, tmp_path):
     assert sorted(values(bad, "reason")) == ["no name", "range"]
     jobs = spark.createDataFrame([("岗位1 a\nb\n岗位2 c",)], "t string").select(readers.split_jobs(F.col("t")).alias("x")).first()["x"]
     assert jobs == ["岗位1 a\nb\n", "岗位2 c"]
+
+
+def test_circles_are_an_error_and_depth_is_free(spark):
+    chain = spark.createDataFrame([("n0", None)] + [(f"n{i}", f"n{i - 1}") for i in range(1, 12)], "id string, parent string")
+    assert closure(chain).count() == 66
+    with pytest.raises(ValueError, match="circle"):
+        closure(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string")).count()

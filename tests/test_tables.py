@@ -108,3 +108,32 @@ def test_written_tables_are_released_and_clusters_need_a_folder(spark, monkeypat
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Cluster)
+
+
+def test_sentence_chunks_and_repeated_grams(spark, small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    chunks = defaultdict(list)
+    for r in QUERIES["chunked_sentences"](spark, small).orderBy("doc_id", "place").collect():
+        chunks[r.doc_id].append(r.chunk)
+    for i, t in texts.items():
+        assert "".join(chunks[i]) == t and all(0 < len(c) <= 600 for c in chunks[i])
+        # Greedy: the first sentence of a chunk had no room in the one before, or was cut from a longer one.
+        for a, b in zip(chunks[i], chunks[i][1:], strict=False):
+            first = re.match(r"(?s).*?(?:[.!?。！？\n]|$)", b).group()
+            assert len(a) + len(first) > 600
+
+    def slow(text):
+        text, best = re.sub(r"\s+", "", text), 0
+        for n in (6, 8, 12, 16):
+            covered = at = 0
+            seen = set()
+            while at + n <= len(text):
+                step = n if text[at : at + n] in seen else 1
+                covered += n if step == n else 0
+                seen.add(text[at : at + n])
+                at += step
+            best = max(best, covered)
+        return round(best / len(text), 6) if text else 0.0
+
+    got = {r.doc_id: r.coverage for r in QUERIES["ngram_coverage"](spark, small).collect()}
+    assert got == {i: slow(t) for i, t in texts.items()}
