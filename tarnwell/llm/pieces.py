@@ -40,6 +40,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -52,18 +53,19 @@ from tarnwell.llm.common import whole_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-STRETCHES, PAIRS, GROUP = 250_000, 400_000, 1_000_000
+STRETCHES, PAIRS, GROUP = 400_000, 400_000, 1_000_000
 
 
 class Stretches(dict):
-    """What stretches become, as bytes, found when first asked for; emptied at a bound."""
+    """What stretches become, as bytes, found when first asked for; at a bound the older half goes."""
 
     def __init__(self, find, prefix: str):
         self.find, self.prefix = find, prefix
 
     def __missing__(self, text: str) -> bytes:
         if len(self) >= STRETCHES:
-            self.clear()
+            for old in list(islice(self, STRETCHES // 2)):
+                del self[old]
         found = self[text] = self.find(self.prefix + text)
         return found
 
