@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.llm import chat, exact_dedup, html_blocks, media, mixing, pieces, repeats, secrets, simhash, toxicity
+from tarnwell.llm import chat, divergence, exact_dedup, html_blocks, language, media, mixing, periods, pieces, repeats, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,7 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_suffix_array,
         op10_sentencepiece,
+        op11_periodic_runs,
+        op12_language,
+        op13_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op13_divergence": divergence.ORACLE}
