@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,13 +44,27 @@ def test_reruns_agree_and_labels_of_held_rows_do_not_matter(spark, tables, score
     assert np.array_equal(again.score.loc[scores.index], scores.score)
 
 
+def logit(model, words):
+    return model.logit(model.word_parts(words))
+
+
 def test_misspellings_share_grams():
     rng = np.random.default_rng(0)
     clean = [" ".join(f"{a}{b}" for a, b in zip(rng.choice(["ta", "lo", "mi", "re"], 30), rng.choice(["na", "so", "ku"], 30))) for _ in range(300)]
     bad = [c + " horribleword " + c for c in clean[:100]]
-    model = op.train([*clean, *bad], [0] * 300 + [1] * 100)
-    score = lambda t: model.logit(model.word_shares(t.split()))
-    assert score("tana horriblewordz soku") > 0 > score("tana loso")
+    model = op.train([Counter(t.split()) for t in [*clean, *bad]], [0] * 300 + [1] * 100)
+    assert logit(model, "tana horriblewordz soku".split()) > 0 > logit(model, "tana loso".split())
+
+
+def test_long_clean_texts_are_left_alone():
+    """One insult in a long text is found, and length alone is no sign."""
+    rng = np.random.default_rng(1)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnoprst"), rng.integers(2, 9))) for _ in range(3000)])
+    draw = lambda n, toxic: [*words[rng.integers(0, 3000, n)].tolist(), *["horridscum"] * toxic]
+    model = op.train([Counter(draw(int(rng.integers(200, 4000)), i % 3 == 0)) for i in range(300)], [int(i % 3 == 0) for i in range(300)])
+    for n in (30, 3000, 6000, 15_000, 30_000):
+        assert sum(logit(model, draw(n, 0)) >= 0 for _ in range(20)) <= 1, n
+        assert n > 3000 or sum(logit(model, draw(n, 1)) >= 0 for _ in range(20)) >= 19, n
 
 
 def test_edge_cases(spark):
@@ -72,13 +87,15 @@ def test_bad_words_are_dropped_from_the_pipeline(tables):
 
 def test_slopes_are_those_of_the_loss():
     rng = np.random.default_rng(3)
-    vectors, weights, bias = rng.normal(size=(12, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
-    bag, grams, share, goal = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 4, 1, 7, 4, 9]), rng.random(6), np.array([0, 1, 1])
-    loss = lambda: op.mean_slopes(vectors, weights, bias, bag, grams, share, goal)[0]
-    _, by_weights, by_bias, distinct, by_vectors = op.mean_slopes(vectors, weights, bias, bag, grams, share, goal)
-    for value, slope, size in ((weights, by_weights, 3), (bias, by_bias, 3), (vectors, np.zeros((12, 3)), 1)):
-        if size == 1:
-            slope[distinct] = by_vectors
+    table, weigh, base, softmax, bias = rng.normal(size=(12, 3)), rng.normal(size=12), np.array([-0.4]), rng.normal(size=(3, 2)), rng.normal(size=2)
+    bags = np.array([0, 0, 1, 1, 1, 2]), np.array([0, 1, 1, 2, 3, 3]), np.array([2.0, 1, 1, 3, 1, 4])
+    grams, goal = (np.array([2, 3, 0, 1]), np.array([1, 4, 1, 7, 4, 9])), np.array([0, 1, 1])
+    loss = lambda: op.bag_slopes(table, weigh, float(base[0]), softmax, bias, bags, grams, goal)[0]
+    _, by_vector, by_weigh, by_base, by_softmax, by_bias = op.bag_slopes(table, weigh, float(base[0]), softmax, bias, bags, grams, goal)
+    by_table, by_each = np.zeros_like(table), np.zeros_like(weigh)
+    np.add.at(by_table, grams[1], by_vector)
+    np.add.at(by_each, grams[1], by_weigh)
+    for value, slope, size in ((table, by_table, 1), (weigh, by_each, 1), (base, np.array([by_base]), 3), (softmax, by_softmax, 3), (bias, by_bias, 3)):
         for at in np.ndindex(value.shape):
             value[at] += 1e-6
             up = loss()
@@ -88,26 +105,37 @@ def test_slopes_are_those_of_the_loss():
             assert abs((up - down) / 2e-6 / size - slope[at]) < 1e-5, at
 
 
-def test_scores_against_plain_sums(spark, tables):
-    """Every score from the vectors' shares, gram by gram, and every window tried."""
+def test_scores_against_plain_sums(spark, tables, monkeypatch):
+    """Every score from the tables of n-grams, word by word, with a table of words that is often emptied."""
+    monkeypatch.setattr(op, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(op, "GROUP", 5_000)
     docs = tables[0].limit(40).cache()
     rng = np.random.default_rng(5)
-    model = op.Model(rng.normal(size=1 << op.BUCKETS).astype(np.float32), -0.3)
-
-    def word(w):
-        counts, grams = op.gram_buckets([w])
-        return sum(float(model.shares[g]) for g in grams) / counts[0] if counts[0] else 0.0
+    model = op.Model(*rng.normal(size=(2, 1 << op.BUCKETS)).astype(np.float32), -1.0, -0.3)
 
     def slow(text):
-        shares = [word(w) for w in text.lower().split()]
-        tried = [shares[i : i + op.WINDOW] for i in range(max(1, len(shares) - op.WINDOW + 1))]
-        best = max(sum(w) / len(w) for w in tried) if shares else 0.0
-        return 1 / (1 + np.exp(-np.clip(model.bias + best, -40, 40)))
+        over, share = 1.0, 0.0
+        for w in text.lower().split():
+            counts, grams = op.gram_buckets([w])
+            mean = lambda t: sum(float(t[g]) for g in grams) / counts[0] if counts[0] else 0.0  # noqa: B023, E731
+            weight = np.exp(np.clip(-1.0 + mean(model.weights), -op.LIMIT, op.LIMIT))
+            over, share = over + weight, share + weight * mean(model.shares)
+        return 1 / (1 + np.exp(-np.clip(model.bias + share / over, -40, 40)))
 
     for r in op.scored(docs, model).collect():
         assert abs(r.score - slow(r.text)) < 1e-6
 
 
+def test_the_sample_is_bounded_by_characters(spark, monkeypatch):
+    monkeypatch.setattr(op, "SAMPLE_CHARS", 2500)
+    docs = spark.createDataFrame([(i, "ab c " * 100) for i in range(40)] + [(99, "x " * 9000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    bags, toxic = op.sample(docs, labels, "doc_id", "text")
+    assert toxic.count(0) == toxic.count(1) == 5 and bags[0] == {"ab": 100, "c": 100}
+    alone = spark.createDataFrame([(99, 1)], "doc_id bigint, toxic int")
+    assert op.held_out and len(op.sample(docs, alone, "doc_id", "text")[0]) == int(not held(99))
+
+
 def test_long_labelled_texts_teach(spark):
     rng = np.random.default_rng(6)
     body = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(5500))
