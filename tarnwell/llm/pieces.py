@@ -21,8 +21,10 @@ other paths weigh infinity, it is found depth first, longest pieces first, and
 a place that no finite path leaves is tried once.
 
 No piece spans a blank after another character, or a line end, so the shortest
-path is the concatenation of those of the stretches between; stretches are
-remembered in a bounded per-task table.
+path is the concatenation of those of the stretches between.  The same holds
+between two characters that stand side by side in no piece: long stretches (of
+text that is written without blanks) are cut there, all places at once.  Short
+stretches are remembered in per-task tables of bounded bytes, long ones never.
 
 Not compiled, and refused: models that mark the ends of words instead of their
 beginnings, and character-map models with user-defined pieces (their matches
@@ -38,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -53,20 +56,30 @@ from tarnwell.llm.common import whole_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-STRETCHES, PAIRS, GROUP = 400_000, 400_000, 1_000_000
+TABLE_BYTES, PAIRS, GROUP = 48 << 20, 400_000, 1_000_000
+#: Longer stretches are cut before they are read, and not remembered.
+LONG, LONG_ASCII = 16, 64
 
 
 class Stretches(dict):
-    """What stretches become, as bytes, found when first asked for; at a bound the older half goes."""
+    """What stretches become, as bytes, found when first asked for; at a bound of bytes the older half goes."""
 
     def __init__(self, find, prefix: str):
-        self.find, self.prefix = find, prefix
+        self.find, self.prefix, self.held = find, prefix, 0
+
+    @staticmethod
+    def size(text: str, found: bytes) -> int:
+        """With what the table itself takes for an entry."""
+        return sys.getsizeof(text) + sys.getsizeof(found) + 100
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= STRETCHES:
-            for old in list(islice(self, STRETCHES // 2)):
-                del self[old]
-        found = self[text] = self.find(self.prefix + text)
+        found = self.find(self.prefix + text)
+        if len(text) <= LONG_ASCII:
+            if self.held > TABLE_BYTES:
+                for old in list(islice(self, len(self) // 2)):
+                    self.held -= self.size(old, self.pop(old))
+            self[text] = found
+            self.held += self.size(text, found)
         return found
 
 
@@ -166,8 +179,12 @@ class Transducer:
         self.apart = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids)
         # Spelt pieces for decoding many ids at once.
         self.spellings = pa.array(self.spelt, pa.binary())
+        # Characters that stand side by side in a piece, as one number.
+        links = {ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        self.links = np.array(sorted(links), np.int64)
         self.after_blank = Stretches(self.path, MARK)
         self.plain = Stretches(self.path, "")
+        self.inner = Stretches(self.straight, "")
 
     def merged(self, text: str) -> list[str]:
         """Merging by score, leftmost first: what defines the weight of a pair."""
@@ -210,8 +227,24 @@ class Transducer:
                 out.append(self.unknown)
         return np.array(out, np.int32).tobytes()
 
+    def cut(self, text: str) -> list[str]:
+        """The text's parts between characters that no piece has side by side."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pairs = points[:-1] << 21 | points[1:]
+        at = np.minimum(np.searchsorted(self.links, pairs), max(len(self.links) - 1, 0))
+        apart = np.flatnonzero(self.links[at] != pairs) + 1 if len(self.links) else np.arange(1, len(text))
+        bounds = [0, *apart.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
     def path(self, text: str) -> bytes:
         """Ids on the shortest path over the lattice of the text."""
+        if self.bytes and (len(text) > LONG_ASCII or (len(text) > LONG and not text.isascii())):
+            parts = self.cut(text)
+            if len(parts) > 1:
+                return b"".join(map(self.inner.__getitem__, parts))
+        return self.straight(text)
+
+    def straight(self, text: str) -> bytes:
         return self.write(self.finite(text) if self.merges else self.lightest(text))
 
     def finite(self, text: str) -> list[str]:

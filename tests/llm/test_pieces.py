@@ -42,6 +42,29 @@ def test_documents(spark, library):
         assert r.ids == library.encode(texts[r.doc_id]) and r.n_ids == len(r.ids) and r.round_trip
 
 
+def han(draw, n, chars=3000):
+    return "".join(chr(0x4E00 + min(int(draw.paretovariate(0.6)), chars)) for _ in range(n))
+
+
+def test_text_without_blanks_equals_the_library(machine, library):
+    draw = random.Random(4)
+    for n in (15, 16, 17, 18, 63, 64, 65, 66, 900):
+        for _ in range(20):
+            mixed = "".join(draw.choice([han(draw, 9), "abcdefghij", "日本語の文字", "éèü", "12345", "\u2581", "😀", "人民共和国"]) for _ in range(n // 9 + 1))
+            for text in (han(draw, n), mixed, " " + mixed + "\n" + han(draw, n)):
+                assert machine.encode(text).tolist() == library.encode(text), text
+
+
+def test_tables_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(op, "TABLE_BYTES", 50_000)
+    machine, draw = op.Transducer(op.read_model(op.MODEL)), random.Random(5)
+    for _ in range(300):
+        machine.encode(" ".join(han(draw, draw.choice([3, 12, 40, 500])) for _ in range(10)))
+    for table in (machine.plain, machine.after_blank, machine.inner):
+        assert table.held == sum(table.size(k, v) for k, v in table.items()) <= 51_000
+        assert all(len(k) <= op.LONG_ASCII for k in table)
+
+
 def test_edge_cases(spark):
     rows = [(1, None, 0), (2, "", 0), (None, "a b", 0), (2, "", 0), (3, "word " * 100_000, 0), (4, "z" * 20_000, 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
