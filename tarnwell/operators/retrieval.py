@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.plans import pruning
 from tarnwell.plans import retrieval as plan
 from tarnwell.registry import query, table
+from tarnwell.session import written
 
 
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,15 +33,15 @@ s as (select query_id, tf.doc_id as id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 
 @query(BM25 + " select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
-    return plan.ranked(scores, 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    best = pruning.bm25_best(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir), 20)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25.replace("from documents", "from documents where lang = 'en'") + " select query_id, id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 10")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard filters stand below the ranking, never after it."""
-    scores = plan.bm25(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir))
-    return plan.ranked(scores, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
+    best = pruning.bm25_best(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir), 10)
+    return best.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25 + " select query_id, count(*) as any_hits, sum(case when matched >= 2 then 1 else 0 end)::bigint as two_hits, max(matched) as most from s group by query_id")
@@ -97,9 +99,10 @@ f as (select query_id, id, sum(part) as score from (select query_id, id, family,
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
-    lexical = plan.ranked(scores, 50).withColumn("channel", F.lit("bm25"))
-    cover = plan.ranked(scores, 50, score=F.desc("matched")).withColumn("channel", F.lit("cover"))
+    wanted = query_tokens(spark, sf_dir)
+    weights = pruning.impacts(table(spark, sf_dir, "documents"), wanted)
+    lexical = plan.ranked(pruning.pruned(weights, wanted, 50), 50).withColumn("channel", F.lit("bm25"))
+    cover = plan.ranked(pruning.pruned(pruning.units(weights), wanted, 50), 50).withColumn("channel", F.lit("cover"))
     channels = lexical.unionByName(cover).select("query_id", "id", "channel", "rank")
     return plan.reciprocal_ranks(channels, {"bm25": 1.0, "cover": 0.5}, {"bm25": "text", "cover": "cover"})
 
@@ -117,9 +120,10 @@ f as (select query_id, id, max(part) as score from (select query_id, id, 1.0 / (
 select query_id, id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) where rank <= 10""")
 def rrf_family_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original and rewritten query are one family: the larger part counts."""
-    scores = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
-    original = plan.ranked(scores, 30).withColumn("channel", F.lit("original"))
-    rewrite = plan.ranked(scores, 30, score=F.desc("matched")).withColumn("channel", F.lit("rewrite"))
+    wanted = query_tokens(spark, sf_dir)
+    weights = pruning.impacts(table(spark, sf_dir, "documents"), wanted)
+    original = plan.ranked(pruning.pruned(weights, wanted, 30), 30).withColumn("channel", F.lit("original"))
+    rewrite = plan.ranked(pruning.pruned(pruning.units(weights), wanted, 30), 30).withColumn("channel", F.lit("rewrite"))
     channels = original.unionByName(rewrite).select("query_id", "id", "channel", "rank")
     merged = plan.reciprocal_ranks(channels, {"original": 1.0, "rewrite": 0.7}, {"original": "v", "rewrite": "v"})
     return plan.ranked(merged, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
@@ -132,13 +136,16 @@ select query_id, id, row_number() over (partition by query_id order by rerank de
 def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 reordered by how often the query's terms occur, the rest in order."""
     wanted = query_tokens(spark, sf_dir)
-    hits = plan.ranked(plan.bm25(table(spark, sf_dir, "documents"), wanted), 20)
+    docs = table(spark, sf_dir, "documents")
+    hits = written(pruning.bm25_best(docs, wanted, 20), "hits")
     terms = wanted.groupBy("query_id").agg(F.collect_list("token").alias("terms"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    rows = hits.join(terms, "query_id").join(texts, "id")
+    # Texts of the window only, whose rows are the ones to be scored.
+    window = hits.filter("rank <= 10").select("query_id", "id").join(terms, "query_id")
+    texts = window.join(docs.select(F.col("doc_id").alias("id"), F.lower("text").alias("text")), "id")
     times = lambda w: F.floor((F.length("text") - F.length(F.replace(F.col("text"), w, F.lit("")))) / F.length(w))
     count = F.aggregate(F.transform("terms", times), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return plan.reranked(rows, lambda _: count, 10).select("query_id", "id", F.col("place").cast("bigint").alias("place"))
+    rows = hits.join(texts.select("query_id", "id", count.alias("times")), ["query_id", "id"], "left")
+    return plan.reranked(rows, lambda _: F.col("times"), 10).select("query_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
 @query(BM25 + ", m as (select query_id, max(matched) as best from s group by query_id) select query_id, count(*) as kept from s join m using (query_id) where matched >= 2 or best < 2 group by query_id")
