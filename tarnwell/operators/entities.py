@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.operators.retrieval import BM25, bm25_topk
 from tarnwell.registry import query, table
+from tarnwell.session import written
 
 
 def phone_fingerprint(phone: Column) -> Column:
@@ -136,3 +137,42 @@ def hydrate_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.col("n_chars"))
     page = hits.join(docs, "doc_id").select("page", "rank", "doc_id", "sha", "n_chars")
     return first_wins(page, ["rank"], ["sha", "n_chars"])
+
+
+def first_wins_rounds(rows: DataFrame, order: str, keys: list[str], by: str | None = None) -> DataFrame:
+    """first_wins of pages of any size, as rounds: (order) of the rows that stay, by page where `by` is given.
+
+    Each round keeps the rows that are first under all their keys among the
+    undecided, and drops those that share a key with one of them.  A row that
+    shares none with a row before it is kept at once, so rounds are as many as
+    the longest chain of rows each of which hangs on the one before.  Null keys
+    bind nothing; `order` numbers rows without ties.
+    """
+    page = F.col(by) if by else F.lit(0)
+    values = F.array(*[F.struct(F.lit(i).alias("key"), F.col(k).cast("string").alias("value")) for i, k in enumerate(keys)])
+    bound = rows.select(page.alias("page"), F.col(order).alias("place"), F.explode(values).alias("k")).select("page", "place", "k.*").filter("value is not null")
+    free = rows.filter(F.coalesce(*[F.col(k).cast("string") for k in keys]).isNull()).select(page.alias("page"), F.col(order).alias("place"))
+    left, kept, same = written(bound, "undecided"), free, ["page", "key", "value"]
+    while not left.isEmpty():
+        first = left.groupBy(*same).agg(F.min("place").alias("first"))
+        marked = left.join(first, same)
+        winners = written(marked.groupBy("page", "place").agg(F.every(F.col("place") == F.col("first")).alias("wins")).filter("wins").select("page", "place"), "winners")
+        kept = kept.unionByName(winners)
+        taken = left.join(winners, ["page", "place"], "left_semi").select(*same)
+        losers = left.join(taken, same, "left_semi").select("page", "place").distinct()
+        left = written(left.join(losers, ["page", "place"], "left_anti"), "undecided")
+    return kept.select(F.col("page").alias(by), F.col("place").alias(order)) if by else kept.select(F.col("place").alias(order))
+
+
+@query("""
+with recursive d as materialized (select row_number() over (order by doc_id) as place, doc_id, sha256(text) as sha, source || ':' || n_chars as size from documents),
+walk as (select 0::bigint as place, null::bigint as doc_id, []::varchar[] as shas, []::varchar[] as sizes, false as kept union all
+ select d.place, d.doc_id, case when list_contains(w.shas, d.sha) or list_contains(w.sizes, d.size) then w.shas else list_append(w.shas, d.sha) end,
+  case when list_contains(w.shas, d.sha) or list_contains(w.sizes, d.size) then w.sizes else list_append(w.sizes, d.size) end,
+  not (list_contains(w.shas, d.sha) or list_contains(w.sizes, d.size)) from walk w join d on d.place = w.place + 1)
+select doc_id from walk where kept
+""")
+def first_wins_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one page: by id, a document stays unless one that stays has its text, or its length within its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.concat_ws(":", "source", "n_chars").alias("size"))
+    return first_wins_rounds(docs, "doc_id", ["sha", "size"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.operators.aggregates import rate
+from tarnwell.plans.automaton import Automaton, final_states
 from tarnwell.registry import query, table
 
 CUTOFF = "2024-01-25 00:00:00"
@@ -101,6 +102,50 @@ def funnel_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_job.join(entered, "job").select("job", "entered", rate(F.col("passed"), F.col("passed") + F.col("failed")).alias("pass_rate"), "rounds")
 
 
+#: An owner's case: legal moves by kind of event.  A closed case is opened again by a new signup; all else is ignored.
+CASE = Automaton(
+    ("waiting", "recommended", "screening", "offer", "closed"),
+    {
+        ("waiting", "signup"): "recommended",
+        ("closed", "signup"): "recommended",
+        ("recommended", "view"): "screening",
+        ("screening", "purchase"): "offer",
+        **{(s, "error"): "closed" for s in ("recommended", "screening", "offer")},
+    },
+)
+
+
+@query("""
+with recursive e as materialized (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+w as (select user_id, 0::bigint as rn, 'waiting' as stage, 0::bigint as moves from (select distinct user_id from events) union all
+ select user_id, rn, next, moves + (next <> stage)::int from (select w.user_id, e.rn, w.stage, w.moves, case
+  when event_type = 'signup' and stage in ('waiting', 'closed') then 'recommended' when event_type = 'view' and stage = 'recommended' then 'screening'
+  when event_type = 'purchase' and stage = 'screening' then 'offer' when event_type = 'error' and stage <> 'waiting' then 'closed' else stage end as next
+  from w join e on e.user_id = w.user_id and e.rn = w.rn + 1))
+select user_id, arg_max(stage, rn) as stage, max(moves) as moves from w group by user_id
+""")
+def stage_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each owner's whole history leads, by the case's automaton."""
+    ended = final_states(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_type", CASE)
+    return ended.select("user_id", F.col("state").alias("stage"), "moves")
+
+
+@query("""
+with recursive b as (select user_id % 3 as job, event_type, ts, event_id from events where value >= 20),
+e as materialized (select job, event_type, row_number() over (partition by job order by ts, event_id) as rn from b),
+w as (select job, 0::bigint as rn, 'waiting' as stage, 0::bigint as moves from (select distinct job from b) union all
+ select job, rn, next, moves + (next <> stage)::int from (select w.job, e.rn, w.stage, w.moves, case
+  when event_type = 'signup' and stage in ('waiting', 'closed') then 'recommended' when event_type = 'view' and stage = 'recommended' then 'screening'
+  when event_type = 'purchase' and stage = 'screening' then 'offer' when event_type = 'error' and stage <> 'waiting' then 'closed' else stage end as next
+  from w join e on e.job = w.job and e.rn = w.rn + 1))
+select job, arg_max(stage, rn) as stage, max(moves) as moves from w group by job
+""")
+def stage_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long histories, a third of all events each, after voided facts (small values) are gone: the state is that of the rest, whenever it was recorded."""
+    facts = table(spark, sf_dir, "events").filter("value >= 20").withColumn("job", F.col("user_id") % 3)
+    return final_states(facts, "job", [F.col("ts"), F.col("event_id")], "event_type", CASE).select("job", F.col("state").alias("stage"), "moves")
+
+
 @query("""
 with l as (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events where event_type <> 'click')
 select user_id, case event_type when 'signup' then 'recommended' when 'view' then 'screening' when 'purchase' then 'offer' else 'closed' end as stage from l where rn = 1

@@ -24,22 +24,49 @@ nodes as (select 'r' || r_regionkey as id, null as parent, r_name as name from r
  union all select 'c' || c_custkey, 'n' || c_nationkey, c_name from customer)"""
 
 
+def jumped(tree: DataFrame) -> DataFrame:
+    """Rows (id, depth, path, root) of all nodes under a root, in rounds that double the steps known of each node.
+
+    Each round joins a node with its ancestor as known, so paths of any length n
+    take about log2 n joins, each round written.  Nodes in a circle, under one,
+    or under a parent that is no node reach no root and are left out.
+    """
+    known = tree.select("id", F.col("parent").alias("up"), F.lit(0).alias("depth"), F.col("name").alias("path"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"))
+    known = written(known.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)), "tree-round")
+    most, done = known.count(), 1
+    while done <= 2 * most and not known.filter("up is not null").isEmpty():
+        above = known.select(F.col("id").alias("of"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("before"), F.col("root").alias("top"))
+        rows = known.filter("up is not null").join(above, F.col("up") == F.col("of"))
+        further = rows.select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat_ws("/", "before", "path").alias("path"), F.col("top").alias("root"))
+        known, done = written(known.filter("up is null").unionByName(further), "tree-round"), 2 * done
+    return known.filter("up is null").drop("up")
+
+
 def descended(tree: DataFrame) -> DataFrame:
-    """Rows (id, depth, path, root) from the roots down, to any depth; raises where parents run in a circle.
+    """Rows (id, depth, path, root) from the roots down, to any depth."""
+    return jumped(tree)
+
+
+def under(tree: DataFrame) -> DataFrame:
+    """Rows (id, under): how many nodes are under each node, in rounds that double the distance counted.
 
-    One join a level, each level written, rather than a recursive query, whose
-    number of rows is bounded.  Nodes of a circle are under no root and are not
-    reached from one, so levels end.
+    After round k a node has the number of nodes less than 2^k below it and its
+    ancestor 2^k above.  A node's next number is its own plus those of the nodes
+    2^k below, one sum by ancestor, and one join finds the next ancestors; so no
+    pair of ancestor and node is made.  Raises where parents run in a circle.
     """
-    children = tree.filter("parent is not null").select(F.col("id").alias("child"), F.col("name").alias("child_name"), "parent")
-    level = tree.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path"), F.col("id").alias("root"))
-    found = level
-    while True:
-        below = level.join(children, F.col("id") == F.col("parent"))
-        level = written(below.select(F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", "child_name").alias("path"), "root"), "tree-level")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
+    now = written(tree.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("n")), "under-round")
+    most, done = now.count(), 1
+    while not now.filter("up is not null").isEmpty():
+        if done > 2 * most:
+            raise ValueError("parents run in a circle")
+        raised = now.filter("up is not null").groupBy(F.col("up").alias("of")).agg(F.sum("n").alias("more"))
+        above = now.select(F.col("id").alias("of"), F.col("up").alias("next")).join(raised, "of")
+        # Nodes that are an ancestor here carry what came up to them and their own ancestor.
+        summed = now.join(above.select(F.col("of").alias("id"), "more"), "id", "left").select("id", "up", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        nexts = above.select(F.col("of").alias("up"), "next")
+        now, done = written(summed.join(nexts, "up", "left").select("id", F.col("next").alias("up"), "n"), "under-round"), 2 * done
+    return now.select("id", (F.col("n") - 1).alias("under"))
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -72,9 +99,7 @@ with {NODES}, e as (select id, parent as a from nodes where parent is not null u
 select n.id, count(e.id) as under from nodes n left join e on e.a = n.id group by n.id
 """)
 def tree_subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = nodes(spark, sf_dir)
-    under = closure(tree).groupBy("ancestor").agg(F.count("*").alias("under")).withColumnRenamed("ancestor", "id")
-    return tree.select("id").join(under, "id", "left").select("id", F.coalesce("under", F.lit(0)).alias("under"))
+    return under(nodes(spark, sf_dir))
 
 
 @query("""
