@@ -28,7 +28,7 @@ other columns keep their values; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,15 +167,15 @@ def stretch(words: np.ndarray, times: np.ndarray, rng: np.random.Generator) -> t
     return words[some], times[some]
 
 
-def train(bags: list[dict[str, int]], toxic: list[int], seed: int = 7) -> Model:
+def train(bags: Iterable[dict[str, int]], toxic: list[int], seed: int = 7) -> Model:
     """bags: the words of each text with their numbers."""
     if len(set(toxic)) < 2:
         return Model(*np.zeros((2, 1 << BUCKETS), np.float32), WEIGHT, -40.0)
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
-    docs = [(np.array([known.setdefault(w, len(known)) for w in bag], np.int64), np.array(list(bag.values()), np.float32)) for bag in bags]
+    docs = [(np.array([known.setdefault(w, len(known)) for w in bag], np.int32), np.array(list(bag.values()), np.float32)) for bag in bags]
     counts, gram = gram_buckets(list(known))
-    del known
+    known.clear()
     starts = np.cumsum(counts) - counts
     vectors = rng.normal(0, 0.1, (1 << BUCKETS, DIM)).astype(np.float32)
     weigh, base = np.zeros(1 << BUCKETS, np.float32), np.full(1, WEIGHT, np.float32)
@@ -213,15 +213,15 @@ def train(bags: list[dict[str, int]], toxic: list[int], seed: int = 7) -> Model:
 
 
 def words_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bag of each text, as text again: words and their numbers."""
+    """The bag of each text, as text again: its distinct words, joined, and their numbers."""
     for batch in batches:
         bags = [Counter((t.as_py() or "").lower().split()) for t in batch.column("text")]
-        words, numbers = pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))
+        words, numbers = pa.array([" ".join(b) for b in bags], pa.string()), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("label_id", "toxic", "place")], words, numbers], ["label_id", "toxic", "place", "words", "numbers"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[dict[str, int]], list[int]]:
-    """Bags and labels of the bounded learning sample, in an order that reruns repeat."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[Iterator[dict[str, int]], list[int]]:
+    """Bags, one at a time, and labels of the bounded learning sample, in an order that reruns repeat."""
     marked = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.filter(F.col("label_id").isNotNull() & ~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("label_id"), F.col("label_id")]
@@ -235,9 +235,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("place", "label_id"))
     sizes = found.select("label_id", "toxic", (upto - F.length("text")).alias("before"), upto.alias("upto"))
     within = sizes.filter((F.col("upto") <= SAMPLE_CHARS) | (F.col("before") == 0)).select("label_id")
-    bags = found.join(F.broadcast(within), "label_id").mapInArrow(words_counted, f"label_id {found.schema['label_id'].dataType.simpleString()}, toxic int, place bigint, words array<string>, numbers array<int>")
-    rows = sorted(bags.collect(), key=lambda r: (r.place, r.label_id))
-    return [dict(zip(r.words, r.numbers, strict=True)) for r in rows], [r.toxic for r in rows]
+    bags = found.join(F.broadcast(within), "label_id").mapInArrow(words_counted, f"label_id {found.schema['label_id'].dataType.simpleString()}, toxic int, place bigint, words string, numbers array<int>")
+    rows = bags.toPandas().sort_values(["place", "label_id"])
+    return (dict(zip(w.split(" ") if w else (), n.tolist(), strict=True)) for w, n in zip(rows.words, rows.numbers, strict=True)), rows.toxic.astype(int).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:

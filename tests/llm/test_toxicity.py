@@ -131,9 +131,10 @@ def test_the_sample_is_bounded_by_characters(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "ab c " * 100) for i in range(40)] + [(99, "x " * 9000)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
     bags, toxic = op.sample(docs, labels, "doc_id", "text")
+    bags = list(bags)
     assert toxic.count(0) == toxic.count(1) == 5 and bags[0] == {"ab": 100, "c": 100}
     alone = spark.createDataFrame([(99, 1)], "doc_id bigint, toxic int")
-    assert op.held_out and len(op.sample(docs, alone, "doc_id", "text")[0]) == int(not held(99))
+    assert len(op.sample(docs, alone, "doc_id", "text")[1]) == int(not held(99))
 
 
 def test_long_labelled_texts_teach(spark):
