@@ -236,8 +236,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     sizes = found.select("label_id", "toxic", (upto - F.length("text")).alias("before"), upto.alias("upto"))
     within = sizes.filter((F.col("upto") <= SAMPLE_CHARS) | (F.col("before") == 0)).select("label_id")
     bags = found.join(F.broadcast(within), "label_id").mapInArrow(words_counted, f"label_id {found.schema['label_id'].dataType.simpleString()}, toxic int, place bigint, words string, numbers array<int>")
-    rows = bags.toPandas().sort_values(["place", "label_id"])
-    return (dict(zip(w.split(" ") if w else (), n.tolist(), strict=True)) for w, n in zip(rows.words, rows.numbers, strict=True)), rows.toxic.astype(int).tolist()
+    rows = bags.toArrow().sort_by([("place", "ascending"), ("label_id", "ascending")])
+    read = (dict(zip((w.as_py() or "").split(), n.as_py(), strict=True)) for w, n in zip(rows["words"], rows["numbers"], strict=True))
+    return read, rows["toxic"].to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
