@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.lexicon import lexical_tokens
 from tarnwell.operators.retrieval import BM25, query_tokens
-from tarnwell.plans import pruning
+from tarnwell.plans import pruning, segments
 from tarnwell.plans import retrieval as plan
 from tarnwell.plans.filters import Filters, relaxed
 from tarnwell.registry import query, table
@@ -54,6 +54,27 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.ranked(scores, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+#: What the updates of `updated_index_search` leave of documents and items.
+UPDATED = BM25.replace("from documents", "from kept").replace("with", """with kept as (
+select doc_id, case when lang = 'fr' and n_chars >= 1000 then text || ' ' || source else text end as text from documents where n_chars < 1000 or doc_id not in (select doc_id from labels where toxic = 1)
+union all select -1 - item_id, text from benchmark),""", 1)
+
+
+@query(UPDATED + " select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 10")
+def updated_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index updated four times and compacted: all documents; one language replaced; toxic ones deleted and items added; short ones put back as they were."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    path = segments.create(spark, fresh_path(spark, "segments"))
+    segments.update(docs, path)
+    segments.update(docs.filter("lang = 'fr'").withColumn("text", F.concat_ws(" ", "text", "source")), path)
+    segments.update(items.select((-1 - F.col("item_id")).alias("doc_id"), "text"), path, table(spark, sf_dir, "labels").filter("toxic = 1"))
+    segments.update(docs.filter("n_chars < 1000"), path)
+    segments.compact(spark, path, 2)
+    queries = query_tokens(spark, sf_dir)
+    best = plan.ranked(pruning.pruned(segments.impacts(spark, path, queries), queries, 10), 10)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("with " + NEAR.replace("join documents on doc_id = vec_id,", "join documents on doc_id = vec_id and lang = 'en' and n_chars < 2000,") + " select query_id, id, rank from vr where rank <= 10")
 def filtered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = near_documents(spark, sf_dir, 10, "lang = 'en' and n_chars < 2000")
