@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.lexicon import lexical_tokens
 from tarnwell.plans.filters import DEGREES, SCHOOL_LEVELS
+from tarnwell.plans.matching import covering
 from tarnwell.registry import query, table
+from tarnwell.session import written
 
 #: Words of a skill that tell nothing, and those between alternatives.
 STOP = (
@@ -96,12 +98,18 @@ def fitted(values: Column, budget: int) -> Column:
     return F.aggregate(values, start, step, lambda a: a["kept"])
 
 
+def by_turns(words: DataFrame, items: DataFrame) -> DataFrame:
+    """Each conversation with one item, all items in turn."""
+    number = items.agg(F.count("*").alias("n")).select("n").scalar()
+    return words.withColumn("item_id", F.try_mod(F.col("conv_id"), number)).join(items, "item_id").drop("item_id")
+
+
 TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 
 @query(f"""
 with c as (select conv_id, list_distinct(flatten(list({TOKENS}))) as t from conversations group by conv_id), i0 as (select item_id, {TOKENS} as w from benchmark), i as (select item_id, list_filter(w, lambda x, i: list_position(w, x) = i) as w from i0),
-j as (select conv_id, t, w[1] as a, w[2] as b from c join i on item_id = conv_id % 20)
+j as (select conv_id, t, w[1] as a, w[2] as b from c join i on item_id = conv_id % (select count(*) from benchmark))
 select conv_id, coalesce(list_contains(t, a) and a not in ('the', 'of', 'and', 'or', 'a', 'in', 'to', 'with', 'on', 'for', 'an') or list_contains(t, b) and b not in ('the', 'of', 'and', 'or', 'a', 'in', 'to', 'with', 'on', 'for', 'an'), false) as any_of,
  len(list_filter([a, b], lambda x: x not in ('the', 'of', 'and', 'or', 'a', 'in', 'to', 'with', 'on', 'for', 'an'))) > 0 and list_has_all(t, list_filter([a, b], lambda x: x not in ('the', 'of', 'and', 'or', 'a', 'in', 'to', 'with', 'on', 'for', 'an'))) as all_of, false as told_nothing from j
 """)
@@ -109,7 +117,7 @@ def skill_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills of two words, made of each item's first ones, as alternatives, together, and of stop words alone."""
     words = table(spark, sf_dir, "conversations").select("conv_id", F.explode(lexical_tokens(F.col("text"))).alias("t")).groupBy("conv_id").agg(F.collect_set("t").alias("t"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(lexical_tokens(F.col("text"))).alias("w"))
-    joined = words.join(items, F.col("conv_id") % 20 == F.col("item_id"))
+    joined = by_turns(words, items)
     a, b = F.col("w")[0], F.col("w")[1]
     return joined.select(
         "conv_id", skill_hit(F.col("t"), F.concat_ws(" or ", a, b)).alias("any_of"), skill_hit(F.col("t"), F.concat_ws(" ", a, b)).alias("all_of"), skill_hit(F.col("t"), F.lit("system design 管理")).alias("told_nothing")
@@ -118,18 +126,32 @@ def skill_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with c as (select conv_id, list_distinct(flatten(list({TOKENS}))) as t from conversations group by conv_id), i as (select item_id, {TOKENS} as w from benchmark),
-s as (select conv_id, len(list_filter(w, lambda x: list_contains(t, x)))::double / len(w) as share, len(w) + 2 as all_, len(list_filter(w, lambda x: list_contains(t, x))) as got from c join i on item_id = conv_id % 20)
+s as (select conv_id, len(list_filter(w, lambda x: list_contains(t, x)))::double / len(w) as share, len(w) + 2 as all_, len(list_filter(w, lambda x: list_contains(t, x))) as got from c join i on item_id = conv_id % (select count(*) from benchmark))
 select conv_id, round(share, 6) as share, share >= 0.5 as shown, round(got::double / all_, 6) as with_han from s
 """)
 def duty_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A duty counts as shown when half its tokens, repeats included, are covered; Han text counts by pairs of characters."""
     words = table(spark, sf_dir, "conversations").select("conv_id", F.explode(lexical_tokens(F.col("text"))).alias("t")).groupBy("conv_id").agg(F.collect_set("t").alias("t"))
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    joined = words.join(items, F.col("conv_id") % 20 == F.col("item_id"))
+    joined = by_turns(words, items)
     share, han = covered(F.col("t"), F.col("text")), covered(F.col("t"), F.concat(F.lit("微服务 "), F.col("text")))
     return joined.select("conv_id", F.round(share, 6).alias("share"), (share >= 0.5).alias("shown"), F.round(han, 6).alias("with_han"))
 
 
+@query(f"""
+with c as (select distinct doc_id, unnest({TOKENS}) as token from documents), d as (select item_id, token, count(*) as r from (select item_id, unnest({TOKENS}) as token from benchmark) group by 1, 2), n as (select item_id, sum(r) as n from d group by 1)
+select doc_id, item_id, round(sum(r)::double / n, 6) as share from c join d using (token) join n using (item_id) group by doc_id, item_id, n having sum(r) * 2 >= n
+""")
+def shown_duties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items as duties against all documents: those that show half a duty's tokens, and how much of it."""
+    # A document's tokens are made distinct where it is read, so that no repeat is shuffled.
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("holder"), F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("token"))
+    duties = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("demand"), F.explode(lexical_tokens(F.col("text"))).alias("token"))
+    wanted = written(words.join(duties.select("token").distinct(), "token", "left_semi"), "duty-words")
+    pairs = covering(wanted, duties, 0.5)
+    return pairs.select(F.col("holder").alias("doc_id"), F.col("demand").alias("item_id"), F.round(F.col("got") / F.col("n"), 6).alias("share"))
+
+
 #: Constraints that both engines derive: a job is a supplier, its lines name kinds and alternatives.
 DERIVED = """
 c as (select l_suppkey as job, case l_linenumber % 4 when 1 then 'school_level' when 2 then 'degree' when 3 then 'company_history' else case when l_partkey % 2 = 0 then 'industry' else 'skill' end end as kind,

@@ -42,3 +42,23 @@ def within_budget(terms: DataFrame, by: str, order: list, cost: str, budget: int
     upto = F.sum(cost).over(window.rowsBetween(Window.unboundedPreceding, 0))
     kept = terms.withColumn("_upto", upto).withColumn("_place", F.row_number().over(window))
     return kept.filter((F.col("_upto") <= budget) | (F.col("_place") == 1)).drop("_upto", "_place")
+
+
+def covering(holders: DataFrame, demands: DataFrame, share: float) -> DataFrame:
+    """Pairs (holder, demand, got, n) in which the holder has at least a share of the demand's n tokens, repeats counted.
+
+    holders: distinct (holder, token), as a written table or a scan; demands: (demand, token), one row an occurrence; share
+    above 0.  A holder that has none of a demand's rarest tokens, so many that the
+    others are too few, can't be a hit: only those tokens make candidates, and
+    frequent ones are met by the candidates alone.  Null tokens count for nothing.
+    """
+    wanted = demands.filter("token is not null").groupBy("demand", "token").agg(F.count("*").alias("r"))
+    df = holders.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    known = wanted.join(df, "token", "left").na.fill(0, ["df"])
+    whole = Window.partitionBy("demand")
+    before = F.coalesce(F.sum("r").over(whole.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = known.select("demand", "token", "r", F.sum("r").over(whole).alias("n"), before.alias("before")).withColumn("need", F.ceil(F.col("n") * share - 1e-9))
+    rare = placed.filter("before <= n - need").select("demand", "token")
+    candidates = rare.join(holders, "token").select("demand", "holder").distinct()
+    met = candidates.join(placed, "demand").join(holders, ["holder", "token"])
+    return met.groupBy("holder", "demand", "n", "need").agg(F.sum("r").alias("got")).filter("got >= need").select("holder", "demand", "got", "n")
