@@ -60,5 +60,9 @@ def covering(holders: DataFrame, demands: DataFrame, share: float) -> DataFrame:
     placed = known.select("demand", "token", "r", F.sum("r").over(whole).alias("n"), before.alias("before")).withColumn("need", F.ceil(F.col("n") * share - 1e-9))
     rare = placed.filter("before <= n - need").select("demand", "token")
     candidates = rare.join(holders, "token").select("demand", "holder").distinct()
-    met = candidates.join(placed, "demand").join(holders, ["holder", "token"])
-    return met.groupBy("holder", "demand", "n", "need").agg(F.sum("r").alias("got")).filter("got >= need").select("holder", "demand", "got", "n")
+    # One row a holder and one a demand, so that a candidate stays one row.
+    held = holders.groupBy("holder").agg(F.collect_set("token").alias("held"))
+    asked = placed.groupBy("demand", "n", "need").agg(F.map_from_entries(F.collect_list(F.struct("token", "r"))).alias("asked"))
+    got = F.aggregate(F.array_intersect("held", F.map_keys("asked")), F.lit(0).cast("bigint"), lambda s, t: s + F.element_at("asked", t))
+    met = candidates.join(held, "holder").join(asked, "demand").select("holder", "demand", got.alias("got"), "n", "need")
+    return met.filter("got >= need").select("holder", "demand", "got", "n")
