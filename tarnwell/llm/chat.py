@@ -6,14 +6,20 @@ is repaired by merging a turn into the one before, relabelling it, or inserting
 empty turns; dynamic programming over (turn, automaton state) finds the repair
 of least cost, which is then rendered.
 
-The result is one row per conversation, whatever its length.  Conversations of
-up to PART turns are read by one task each.  The turns of a longer one are
-numbered by a range sort (no task sees them all) and cut by that number into
-parts of PART turns.  A part's dynamic program is a 4 x 4 matrix of least costs
-from entry to exit state; the matrices of a conversation are combined by
-(min, +) products into the states at which each part is entered and left; then
-every part is repaired and rendered by itself, and the parts' renderings, joined
-in order, are the conversation's.  chat_parts() gives the parts; a rendering of
+The result is one row per conversation, whatever its length.  A turn's size is
+one for each TURN_CHARS characters begun.  Conversations of up to PART in size
+are read by one task each.  The turns of a larger one are measured in order by a
+range sort (no task sees them all) and cut into parts of that size.  A part's
+dynamic program is a 4 x 4 matrix of least costs from entry to exit state; the
+matrices of a conversation are combined by (min, +) products into the states at
+which each part is entered and left; then every part is repaired and rendered by
+itself, and the parts' renderings, joined in order, are the conversation's.
+
+Of repairs of equal cost the one counts whose states, read from the end
+backwards, are least, merging first; the end prefers the later role.  A part's
+matrix therefore carries, for each exit, the order of the entries by their own
+least ways: so a conversation is rendered alike whole and in parts of any size.
+chat_parts() gives the parts; a rendering of
 more than MOST_CHARS, which no single value can hold, is null in the whole row
 and stands in its parts alone.
 
@@ -34,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import numbered, whole_text, written
+from tarnwell.llm.common import measured, whole_text, written
 
-PART, MOST_CHARS = 4096, 1 << 29
+PART, TURN_CHARS, MOST_CHARS = 4096, 4096, 1 << 29
 ROLES = ("", "system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -91,13 +97,25 @@ def forward(roles: list[int], entry: int) -> list[list[tuple[float, int, bool] |
     return table
 
 
+def backwards(table: list[list[tuple[float, int, bool] | None]], state: int) -> Iterator[tuple[int, bool, int]]:
+    """(state before, opened, state after) of each turn from the last to the first, on the chosen way to a state."""
+    for row in reversed(table):
+        _, before, merged = row[state]
+        yield before, not merged, state
+        state = before
+
+
 def matrix(roles: list[int]) -> list[float]:
-    """Least costs from each entry to each exit state, row by row."""
-    out = []
-    for entry in range(4):
-        last = forward(roles, entry)[-1]
-        out += [b[0] if b else NEVER for b in last]
-    return out
+    """Least costs from each entry to each exit state, row by row; then, likewise, the entries' places among those of an exit."""
+    tables = [forward(roles, entry) for entry in range(4)]
+    costs = [b[0] if b else NEVER for table in tables for b in table[-1]]
+    places = [0.0] * 16
+    for exit_ in range(4):
+        reached = [entry for entry in range(4) if tables[entry][-1][exit_]]
+        reached.sort(key=lambda entry: [step[:2] for step in backwards(tables[entry], exit_)])
+        for place, entry in enumerate(reached):
+            places[4 * entry + exit_] = float(place)
+    return costs + places
 
 
 def end_cost(state: int) -> float:
@@ -108,9 +126,9 @@ def through(matrices: list[list[float]]) -> list[tuple[int, int]]:
     """Entry and exit state of each part on the least way."""
     costs, steps = [0.0, NEVER, NEVER, NEVER], []
     for m in matrices:
-        step = [min((costs[a] + m[4 * a + b], a) for a in range(4)) for b in range(4)]
-        steps.append([a for _, a in step])
-        costs = [c for c, _ in step]
+        step = [min((costs[a] + m[4 * a + b], m[16 + 4 * a + b], a) for a in range(4)) for b in range(4)]
+        steps.append([a for _, _, a in step])
+        costs = [c for c, _, _ in step]
     state = min(range(1, 4), key=lambda s: (costs[s] + end_cost(s), -s))
     out = []
     for step in reversed(steps):
@@ -126,11 +144,7 @@ def escaped(text: str) -> str:
 def repair(turns: list[tuple[int, str]], entry: int, exit_: int, last: bool) -> tuple[float, int, int, int, int, str]:
     """Cost, turns opened, merges, relabels, insertions and rendering of a part."""
     table = forward([r for r, _ in turns], entry)
-    cost, state, way = table[-1][exit_][0], exit_, []
-    for row in reversed(table):
-        _, before, merged = row[state]
-        way.append((before, state, merged))
-        state = before
+    cost, way = table[-1][exit_][0], list(backwards(table, exit_))
     text, opened, merges, relabels, insertions = [], 0, 0, 0, 0
     is_open = entry != START
 
@@ -139,9 +153,9 @@ def repair(turns: list[tuple[int, str]], entry: int, exit_: int, last: bool) ->
         text.append(f"{CLOSE}\n" * is_open + f"{OPEN}{ROLES[role]}\n")
         opened, is_open = opened + 1, True
 
-    for (role, content), (before, after, merged) in zip(turns, reversed(way), strict=True):
+    for (role, content), (before, opens, after) in zip(turns, reversed(way), strict=True):
         relabels += role != after
-        if merged:
+        if not opens:
             merges += 1
             text.append("\n")
         else:
@@ -230,17 +244,18 @@ def part_text(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
 
 
 def shorts_and_parts(turns: DataFrame, columns: tuple[str, ...], part: int) -> tuple[DataFrame, DataFrame | None]:
-    """Conversations of up to `part` turns, a row each, and the parts of longer ones if there are any."""
+    """Conversations of up to `part` in size, a row each, and the parts of larger ones if there are any."""
     source = turns_of(turns, *columns)
     kind = source.schema["conv_id"].dataType.simpleString()
     figures = "n_turns bigint, cost double, n_out bigint, merges bigint, relabels bigint, insertions bigint, rendered string"
-    long = source.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part).select(F.col("conv_id").alias("of_id"))
+    size = F.greatest(F.lit(1), F.ceil(F.length("text") / TURN_CHARS)).cast("bigint")
+    long = source.groupBy("conv_id").agg(F.sum(size).alias("size")).filter(F.col("size") > part).select(F.col("conv_id").alias("of_id"))
     long = written(long, "long-conversations")
     whole = lambda df: grouped(df.repartition("conv_id").sortWithinPartitions(*ORDER), ("conv_id",), part_text, f"conv_id {kind}, {figures}")
     if long.isEmpty():
         return whole(source), None
     is_long = F.col("conv_id").eqNullSafe(F.col("of_id"))
-    rows = numbered(source.join(long, is_long, "left_semi"), *[F.asc_nulls_first(c) for c in ORDER])
+    rows = measured(source.join(long, is_long, "left_semi"), size, *[F.asc_nulls_first(c) for c in ORDER])
     begin = written(rows.groupBy("conv_id").agg(F.min("place").alias("begin")).withColumnRenamed("conv_id", "of_id"), "long-beginnings")
     rows = rows.join(begin, is_long).withColumn("part", F.floor((F.col("place") - F.col("begin")) / part).cast("bigint")).drop("of_id", "begin")
     by, of_part = ("conv_id", "part"), F.col("part") == F.col("of_part")

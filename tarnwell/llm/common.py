@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.session import written
 
-__all__ = ["WORD", "numbered", "one_each", "running_sum", "unused", "whole_text", "written"]
+__all__ = ["WORD", "measured", "numbered", "one_each", "running_sum", "unused", "whole_text", "written"]
 
 #: White space and word of the result contracts.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,19 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     return rows.select(*df.columns, place.alias("place"))
 
 
+def measured(df: DataFrame, size: Column, *order: Column) -> DataFrame:
+    """df with `place`, the sum of the sizes of the rows before in that order; like numbered, no task sees all rows."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), size.alias("size")), "sorted")
+    before, shift = 0, []
+    for part, total in sorted(rows.groupBy("part").agg(F.sum("size")).collect()):
+        shift += [F.lit(part), F.lit(before)]
+        before += total
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    place = upto - F.col("size") + F.create_map(*shift)[F.col("part")] if shift else F.lit(0).cast("bigint")
+    return rows.select(*df.columns, place.alias("place"))
+
+
 def one_each(docs: DataFrame, tied: DataFrame, key: str, value: Column) -> DataFrame:
     """docs, but one row only of those whose `value` stands in tied (key), few as a rule."""
     tied = written(tied, "ties")

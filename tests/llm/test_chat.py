@@ -1,4 +1,5 @@
 from itertools import product
+from random import Random
 
 import pytest
 
@@ -36,6 +37,22 @@ def test_least_cost(length):
             assert cost == cheapest(roles), (roles, size)
 
 
+def rendered(roles, size):
+    parts = [roles[i : i + size] for i in range(0, len(roles), size)]
+    way = op.through([op.matrix(p) for p in parts])
+    made = [op.repair([(r, f"{r}") for r in p], a, b, k == len(parts) - 1) for k, (p, (a, b)) in enumerate(zip(parts, way))]
+    return [sum(m[i] for m in made) for i in range(5)], "".join(m[5] for m in made)
+
+
+def test_rendered_alike_whole_and_in_parts():
+    random = Random(3)
+    for _ in range(2000):
+        roles = [random.randrange(4) for _ in range(random.randrange(1, 40))]
+        whole = rendered(roles, len(roles))
+        for size in (1, 2, 3, 4, 7, 16):
+            assert rendered(roles, size) == whole, (roles, size)
+
+
 def turns_of(text):
     return [t.split("\n", 1) for t in text.replace("<|im_end|>\n", "").split("<|im_start|>") if t]
 
@@ -68,10 +85,18 @@ def test_parts_make_the_whole(spark):
     assert cut[1].rendered == "".join(r.rendered for r in parts if r.conv_id == 1)
     assert cut[2] == whole[2] and cut[1].cost == whole[1].cost == sum(r.cost for r in parts if r.conv_id == 1)
     assert legal(cut[1].rendered) and legal(whole[1].rendered) and cut[1].n_turns == whole[1].n_turns == 1000
+    assert cut[1] == whole[1] == next(r for r in op.format_chats(df, part=7).collect() if r.conv_id == 1)
     words = lambda r: [w for _, c in turns_of(r.rendered) for w in c.split()]
     assert words(cut[1]) == words(whole[1]) and len(words(cut[1])) == 1000
 
 
+def test_long_turns_are_cut_by_characters(spark):
+    rows = [(1, i, "user" if i % 3 else "assistant", f"{i} " + "x" * (3 * op.TURN_CHARS)) for i in range(10)] + [(2, 0, "user", "short")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert op.chat_parts(df, part=8).filter("conv_id = 1").count() > 3
+    assert sorted(op.format_chats(df, part=8).collect()) == sorted(op.format_chats(df).collect())
+
+
 def test_one_row_whatever_the_numbers(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(252, 260)]
     rows += [(2, 3, "user", "same")] * 600 + [(None, None, "assistant", f"n{i}") for i in range(300)]
