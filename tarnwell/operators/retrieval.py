@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.plans import pruning
+from tarnwell.plans import pruning, vectors
 from tarnwell.plans import retrieval as plan
 from tarnwell.registry import query, table
 from tarnwell.session import written
@@ -77,6 +77,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "id", F.round(plan.similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(VECTORS + " select query_id, id, round(1 / (1 + distance), 6) as similarity, rank from (select *, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) where rank <= 20")
+def probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_topk's answer from inverted lists: only the shells that a distance bound leaves are scored."""
+    hits, _ = vectors.nearest_probed(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 20)
+    return hits.select("query_id", "id", F.round(plan.similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(VECTORS + " select query_id, id, label, rank from (select *, row_number() over (partition by query_id, label order by round(distance, 9), id) as rank from d) where rank <= 3")
 def vector_kind_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 3, "label")
