@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell import registry
 from tarnwell.operators import aggregates, audits, entities, evaluation, events, filters, joins, matching, requirements, retrieval, search, trees, upkeep, views, windows  # noqa: F401
-from tarnwell.functions import classify, clauses, concepts, profiles, sections, text  # noqa: F401
+from tarnwell.functions import classify, clauses, concepts, profiles, sections, segmentation, text  # noqa: F401
 from tarnwell.sources import hooks, readers  # noqa: F401
 from tarnwell.streaming import incremental, projection  # noqa: F401
 
