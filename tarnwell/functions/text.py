@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,24 +39,34 @@ def dominant_line_ratio(text: Column) -> Column:
     return F.when(F.size(lines) > 0, F.round(best / F.size(lines), 6)).otherwise(0.0)
 
 
+#: Characters of the shortest repeated piece.  A longer piece that repeats is made of such ones, so these cover all that any length up to 16 would.
+PIECE = 6
+
+
 @F.pandas_udf(T.DoubleType())
 def repeated_coverage(texts: pd.Series) -> pd.Series:
-    """Share of characters within an n-gram (6 to 16) that occurs before, without overlap."""
+    """Share of characters, white space aside, that stand in a piece of 6 to 16 characters which occurs twice or more; pieces may overlap.
+
+    Two code points' numbers make one integer, so six are three; pieces are
+    sorted by these, equal neighbours mark their characters by interval ends.
+    Null, empty and texts under two pieces have none.
+    """
 
     def of(text: str | None) -> float:
-        text = re.sub(r"\s+", "", text or "")
-        best = 0
-        for n in (6, 8, 12, 16):
-            seen, covered, at = set(), 0, 0
-            while at + n <= len(text):
-                gram = text[at : at + n]
-                if gram in seen:
-                    covered, at = covered + n, at + n
-                else:
-                    seen.add(gram)
-                    at += 1
-            best = max(best, covered)
-        return round(best / len(text), 6) if text else 0.0
+        points = np.frombuffer("".join((text or "").split()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(points)
+        if n < 2 * PIECE:
+            return 0.0
+        pairs = points[:-1] << np.uint64(32) | points[1:]
+        places = n - PIECE + 1
+        keys = [pairs[i : i + places] for i in range(0, PIECE, 2)]
+        order = np.lexsort(keys)
+        equal = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+        starts = order[np.append(equal, False) | np.insert(equal, 0, False)]
+        ends = np.zeros(n + 1, np.int64)
+        ends[starts] += 1
+        ends[starts + PIECE] -= 1
+        return float((np.cumsum(ends)[:n] > 0).sum() / n)
 
     return texts.map(of)
 
@@ -134,9 +145,16 @@ def dominant_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("route", F.when(F.col("ratio") >= DOMINANT, "ocr").otherwise("text"))
 
 
-@query()
+@query("""
+with d as (select doc_id, string_split(regexp_replace(text, '\\s+', '', 'g'), '') as t from documents), c as (select doc_id, unnest(t) as c, generate_subscripts(t, 1) as pos from d where len(t) >= 12),
+p as (select doc_id, pos, concat(c, lead(c, 1) over w, lead(c, 2) over w, lead(c, 3) over w, lead(c, 4) over w, lead(c, 5) over w) as gram from c window w as (partition by doc_id order by pos)),
+g as (select doc_id, gram, count(*) as n from p where length(gram) = 6 group by 1, 2 having count(*) > 1),
+r as (select doc_id, least(6, coalesce(lead(pos) over (partition by doc_id order by pos) - pos, 6)) as more from p join g using (doc_id, gram)), s as (select doc_id, sum(more) as covered from r group by doc_id)
+select d.doc_id, coalesce(round(covered::double / len(t), 6), 0.0)::double as coverage from d left join s using (doc_id)
+""")
 def ngram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", repeated_coverage("text").alias("coverage"))
+    """The share of each whole text that repeats."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(repeated_coverage("text"), 6).alias("coverage"))
 
 
 @query()
