@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions.concepts import folded
 from tarnwell.plans.retrieval import tokens
 from tarnwell.registry import query, table
+from tarnwell.session import written
 
 SHARE, LONGEST, LEAST_PART, UNKNOWN = 250_000, 32, 3, 10_000
 #: Bytes of stretches that a worker keeps with their words, and the longest kept.
@@ -36,8 +37,8 @@ STRETCH = re.compile(r"[一-鿿]+|[^\W_一-鿿]+")
 
 
 def corpus_lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (word, n) of the corpus's frequent words; counts combine on the map side."""
-    counted = docs.select(F.explode(tokens(text_col)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """Rows (word, n) of the corpus's frequent words; counted once, combined on the map side, and written."""
+    counted = written(docs.select(F.explode(tokens(text_col)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
     total = counted.agg(F.sum("n").alias("n")).select("n").scalar()
     return counted.filter((F.col("n") >= 2) & (F.col("n") * SHARE >= total) & (F.length("word") <= LONGEST))
 
@@ -54,29 +55,35 @@ class Lattice:
         if len(self.words):
             self.words.make_automaton()
 
-    def arcs(self, stretch: str) -> list[list[tuple[int, int]]]:
-        """(length, cost) of the arcs that end after each character."""
-        size, han = len(stretch), "一" <= stretch[0] <= "鿿"
-        if han:
-            ends = [[(1, self.unknown), (2, self.unknown)][: i + 1] for i in range(size)]
-        else:
-            ends = [[] for _ in range(size)]
-            ends[-1].append((size, self.unknown))
-        for last, (length, cost) in self.words.iter(stretch) if len(self.words) else ():
-            if han or length >= LEAST_PART or length == size:
-                ends[last].append((length, cost))
-        return ends
+    def arcs(self, stretch: str) -> Iterator[tuple[int, int, int]]:
+        """(end, length, cost) of the arcs, by their end."""
+        size, found = len(stretch), self.words.iter(stretch) if len(self.words) else iter(())
+        if "一" <= stretch[0] <= "鿿":
+            known = [[] for _ in range(size + 1)]
+            for last, (length, cost) in found:
+                known[last + 1].append((length, cost))
+            for end in range(1, size + 1):
+                for length, cost in (*known[end], (1, self.unknown), (2, self.unknown))[: None if end > 1 else -1]:
+                    yield end, length, cost
+            return
+        for last, (length, cost) in found:
+            if length >= LEAST_PART or length == size:
+                yield last + 1, length, cost
+        yield size, size, self.unknown
+
 
     def split(self, stretch: str) -> tuple[int, list[str]]:
         """Least cost and words of a folded stretch."""
-        best: list[tuple[float, int]] = [(0, 0)]
-        for end, arcs in enumerate(self.arcs(stretch), 1):
-            best.append(min(((best[end - length][0] + cost, -length) for length, cost in arcs), default=(math.inf, 0)))
+        least, took = [0.0] + [math.inf] * len(stretch), [0] * (len(stretch) + 1)
+        for end, length, cost in self.arcs(stretch):
+            way = least[end - length] + cost
+            if way < least[end] or way == least[end] < math.inf and length > took[end]:
+                least[end], took[end] = way, length
         words, at = [], len(stretch)
         while at:
-            words.append(stretch[at + best[at][1] : at])
-            at += best[at][1]
-        return int(best[-1][0]), words[::-1]
+            words.append(stretch[at - took[at] : at])
+            at -= took[at]
+        return int(least[-1]), words[::-1]
 
 
 def segmented(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,22 +103,25 @@ def segmented(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, kept, held = Lattice(shared.value), {}, 0
+
+        def learnt(stretch: str) -> tuple[int, int, str]:
+            nonlocal held
+            cost, parts = lattice.split(stretch)
+            made = cost, len(parts), " ".join(parts)
+            if len(stretch) <= KEPT_LONGEST:
+                if held > KEPT:
+                    kept.clear()
+                    held = 0
+                kept[stretch] = made
+                held += 400 + 8 * len(stretch)
+            return made
+
         for batch in batches:
             figures = []
-            for text in batch.column(1):
-                n_stretches, n_words, cost, words = 0, 0, 0, []
-                for stretch in STRETCH.findall(folded(text.as_py() or "")):
-                    known = kept.get(stretch)
-                    if known is None:
-                        more, parts = lattice.split(stretch)
-                        known = more, len(parts), " ".join(parts)
-                        if len(stretch) <= KEPT_LONGEST:
-                            if held > KEPT:
-                                kept, held = {}, 0
-                            kept[stretch], held = known, held + 400 + 8 * len(stretch)
-                    n_stretches, n_words, cost = n_stretches + 1, n_words + known[1], cost + known[0]
-                    words.append(known[2])
-                figures.append((n_stretches, n_words, cost, " ".join(words)))
+            for text in batch.column(1).to_pylist():
+                known = [kept.get(stretch) or learnt(stretch) for stretch in STRETCH.findall(folded(text or ""))]
+                costs, sizes, words = zip(*known, strict=True) if known else ((), (), ())
+                figures.append((len(known), sum(sizes), sum(costs), " ".join(words)))
             if figures:
                 columns = [pa.array(c, t) for c, t in zip(zip(*figures, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_stretches", "n_words", "cost", "words"])

@@ -13,7 +13,7 @@ def paths(stretch, arcs, end):
     """(cost, words) of every path to a place."""
     if not end:
         yield 0, []
-    for length, cost in arcs[end - 1] if end else ():
+    for length, cost in arcs[end]:
         for before, words in paths(stretch, arcs, end - length):
             yield before + cost, [*words, stretch[end - length : end]]
 
@@ -25,7 +25,8 @@ def test_least_of_all_paths():
         for _ in range(150):
             lattice = op.Lattice({made(draw.randint(1, 4)): draw.randint(1, 50) for _ in range(draw.randint(0, 12))})
             stretch = made(draw.randint(1, 9))
-            every = list(paths(stretch, lattice.arcs(stretch), len(stretch)))
+            arcs = {end: [(n, c) for e, n, c in lattice.arcs(stretch) if e == end] for end in range(len(stretch) + 1)}
+            every = list(paths(stretch, arcs, len(stretch)))
             cost, words = lattice.split(stretch)
             least = min(c for c, _ in every)
             tied = [w for c, w in every if c == least]
