@@ -86,6 +86,9 @@ def fuzzy_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     No cross join: the container gives all its n-grams, the contained only the
     one of its own that fewest containers have (counted first), so that common
     parts of names gather no rows; containment is verified on rows that meet.
+    Different names meet once, however many rows have them; their keys are
+    joined to the pairs found.  The hints keep n-grams, of which a small file
+    makes many, out of the driver.
     """
     left = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("supplier"), F.replace(F.lower("p_name"), F.lit("part"), F.lit(""))).alias("a"))
     right = table(spark, sf_dir, "supplier").select("s_suppkey", F.replace(F.lower("s_name"), F.lit("#"), F.lit(" ")).alias("b"))
@@ -95,11 +98,12 @@ def fuzzy_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         holders = big.withColumn("g", grams(a))
         counts = holders.groupBy("g").agg(F.count("*").alias("k"))
         rare = F.min_by("g", F.struct(F.coalesce("k", F.lit(0)), F.col("g")))
-        chosen = small.withColumn("g", grams(b)).join(counts, "g", "left").groupBy(*small.columns).agg(rare.alias("g"))
-        return holders.join(chosen, "g").filter(F.contains(a, F.col(b)))
+        chosen = small.withColumn("g", grams(b)).join(counts.hint("merge"), "g", "left").groupBy(b).agg(rare.alias("g"))
+        return holders.join(chosen.hint("merge"), "g").filter(F.contains(a, F.col(b))).select("a", "b")
 
-    met, turned = within(left, "a", right, "b"), within(right, "b", left, "a")
-    return met.select("p_partkey", "s_suppkey").unionByName(turned.select("p_partkey", "s_suppkey")).distinct()
+    names, owners = left.select("a").distinct(), right.select("b").distinct()
+    pairs = within(names, "a", owners, "b").unionByName(within(owners, "b", names, "a")).distinct()
+    return left.join(pairs.hint("merge"), "a").join(right.hint("merge"), "b").select("p_partkey", "s_suppkey").distinct()
 
 
 @query("select event_id from events where ts >= timestamp '2024-01-05 00:00:00' and ts < timestamp '2024-01-13 00:00:00'")
