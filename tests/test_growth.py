@@ -1,6 +1,7 @@
 """What must not grow with the tables: rows sent to the driver, rows shuffled, rows of one task."""
 
-from tarnwell.operators import joins
+from tarnwell.operators import audits, joins
+from tarnwell.plans import levels
 
 
 def planned(df):
@@ -19,3 +20,18 @@ def test_names_meet_once_and_not_in_the_driver(spark, tmp_path):
     got = [(r.p_partkey, r.s_suppkey) for r in found.collect()]
     assert want and len(got) == len(set(got)) and set(got) == want
     assert "BroadcastExchange" not in planned(found)
+
+
+def test_levels_are_counted_not_listed(spark, tmp_path):
+    rows = [(i, [float(i % 3), 1.0], 0) for i in range(3)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = audits.similarity_levels(spark, str(tmp_path)).first()
+    assert (row.top1, row.top5, row.middle, row.tail) == (1.0, None, 0.5, 0.2)
+
+    vectors = spark.range(3000).selectExpr("id as vec_id", "array(cast(id % 7 as float), 0f) as embedding")
+    queries = vectors.filter("vec_id < 10").selectExpr("vec_id as query_id", "embedding as v")
+    wide = levels.counted(vectors, queries.selectExpr("*", "cast(null as array<int>) as bins"), "embedding", 4)
+    assert wide.count() <= 10 * 7 and wide.agg({"k": "sum"}).first()[0] == 30000
+    got = {r.query_id: r.at for r in levels.similarity_ranks(vectors, queries, {"at": levels.F.lit(1000)}, block=4).collect()}
+    want = {q: round(sorted((1 / (1 + (i % 7 - q % 7) ** 2) for i in range(3000)), reverse=True)[999], 6) for q in range(10)}
+    assert got == want
