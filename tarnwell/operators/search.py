@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.lexicon import lexical_tokens
 from tarnwell.operators.retrieval import BM25, query_tokens
-from tarnwell.plans import pruning, segments
+from tarnwell.plans import pruning, scoring, segments
 from tarnwell.plans import retrieval as plan
 from tarnwell.plans.filters import Filters, relaxed
 from tarnwell.registry import query, table
@@ -113,18 +113,9 @@ have as (select query_id, doc_id as id, count(*) as k from cur join tf using (to
 select s.query_id, count(*) as or_hits, sum((n is null or coalesce(k, 0) = n)::int)::bigint as and_hits, sum((n is null or any_n is null or coalesce(k, 0) >= 1)::int)::bigint as gated from s left join need on s.query_id = need.query_id left join have on s.query_id = have.query_id and s.id = have.id left join any_ on s.query_id = any_.query_id group by s.query_id""")
 def curated_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits by any word; by all curated ones (by any where none is curated); and by at least one, unless nobody has one."""
-    wanted = query_tokens(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents")
-    hits = plan.bm25(docs, wanted).select("query_id", "id")
-    curated = wanted.filter(F.length("token") >= 9)
-    need = curated.groupBy("query_id").agg(F.count("*").alias("n"))
-    have = plan.bm25(docs, curated).select("query_id", "id", F.col("matched").alias("k"))
-    some = have.groupBy("query_id").agg(F.count("*").alias("any_n"))
-    joined = hits.join(have, ["query_id", "id"], "left").join(need, "query_id", "left").join(some, "query_id", "left")
-    none = F.col("n").isNull()
-    return joined.groupBy("query_id").agg(
-        F.count("*").alias("or_hits"), F.count_if(none | F.coalesce(F.col("k") == F.col("n"), F.lit(False))).alias("and_hits"), F.count_if(none | F.col("any_n").isNull() | F.coalesce(F.col("k") >= 1, F.lit(False))).alias("gated")
-    )
+    wanted = query_tokens(spark, sf_dir).withColumn("marked", F.length("token") >= 9)
+    found = scoring.tallies(table(spark, sf_dir, "documents"), wanted)
+    return found.select("query_id", F.col("any_hits").alias("or_hits"), F.col("all_marked").alias("and_hits"), F.when(F.col("some_marked") > 0, F.col("some_marked")).otherwise(F.col("any_hits")).alias("gated"))
 
 
 def by_coverage(hits: DataFrame, mode: str, weight: float = 0.05) -> DataFrame:
