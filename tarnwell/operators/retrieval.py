@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.plans import pruning, vectors
+from tarnwell.plans import pruning, scoring, vectors
 from tarnwell.plans import retrieval as plan
 from tarnwell.registry import query, table
 from tarnwell.session import written
@@ -47,8 +47,7 @@ def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BM25 + " select query_id, count(*) as any_hits, sum(case when matched >= 2 then 1 else 0 end)::bigint as two_hits, max(matched) as most from s group by query_id")
 def boolean_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts of one owner: any of them, or several, over all its rows."""
-    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
-    return hits.groupBy("query_id").agg(F.count("*").alias("any_hits"), F.count_if(F.col("matched") >= 2).alias("two_hits"), F.max("matched").alias("most"))
+    return scoring.tallies(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir)).select("query_id", "any_hits", "two_hits", "most")
 
 
 @query(f"with {QTOK}, a as (select lang, query_id, count(distinct token) as covered from documents, lateral (select unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) as token) join qt using (token) group by lang, query_id), n as (select query_id, count(*) as n from qt group by query_id) select lang, query_id, covered, round(covered::double / n, 6) as coverage from a join n using (query_id)")
