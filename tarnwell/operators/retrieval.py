@@ -157,9 +157,8 @@ def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BM25 + ", m as (select query_id, max(matched) as best from s group by query_id) select query_id, count(*) as kept from s join m using (query_id) where matched >= 2 or best < 2 group by query_id")
 def weak_hit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of too few terms go, unless that would leave a query without any."""
-    hits = plan.bm25(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
-    by = hits.groupBy("query_id").agg(F.count("*").alias("every"), F.count_if(F.col("matched") >= 2).alias("strong"))
-    return by.select("query_id", F.when(F.col("strong") > 0, F.col("strong")).otherwise(F.col("every")).alias("kept"))
+    found = scoring.tallies(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir))
+    return found.select("query_id", F.when(F.col("two_hits") > 0, F.col("two_hits")).otherwise(F.col("any_hits")).alias("kept"))
 
 
 #: White space of any kind, in both engines' notation.

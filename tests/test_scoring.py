@@ -46,6 +46,6 @@ def test_best_of_small_pieces(spark, monkeypatch):
 
 def test_counts_leave_tasks_as_one_row_a_query(spark, small):
     """Before, a row for each query and document was grouped by one task's hash table, or joined by query."""
-    for query in (search.curated_gate, retrieval.boolean_and_or):
+    for query in (search.curated_gate, retrieval.boolean_and_or, retrieval.weak_hit_filter):
         text = query(spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "doc_id" not in text and "Join" not in text
