@@ -106,9 +106,8 @@ f as (select query_id, id, sum(part) as score from (select query_id, id, family,
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = query_tokens(spark, sf_dir)
-    weights = pruning.impacts(table(spark, sf_dir, "documents"), wanted)
-    lexical = plan.ranked(pruning.pruned(weights, wanted, 50), 50).withColumn("channel", F.lit("bm25"))
-    cover = plan.ranked(pruning.pruned(pruning.units(weights), wanted, 50), 50).withColumn("channel", F.lit("cover"))
+    found = scoring.best(table(spark, sf_dir, "documents"), wanted, 50, ("bm25", "cover"))
+    lexical, cover = (plan.ranked(found.filter(F.col("channel") == c), 50) for c in ("bm25", "cover"))
     channels = lexical.unionByName(cover).select("query_id", "id", "channel", "rank")
     return plan.reciprocal_ranks(channels, {"bm25": 1.0, "cover": 0.5}, {"bm25": "text", "cover": "cover"})
 

@@ -49,3 +49,12 @@ def test_counts_leave_tasks_as_one_row_a_query(spark, small):
     for query in (search.curated_gate, retrieval.boolean_and_or, retrieval.weak_hit_filter):
         text = query(spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "doc_id" not in text and "Join" not in text
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion"])
+def test_rankings_join_no_postings(spark, small, monkeypatch, name):
+    from tarnwell.plans import pruning
+    from tarnwell.registry import QUERIES
+
+    monkeypatch.setattr(pruning, "impacts", None)
+    assert QUERIES[name](spark, small).count()
