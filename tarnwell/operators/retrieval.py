@@ -126,9 +126,9 @@ select query_id, id, rank from (select *, row_number() over (partition by query_
 def rrf_family_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original and rewritten query are one family: the larger part counts."""
     wanted = query_tokens(spark, sf_dir)
-    weights = pruning.impacts(table(spark, sf_dir, "documents"), wanted)
-    original = plan.ranked(pruning.pruned(weights, wanted, 30), 30).withColumn("channel", F.lit("original"))
-    rewrite = plan.ranked(pruning.pruned(pruning.units(weights), wanted, 30), 30).withColumn("channel", F.lit("rewrite"))
+    found = scoring.best(table(spark, sf_dir, "documents"), wanted, 30, ("bm25", "cover"))
+    original = plan.ranked(found.filter("channel = 'bm25'"), 30).withColumn("channel", F.lit("original"))
+    rewrite = plan.ranked(found.filter("channel = 'cover'"), 30).withColumn("channel", F.lit("rewrite"))
     channels = original.unionByName(rewrite).select("query_id", "id", "channel", "rank")
     merged = plan.reciprocal_ranks(channels, {"original": 1.0, "rewrite": 0.7}, {"original": "v", "rewrite": "v"})
     return plan.ranked(merged, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
