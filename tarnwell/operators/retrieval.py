@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.plans import pruning, scoring, vectors
+from tarnwell.plans import scoring, vectors
 from tarnwell.plans import retrieval as plan
 from tarnwell.registry import query, table
 from tarnwell.session import written
@@ -33,14 +33,14 @@ s as (select query_id, tf.doc_id as id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))
 
 @query(BM25 + " select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = pruning.bm25_best(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir), 20)
+    best = scoring.bm25_best(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir), 20)
     return best.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25.replace("from documents", "from documents where lang = 'en'") + " select query_id, id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) where rank <= 10")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard filters stand below the ranking, never after it."""
-    best = pruning.bm25_best(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir), 10)
+    best = scoring.bm25_best(table(spark, sf_dir, "documents").filter("lang = 'en'"), query_tokens(spark, sf_dir), 10)
     return best.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -142,7 +142,7 @@ def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 reordered by how often the query's terms occur, the rest in order."""
     wanted = query_tokens(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
-    hits = written(pruning.bm25_best(docs, wanted, 20), "hits")
+    hits = written(scoring.bm25_best(docs, wanted, 20), "hits")
     terms = wanted.groupBy("query_id").agg(F.collect_list("token").alias("terms"))
     # Texts of the window only, whose rows are the ones to be scored.
     window = hits.filter("rank <= 10").select("query_id", "id").join(terms, "query_id")

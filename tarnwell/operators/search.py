@@ -39,7 +39,7 @@ f as (select query_id, id, sum(part) as score from (select query_id, id, 1.0 / (
 select query_id, id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from f) where rank <= 20""")
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and vectors fused by reciprocal ranks; the flagship query."""
-    words = pruning.bm25_best(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir), 50).withColumn("channel", F.lit("bm25"))
+    words = scoring.bm25_best(table(spark, sf_dir, "documents"), query_tokens(spark, sf_dir), 50).withColumn("channel", F.lit("bm25"))
     vectors = near_documents(spark, sf_dir, 50).withColumn("channel", F.lit("vector"))
     channels = words.select("query_id", "id", "channel", "rank").unionByName(vectors.select("query_id", "id", "channel", "rank"))
     fused = plan.reciprocal_ranks(channels, {"bm25": 1.0, "vector": 1.0}, {"bm25": "bm25", "vector": "vector"})

@@ -51,7 +51,7 @@ def test_counts_leave_tasks_as_one_row_a_query(spark, small):
         assert "doc_id" not in text and "Join" not in text
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion", "rrf_family_max"])
+@pytest.mark.parametrize("name", ["rrf_fusion", "rrf_family_max", "bm25_topk", "hybrid_fusion", "hydrate_first_wins", "model_reranked"])
 def test_rankings_join_no_postings(spark, small, monkeypatch, name):
     from tarnwell.plans import pruning
     from tarnwell.registry import QUERIES
