@@ -1,5 +1,9 @@
 """What must not grow with the tables: rows sent to the driver, rows shuffled, rows of one task."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarnwell.functions import clauses
 from tarnwell.operators import audits, entities, joins
 from tarnwell.plans import levels
 
@@ -43,3 +47,20 @@ def test_words_are_folded_within_their_text(spark, tmp_path):
     found = entities.casefold_dedupe(spark, str(tmp_path))
     assert {r.doc_id: r.words for r in found.collect()} == {1: "b a  c", 3: "", 4: "Straße STRASSE Z"}
     assert "Exchange" not in planned(found)
+
+
+def test_each_text_of_a_batch_is_read_once(spark, tmp_path):
+    log = str(tmp_path / "read")
+
+    def make(text):
+        with open(log, "a") as out:
+            print(text, file=out)
+        return {"a": None if text is None else text.upper()}
+
+    texts = [None, "x", "", "y", "x", None] * 50
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(1)
+    for kind, value in ((T.StructType([T.StructField("a", T.StringType())]), "r.a"), (T.StringType(), "r")):
+        reader = clauses.in_batches(make if value == "r.a" else lambda t: make(t)["a"], kind)
+        got = rows.select("id", reader("text").alias("r")).select("id", F.expr(value).alias("a")).collect()
+        assert [r.a for r in sorted(got)] == [None if t is None else t.upper() for t in texts]
+    assert len(open(log).read().split("\n")) - 1 == 2 * 4
