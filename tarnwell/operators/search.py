@@ -50,7 +50,7 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index written once, then searched."""
     path = plan.build_index(table(spark, sf_dir, "documents"), fresh_path(spark, "index"))
-    scores = plan.bm25_indexed(spark, path, query_tokens(spark, sf_dir))
+    scores = plan.bm25_indexed(spark, path, query_tokens(spark, sf_dir), 10)
     return plan.ranked(scores, 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

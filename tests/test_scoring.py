@@ -44,6 +44,21 @@ def test_best_of_small_pieces(spark, monkeypatch):
             assert sorted((-round(x["score"], 9), x["id"]) for x in some)[:4] == want[channel]
 
 
+def test_an_index_of_shards(spark, tmp_path, monkeypatch):
+    """Several shards a partition, an empty one, a null text; a row a shard for a token, however many documents have it."""
+    docs, queries = made(spark)
+    monkeypatch.setattr(plan, "SHARD", 16)
+    path = plan.build_index(docs, str(tmp_path / "index"))
+    every = plan.bm25(docs.na.fill(""), queries)
+    key = lambda df: sorted((r.query_id, r.id, round(r.score, 6), r.matched) for r in df.collect())
+    assert key(plan.bm25_indexed(spark, path, queries)) == key(every)
+    assert key(plan.ranked(plan.bm25_indexed(spark, path, queries, 4), 4)) == key(plan.ranked(every, 4))
+    postings = spark.read.parquet(f"{path}/postings")
+    assert postings.groupBy("shard", "token").count().filter("count > 1").isEmpty()
+    nothing = plan.build_index(docs.limit(0), str(tmp_path / "none"))
+    assert plan.bm25_indexed(spark, nothing, queries, 4).count() == 0
+
+
 def test_counts_leave_tasks_as_one_row_a_query(spark, small):
     """Before, a row for each query and document was grouped by one task's hash table, or joined by query."""
     for query in (search.curated_gate, retrieval.boolean_and_or, retrieval.weak_hit_filter):
