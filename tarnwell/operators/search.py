@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.lexicon import lexical_tokens
 from tarnwell.operators.retrieval import BM25, query_tokens
-from tarnwell.plans import pruning, scoring, segments
+from tarnwell.plans import scoring, segments
 from tarnwell.plans import retrieval as plan
 from tarnwell.plans.filters import Filters, relaxed
 from tarnwell.registry import query, table
@@ -71,7 +71,7 @@ def updated_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments.update(docs.filter("n_chars < 1000"), path)
     segments.compact(spark, path, 2)
     queries = query_tokens(spark, sf_dir)
-    best = plan.ranked(pruning.pruned(segments.impacts(spark, path, queries), queries, 10), 10)
+    best = plan.ranked(segments.best(spark, path, queries, 10), 10)
     return best.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

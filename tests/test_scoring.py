@@ -6,7 +6,7 @@ import pytest
 
 from tarnwell.operators import retrieval, search
 from tarnwell.plans import retrieval as plan
-from tarnwell.plans import scoring
+from tarnwell.plans import scoring, segments
 
 
 def made(spark, seed=1):
@@ -73,3 +73,18 @@ def test_rankings_join_no_postings(spark, small, monkeypatch, name):
 
     monkeypatch.setattr(pruning, "impacts", None)
     assert QUERIES[name](spark, small).count()
+
+
+def test_updated_index_without_postings(spark, tmp_path):
+    """Live documents are scored whole: replaced, deleted and empty ones, before and after merging."""
+    docs, queries = made(spark)
+    path = segments.create(spark, str(tmp_path / "index"))
+    assert segments.best(spark, path, queries, 4).count() == 0
+    segments.update(docs, path)
+    segments.update(docs.filter("doc_id % 4 = 0").withColumn("text", scoring.F.lit("w3 w3 w9")), path, docs.filter("doc_id % 5 = 1").select("doc_id"))
+    left = docs.filter("doc_id % 5 <> 1 or doc_id % 4 = 0").selectExpr("doc_id", "case when doc_id % 4 = 0 then 'w3 w3 w9' else coalesce(text, '') end as text")
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 6), r.matched) for r in df.collect())
+    want = key(plan.ranked(plan.bm25(left, queries), 4))
+    assert key(plan.ranked(segments.best(spark, path, queries, 4), 4)) == want
+    segments.merge(spark, path, 0, 2)
+    assert key(plan.ranked(segments.best(spark, path, queries, 4), 4)) == want
