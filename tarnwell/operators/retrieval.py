@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tarnwell.plans import scoring, vectors
 from tarnwell.plans import retrieval as plan
 from tarnwell.registry import query, table
-from tarnwell.session import written
 
 
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +141,7 @@ def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 10 reordered by how often the query's terms occur, the rest in order."""
     wanted = query_tokens(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
-    hits = written(scoring.bm25_best(docs, wanted, 20), "hits")
+    hits = scoring.bm25_best(docs, wanted, 20)
     terms = wanted.groupBy("query_id").agg(F.collect_list("token").alias("terms"))
     # Texts of the window only, whose rows are the ones to be scored.
     window = hits.filter("rank <= 10").select("query_id", "id").join(terms, "query_id")
