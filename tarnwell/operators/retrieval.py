@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwell.plans import scoring, vectors
 from tarnwell.plans import retrieval as plan
 from tarnwell.registry import query, table
+from tarnwell.session import dealt
 
 
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VECTORS + " select query_id, id, round(1 / (1 + distance), 6) as similarity, rank from (select *, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) where rank <= 20")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 20)
+    hits = plan.nearest_of_all(dealt(table(spark, sf_dir, "embeddings"), "vec_id"), query_vectors(spark, sf_dir), 20)
     return hits.select("query_id", "id", F.round(plan.similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -84,13 +85,13 @@ def probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VECTORS + " select query_id, id, label, rank from (select *, row_number() over (partition by query_id, label order by round(distance, 9), id) as rank from d) where rank <= 3")
 def vector_kind_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 3, "label")
+    hits = plan.nearest_of_all(dealt(table(spark, sf_dir, "embeddings"), "vec_id"), query_vectors(spark, sf_dir), 3, "label")
     return hits.select("query_id", "id", "label", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(VECTORS + ", r as (select *, round(1 / (1 + distance), 9) as score, row_number() over (partition by query_id order by round(distance, 9), id) as rank from d) select query_id, id from (select *, max(score) over (partition by query_id) as top from r where rank <= 50) where score >= 0.4 * top")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = plan.nearest_of_all(table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), 50)
+    hits = plan.nearest_of_all(dealt(table(spark, sf_dir, "embeddings"), "vec_id"), query_vectors(spark, sf_dir), 50)
     scored = hits.withColumn("score", F.round(plan.similarity(F.col("distance")), 9))
     return plan.above_relative(scored, 0.4).select("query_id", "id")
 

@@ -11,7 +11,7 @@ from tarnwell.plans import scoring, segments
 from tarnwell.plans import retrieval as plan
 from tarnwell.plans.filters import Filters, relaxed
 from tarnwell.registry import query, table
-from tarnwell.session import fresh_path
+from tarnwell.session import dealt, fresh_path
 
 POOL, POOL_TIMES, POOL_MOST = 120, 3, 5000
 
@@ -30,7 +30,7 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_documents(spark: SparkSession, sf_dir: str, k: int, where: str = "true") -> DataFrame:
     """Nearest documents of each item's vector; filters stand below the ranking."""
     ids = table(spark, sf_dir, "documents").filter(where).select(F.col("doc_id").alias("vec_id"))
-    return plan.nearest_of_all(table(spark, sf_dir, "embeddings").join(ids, "vec_id", "left_semi"), item_vectors(spark, sf_dir), k)
+    return plan.nearest_of_all(dealt(table(spark, sf_dir, "embeddings"), "vec_id").join(ids, "vec_id", "left_semi"), item_vectors(spark, sf_dir), k)
 
 
 @query(BM25 + "," + NEAR + """,

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.plans.retrieval import WORDS
+from tarnwell.session import dealt
 
 #: Bytes of text that are cut at once; a longer text is cut by itself.
 PIECE = 1 << 22
@@ -80,6 +81,7 @@ def worded(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.Record
 
 
 def map_words(docs: DataFrame, id_col: str, text_col: str, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function over the batches (id, words) of docs."""
+    """mapInArrow of a function over the batches (id, words) of docs, which are dealt out if few partitions hold them."""
     bits = word_characters(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text")).mapInArrow(lambda batches: function(worded(batches, bits)), schema)
+    texts = dealt(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    return texts.select("id", F.lower("text").alias("text")).mapInArrow(lambda batches: function(worded(batches, bits)), schema)
