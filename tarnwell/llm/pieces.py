@@ -16,15 +16,16 @@ pieces' characters by themselves gives back the two pieces, and infinity
 elsewhere.  A sequence whose neighbouring pairs are all of weight 0 is just the
 sequence that merging gives: up to the first merge across two pieces, each
 piece merges as by itself, so such a merge would show in that pair alone.  So
-the finite path is unique and equals the library's encoding (tested); as all
-other paths weigh infinity, it is found depth first, longest pieces first, and
-a place that no finite path leaves is tried once.
+the finite path is unique and equals the library's encoding (tested).  This
+holds of each beginning of the text too: one finite path leads to each place,
+and one pass over the lattice keeps the piece that ends it there.
 
-No piece spans a blank after another character, or a line end, so the shortest
-path is the concatenation of those of the stretches between.  The same holds
-between two characters that stand side by side in no piece: long stretches (of
-text that is written without blanks) are cut there, all places at once.  Short
-stretches are remembered in per-task tables of bounded bytes, long ones never.
+Between two characters that stand side by side in no piece (before a blank and
+about line ends as a rule) no piece lies across, so the shortest path is the
+concatenation of those of the stretches between.  Texts are cut at all these
+places at once, several texts together, and what each different stretch becomes
+is looked up once and dealt to its places.  Short stretches are remembered in a
+per-task table of bounded bytes, long ones never.
 
 Not compiled, and refused: models that mark the ends of words instead of their
 beginnings, and character-map models with user-defined pieces (their matches
@@ -41,6 +42,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -57,15 +59,18 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 TABLE_BYTES, PAIRS, GROUP = 48 << 20, 400_000, 1_000_000
-#: Longer stretches are cut before they are read, and not remembered.
-LONG, LONG_ASCII = 16, 64
+#: Longer stretches are not remembered.
+LONG_ASCII = 64
+#: Stands for the piece before the first.
+START = -1
+NO_ARC: tuple[dict, int] = {}, START
 
 
 class Stretches(dict):
     """What stretches become, as bytes, found when first asked for; at a bound of bytes the older half goes."""
 
-    def __init__(self, find, prefix: str):
-        self.find, self.prefix, self.held = find, prefix, 0
+    def __init__(self, find):
+        self.find, self.held = find, 0
 
     @staticmethod
     def size(text: str, found: bytes) -> int:
@@ -73,7 +78,7 @@ class Stretches(dict):
         return sys.getsizeof(text) + sys.getsizeof(found) + 100
 
     def __missing__(self, text: str) -> bytes:
-        found = self.find(self.prefix + text)
+        found = self.find(text)
         if len(text) <= LONG_ASCII:
             if self.held > TABLE_BYTES:
                 for old in list(islice(self, len(self) // 2)):
@@ -98,7 +103,7 @@ class Normaliser:
         self.alone = {c: self.longest(x, 0)[1] for c, x in enumerate(ascii_) if self.units and self.longest(x, 0)[0]}
         if any(self.longest(a + b, 0)[0] == 2 for a in ascii_ for b in ascii_ if self.units):
             raise ValueError("a character map of pairs of ASCII characters")
-        self.mapped = Stretches(self.map, "")
+        self.mapped = Stretches(self.map)
 
     def child(self, node: int) -> int:
         unit = self.units[node]
@@ -153,6 +158,7 @@ class Transducer:
         self.merges = proto.trainer_spec.model_type == 2
         self.dummy = spec.add_dummy_prefix
         self.ids, self.scores, self.bytes, self.spelt = {}, {}, {}, []
+        self.names = [piece.piece for piece in proto.pieces]
         self.unknown = 0
         for number, piece in enumerate(proto.pieces):
             spelt = b""
@@ -173,99 +179,172 @@ class Transducer:
                 self.scores[piece.piece] = len(piece.piece) * most - 0.1
         self.least = min((p.score for p in proto.pieces if p.type == NORMAL), default=0.0) - 10
         self.longest = max(map(len, self.ids), default=1)
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.pairs: dict[str, dict[str, bool]] = {}
+        self.prefixes = set() if self.merges else {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # Piece arcs from a place, character by character: the arcs on from there, and the number of the piece that ends.
+        # Characters that are no piece have numbers of their own, after those of the pieces.
+        self.arcs: dict[str, tuple[dict, int]] = {}
+        for piece, number in self.ids.items() if self.merges else ():
+            arcs = self.arcs
+            for k, c in enumerate(piece, 1):
+                on, known = arcs.get(c) or ({}, START)
+                arcs[c] = on, number if k == len(piece) else known
+                arcs = on
+        self.characters = len(self.spelt)
+        self.pairs: dict[int, dict[int, bool]] = {}
         self.held = 0
-        self.apart = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in self.ids)
+        self.made: dict[int, list[tuple[str, str, float]]] = {}
         # Spelt pieces for decoding many ids at once.
         self.spellings = pa.array(self.spelt, pa.binary())
         # Characters that stand side by side in a piece, as one number.
         links = {ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.links = np.array(sorted(links), np.int64)
-        self.after_blank = Stretches(self.path, MARK)
-        self.plain = Stretches(self.path, "")
-        self.inner = Stretches(self.straight, "")
-
-    def merged(self, text: str) -> list[str]:
-        """Merging by score, leftmost first: what defines the weight of a pair."""
+        # Of the characters with most links a table as well.
+        ends, times = np.unique(np.concatenate([self.links >> 21, self.links & (1 << 21) - 1]), return_counts=True)
+        often = ends[np.argsort(-times, kind="stable")[:255]]
+        self.kinds, self.linked = np.zeros(0x110000, np.uint8), np.zeros((256, 256), bool)
+        self.kinds[often] = np.arange(1, len(often) + 1)
+        self.linked[self.kinds[self.links >> 21], self.kinds[self.links & (1 << 21) - 1]] = True
+        # One table for all stretches, wherever they stand.
+        self.inner = self.plain = self.after_blank = Stretches(self.straight)
+
+    def merging(self, text: str) -> Iterator[tuple[list[str], float]]:
+        """Merging by score, leftmost first: the parts before each merge and its score, at last those that stay."""
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
+        while parts:
+            best, at = float("-inf"), -1
             for i in range(len(parts) - 1):
                 score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
+                if score is not None and score > best:
                     best, at = score, i
-            if best is None:
+            yield parts, best
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def joins(self, left: str, right: str) -> bool:
-        """Whether the pair has weight 0."""
-        row = self.pairs.get(left)
-        if row is None:
-            row = self.pairs[left] = {}
-        known = row.get(right)
-        if known is None:
-            if self.held >= PAIRS:
-                self.pairs.clear()
-                self.held, row = 0, {}
-                self.pairs[left] = row
-            known = row[right] = self.merged(left + right) == [left, right]
-            self.held += 1
+
+    def steps(self, number: int) -> list[tuple[str, str, float]]:
+        """First and last part before each merge of a piece's characters, and its score; nothing if they give other parts."""
+        if number >= self.characters:
+            return [(chr(number - self.characters), chr(number - self.characters), float("-inf"))]
+        made = self.made.get(number)
+        if made is None:
+            piece = self.names[number]
+            made = [(parts[0], parts[-1], score) for parts, score in self.merging(piece)]
+            self.made[number] = made = made if made[-1][0] == piece else []
+        return made
+
+    def joins(self, left: int, right: int) -> bool:
+        """Whether the pair has weight 0: merging both pieces' characters, what defines it, never merges across the two.
+
+        Up to a merge across, each piece merges as by itself, the greater score
+        first, of equal ones the left.
+        """
+        after = self.steps(right)
+        if left == START:
+            return bool(after)
+        before, i, j = self.steps(left), 0, 0
+        while before and after:
+            (_, end, one), (begin, _, other) = before[i], after[j]
+            across = self.scores.get(end + begin)
+            if across is not None and across > one and across >= other:
+                return False
+            if one < other:
+                j += 1
+            elif i + 1 < len(before):
+                i += 1
+            else:
+                return True
+        return False
+
+    def weigh(self, left: int, right: int, row: dict[int, bool]) -> bool:
+        """joins, kept in the row of the left piece."""
+        if self.held >= PAIRS:
+            self.pairs.clear()
+            row.clear()
+            self.pairs[left], self.held = row, 0
+        self.held += 1
+        row[right] = known = self.joins(left, right)
         return known
 
-    def write(self, pieces: list[str]) -> bytes:
-        out: list[int] = []
-        for k, piece in enumerate(pieces):
-            number = self.ids.get(piece)
-            if number is not None:
-                out.append(number)
-            elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
-            elif not k or pieces[k - 1] in self.ids:  # neighbouring unknown characters are one id
-                out.append(self.unknown)
-        return np.array(out, np.int32).tobytes()
-
-    def cut(self, text: str) -> list[str]:
-        """The text's parts between characters that no piece has side by side."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        pairs = points[:-1] << 21 | points[1:]
-        at = np.minimum(np.searchsorted(self.links, pairs), max(len(self.links) - 1, 0))
-        apart = np.flatnonzero(self.links[at] != pairs) + 1 if len(self.links) else np.arange(1, len(text))
-        bounds = [0, *apart.tolist(), len(text)]
-        return [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def path(self, text: str) -> bytes:
-        """Ids on the shortest path over the lattice of the text."""
-        if self.bytes and (len(text) > LONG_ASCII or (len(text) > LONG and not text.isascii())):
-            parts = self.cut(text)
-            if len(parts) > 1:
-                return b"".join(map(self.inner.__getitem__, parts))
-        return self.straight(text)
+    def write(self, numbers: list[int]) -> bytes:
+        characters = self.characters
+        if max(numbers, default=0) >= characters:
+            out: list[int] = []
+            for k, number in enumerate(numbers):
+                if number < characters:
+                    out.append(number)
+                elif self.bytes:
+                    out += [self.bytes[b] for b in chr(number - characters).encode()]
+                elif not k or numbers[k - 1] < characters:  # neighbouring unknown characters are one id
+                    out.append(self.unknown)
+            numbers = out
+        return array("i", numbers).tobytes()
+
+    def cut(self, text: str, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the text's stretches begin, and the last ends: in characters and in UTF-8 bytes.
+
+        They begin at the given places and between characters that no piece has side by side.
+        """
+        places, at_bytes, upto = [], [], 0
+        for k in range(0, len(text), GROUP):
+            points = np.frombuffer(text[max(k - 1, 0) : k + GROUP].encode("utf-32-le"), np.uint32)
+            kinds = self.kinds[points]
+            apart = ~self.linked[kinds[:-1], kinds[1:]]
+            rare = np.flatnonzero((kinds[:-1] == 0) | (kinds[1:] == 0))
+            if len(rare) and len(self.links):
+                pairs = points[rare].astype(np.int64) << 21 | points[rare + 1]
+                at = np.minimum(np.searchsorted(self.links, pairs), len(self.links) - 1)
+                apart[rare] = self.links[at] != pairs
+            if k:
+                points = points[1:]
+            else:
+                apart = np.concatenate([[True], apart])
+            apart[begins[(begins >= k) & (begins < k + len(points))] - k] = True
+            sizes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            after = upto + np.cumsum(sizes)
+            here = np.flatnonzero(apart)
+            places.append(here + k)
+            at_bytes.append((after - sizes)[here])
+            upto = int(after[-1])
+        return np.concatenate([*places, [len(text)]]), np.concatenate([*at_bytes, [upto]])
 
     def straight(self, text: str) -> bytes:
-        return self.write(self.finite(text) if self.merges else self.lightest(text))
-
-    def finite(self, text: str) -> list[str]:
-        """The path of weight 0, depth first; a place is reached by one finite path only, so it fails once."""
-        size, longest, ids = len(text), self.longest, self.ids
-        at, end, path, failed = 0, min(size, longest), [], set()
-        while at < size:
-            last = path[-1] if path else None
-            while end > at:
-                piece = text[at:end]
-                if end not in failed and (piece in ids or end == at + 1) and (last is None or self.joins(last, piece)):
+        """Ids on the shortest path over the lattice of the text."""
+        if self.merges:
+            return self.write(self.finite(text))
+        ids, characters = self.ids, self.characters
+        return self.write([ids[p] if p in ids else characters + ord(p) for p in self.lightest(text)])
+
+    def finite(self, text: str) -> list[int]:
+        """The path of weight 0, as numbers; of all pieces that end at a place only one continues the path to its beginning."""
+        size, root, pairs, characters = len(text), self.arcs, self.pairs, self.characters
+        ends, back, longest = [START] * (size + 1), [0] * (size + 1), self.longest
+        for at in range(size):
+            left, one, end = ends[at], text[at], at + 1
+            arcs, number = root.get(one) or NO_ARC
+            if ends[end] == START:  # no longer piece ends here, so the character by itself does
+                ends[end], back[end] = number if number != START else characters + ord(one), at
+            if not arcs:
+                continue
+            row = pairs.get(left)
+            if row is None:
+                row = pairs[left] = {}
+            for c in text[end : at + longest]:
+                arc = arcs.get(c)
+                if arc is None:
                     break
-                end -= 1
-            if end > at:
-                path.append(piece)
-                at, end = end, min(size, end + longest)
-            else:
-                failed.add(at)
-                end = at - 1
-                at -= len(path.pop())
-        return path
+                arcs, number = arc
+                end += 1
+                if number != START and ends[end] == START:
+                    known = row.get(number)
+                    if known is None:
+                        known = self.weigh(left, number, row)
+                    if known:
+                        ends[end], back[end] = number, at
+        out = []
+        while size:
+            out.append(ends[size])
+            size = back[size]
+        return out[::-1]
 
     def lightest(self, text: str) -> list[str]:
         """Weights are minus the scores."""
@@ -291,29 +370,27 @@ class Transducer:
         return out[::-1]
 
     def encode(self, text: str) -> np.ndarray:
-        text = self.normal(text).replace(MARK, " ")
-        if not text:
-            return np.empty(0, np.int32)
-        if not self.apart or not self.bytes:  # unknown characters join across stretches
-            return np.frombuffer(self.path((MARK if self.dummy else "") + text.replace(" ", MARK)), np.int32)
-        out: list[bytes] = []
-        line_end = self.plain["\n"]
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(line_end)
-            first = not k and self.dummy
-            if "  " in line or (first and line.startswith(" ")):
-                marked = (MARK if first else "") + line.replace(" ", MARK)
-                out += [self.plain[x] for x in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)]
-                continue
-            words = line.split(" ")
-            if first:
-                out += map(self.after_blank.__getitem__, words)
-            else:
-                if words[0]:
-                    out.append(self.plain[words[0]])
-                out += map(self.after_blank.__getitem__, words[1:])
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        marked = [self.normal(text).replace(" ", MARK) for text in texts]
+        if self.dummy:
+            marked = [text and MARK + text for text in marked]
+        if not self.bytes:  # unknown characters join across stretches
+            found = [self.straight(text) for text in marked]
+            return np.frombuffer(b"".join(found), np.int32), np.array([len(x) // 4 for x in found], np.int64)
+        ends = np.cumsum([0, *map(len, marked)])
+        joined = "".join(marked)
+        places, at_bytes = self.cut(joined, ends[:-1])
+        buffers = [None, pa.py_buffer(at_bytes), pa.py_buffer(joined.encode())]
+        stretches = pa.Array.from_buffers(pa.large_string(), len(places) - 1, buffers).dictionary_encode()
+        found = list(map(self.inner.__getitem__, stretches.dictionary.to_numpy(zero_copy_only=False)))
+        bounds = np.cumsum([0, *map(len, found)]) // 4
+        lists = pa.LargeListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(found), np.int32)))
+        ids = lists.take(stretches.indices).flatten().to_numpy()
+        before = np.cumsum(np.concatenate([[0], np.diff(bounds)[stretches.indices.to_numpy()]]))
+        return ids, np.diff(before[np.searchsorted(places, ends)])
 
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_all([ids])[0]
@@ -350,19 +427,18 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
         for batch in batches:
             texts, k = batch.column("text"), 0
             while k < batch.num_rows:
-                begin, chars, ids = k, 0, []
+                begin, chars, group = k, 0, []
                 while k < batch.num_rows and (k == begin or chars < GROUP):
-                    text = texts[k].as_py()
-                    ids.append(machine.encode(text))
-                    chars += len(text)
+                    group.append(texts[k].as_py())
+                    chars += len(group[-1])
                     k += 1
-                back = machine.decode_all(ids)
+                ids, sizes = machine.encode_all(group)
+                offsets = np.cumsum([0, *sizes])
+                back = machine.decode_all(np.split(ids, offsets[1:-1]))
                 hashes = [hashlib.sha256(x.encode()).hexdigest() for x in back]
-                same = [x == texts[begin + i].as_py() for i, x in enumerate(back)]
-                sizes = [len(x) for x in ids]
-                offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
-                columns = [batch.column("doc_id").slice(begin, k - begin), lists, pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(same)]
+                same = [x == text for x, text in zip(back, group, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+                columns = [batch.column("doc_id").slice(begin, k - begin), lists, pa.array(sizes), pa.array(hashes), pa.array(same)]
                 columns += [batch.column(c).slice(begin, k - begin) for c in keep]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_ids", "decoded_sha256", "round_trip", *keep])
 

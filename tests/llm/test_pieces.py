@@ -132,3 +132,64 @@ def test_other_models_are_refused():
     proto.trainer_spec.treat_whitespace_as_suffix = True
     with pytest.raises(ValueError):
         op.Transducer(proto.SerializeToString())
+
+
+def test_a_stretch_is_read_once_for_all_its_words(library, monkeypatch):
+    straight, draw, seen = op.Transducer.straight, random.Random(6), []
+    monkeypatch.setattr(op.Transducer, "straight", lambda self, text: seen.append(text) or straight(self, text))
+    fresh = op.Transducer(op.read_model(op.MODEL))
+    stems = ["".join(draw.choice(["th", "an", "ti", "on", "ble", "re"]) for _ in range(4)) for _ in range(20)]
+    ends = ["".join(draw.choice("#%&$*") for _ in range(6)) for _ in range(50)]
+    text = " ".join(a + b for a in stems for b in ends)
+    assert fresh.encode(text).tolist() == library.encode(text)
+    assert len(seen) == len(set(seen)) < 20 + 50 * 6
+
+
+def test_texts_in_groups_equal_the_library(machine, library, monkeypatch):
+    draw = random.Random(7)
+    texts = ["", "a b\n", "", " ", *["".join(draw.choice(["the ", "mot", "\n", "  ", "é", "日本", "😀", "#&", "▁", "12"]) for _ in range(draw.randint(0, 40))) for _ in range(60)], ""]
+    want = [library.encode(x) for x in texts]
+    for group in (1_000_000, 7, 1):  # texts are cut in blocks of so many characters
+        monkeypatch.setattr(op, "GROUP", group)
+        ids, sizes = machine.encode_all(texts)
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [y for x in want for y in x]
+    ids, sizes = machine.encode_all(["", ""])
+    assert len(ids) == 0 and sizes.tolist() == [0, 0]
+
+
+def merge_model(seed):
+    """A merge model whose pieces and scores are drawn: scores tie, and some pieces are never made by merging."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto.FromString(op.read_model(op.MODEL))
+    fixed = [p for p in proto.pieces if p.type != 1]
+    proto.ClearField("pieces")
+    for piece in fixed:
+        proto.pieces.add().CopyFrom(piece)
+    draw = random.Random(seed)
+    words = {draw.choice("abc▁") + "".join(draw.choice("abc") for _ in range(draw.randint(0, 4))) for _ in range(60)}
+    for word in sorted(words):
+        made = proto.pieces.add()
+        made.piece, made.type, made.score = word, 1, -float(draw.randint(1, 20))
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merge_models_with_drawn_scores_equal_the_library(seed):
+    model = merge_model(seed)
+    machine, library = op.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    draw = random.Random(seed + 100)
+    for _ in range(500):
+        text = "".join(draw.choice("abcabcabc d") for _ in range(draw.randint(0, 14)))
+        assert machine.encode(text).tolist() == library.encode(text), text
+
+
+def test_the_weight_of_a_pair_is_what_merging_says(machine):
+    draw = random.Random(8)
+    for made in (machine, op.Transducer(merge_model(1))):
+        several = sorted(made.ids)
+        for _ in range(3000):
+            left, right = draw.choice(several), draw.choice(several)
+            *_, (parts, _) = made.merging(left + right)
+            assert made.joins(made.ids[left], made.ids[right]) == (parts == [left, right]), (left, right)
